@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op4_language_id
 from .mixing import op9_mixing
 from .simhash import op8_simhash
 from .sharding import OP6_SQL, op6_sharding
 from .urls import OP10_SQL, op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .language import op4_language_id
 from .mixing import op9_mixing
 from .simhash import op8_simhash
+from .packing import op7_packing
 from .sharding import OP6_SQL, op6_sharding
 from .urls import OP10_SQL, op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_url_filters": op10_url_filters,

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op3_nearest_neighbours
 from .language import op4_language_id
 from .mixing import op9_mixing
 from .simhash import op8_simhash
+from .neardup import OP2_SQL, op2_embedding_near_dedup
 from .packing import op7_packing
 from .sharding import OP6_SQL, op6_sharding
 from .urls import OP10_SQL, op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_language_id": op4_language_id,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
@@ -22,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
-SQL: dict[str, str] = {"op6_sharding": OP6_SQL, "op10_url_filters": OP10_SQL}
+SQL: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op10_url_filters": OP10_SQL}

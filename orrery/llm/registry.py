@@ -12,10 +12,12 @@ from .mixing import op9_mixing
 from .simhash import op8_simhash
 from .neardup import OP2_SQL, op2_embedding_near_dedup
 from .packing import op7_packing
+from .privacy import op1_pii_surrogates
 from .sharding import OP6_SQL, op6_sharding
 from .urls import OP10_SQL, op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_language_id": op4_language_id,

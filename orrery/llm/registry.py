@@ -14,6 +14,7 @@ from .neardup import OP2_SQL, op2_embedding_near_dedup
 from .packing import op7_packing
 from .privacy import op1_pii_surrogates
 from .sharding import OP6_SQL, op6_sharding
+from .substrings import op5_substring_dedup
 from .urls import OP10_SQL, op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,

@@ -8,6 +8,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of all texts of a batch, in order: (indices into the distinct words, the distinct words, bounds of each text).
+
+    Words are split at the six ASCII kinds of white space, as by WORD. Null texts have none.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    if not there.all():  # the empty string before leading or behind trailing white space
+        bounds = np.concatenate([[0], np.cumsum(there)])[bounds]
+        flat = flat.filter(pa.array(there))
+    encoded = flat.dictionary_encode()
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary, bounds - bounds[0]
+
+
+def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that hold about ``most_bytes`` of text each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held + n > most_bytes and i > start:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes):
+        yield start, len(sizes)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (one machine, tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -10,10 +11,11 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import before, cut
+from .common import before, cut, slices, split_words
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task keeps; it forgets all and starts anew beyond.
@@ -28,37 +30,55 @@ class WordIds:
     """Token ids of white-space separated text by way of its distinct words.
 
     Exact for tokenizers whose pre-tokenizer drops white space and never spans it. Only the six ASCII kinds are split on here;
-    any other is left to the tokenizer, inside the word.
+    any other is left to the tokenizer, inside the word. New words are encoded many at once, with a mark between them that is
+    one token of its own; words that hold the mark are encoded alone.
     """
 
+    MARK = "\x01"
+
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads here
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.mark = self._ids(self.MARK)
         self.forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.encode().split() if t else [] for t in texts]
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.MARK not in w] if len(self.mark) == 1 else []
+        joined = [f" {self.MARK} ".join(plain[i : i + 2048]) for i in range(0, len(plain), 2048)]
+        got = [np.array(e.ids + self.mark, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([*got, np.zeros(0, np.uint32)])
+        is_mark = flat == self.mark[0] if plain else np.zeros(0, bool)
+        sizes = np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+        alone = [self._ids(w) for w in words if len(self.mark) != 1 or self.MARK in w]
+        self.ids = np.concatenate([self.ids, flat[~is_mark], np.fromiter((i for g in alone for i in g), np.uint32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        for w in plain + [w for w in words if len(self.mark) != 1 or self.MARK in w]:
+            self.place[w] = len(self.place)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, bounds of each text)."""
+        index, distinct, bounds = split_words(texts)
+        words = distinct.to_pylist()
         if len(self.place) > KEPT_WORDS:
             self.forget()
-        words = [w for ws in split for w in ws]
-        new = list(dict.fromkeys(w for w in words if w not in self.place))
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if new := [w for w in words if w not in self.place]:
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[index]
         sizes = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(sizes)
         flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return flat, np.concatenate([[0], ends])[bounds]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -68,23 +88,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(definition.value)
-        for p in batches:
-            out = []
-            texts = p["_text"].to_list()
-            for at in range(0, len(texts), 256):
-                keys = p["_key"].iloc[at : at + 256]
-                for k, (there, got) in enumerate(zip(keys.notna(), words.encode(texts[at : at + 256]), strict=True)):
-                    ids = np.append(got, np.uint32(END_ID)).astype("<u4")
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            for a, b in slices(texts):
+                flat, bounds = words.encode(texts.slice(a, b - a))
+                owner, out = [], []
+                for k in range(b - a):
+                    ids = np.append(flat[bounds[k] : bounds[k + 1]], np.uint32(END_ID)).astype("<u4")
                     for i, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
-                        out.append((keys.iloc[k] if there else None, i, start, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(out, columns=["_key", "piece", "start", "length", "ids_crc32"]).astype({"_key": p["_key"].dtype})
+                        owner.append(a + k)
+                        out.append((i, start, len(part), zlib.crc32(part)))
+                piece, start, length, crc = (np.array(c, np.int64) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(piece.astype(np.int32)), start, length, crc], names=["_key", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInPandas(pieces, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(pieces, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _price(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

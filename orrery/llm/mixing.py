@@ -50,7 +50,7 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("src_null", "src", "source_size", F.least(share, F.col("_cap").cast("double")).alias("target"), F.col("_total").alias("total"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """How much of each document the mix takes: (key, size, source_size, target, taken, whole, part_from, part_to,
     head, source), one row per input row.
 
@@ -61,15 +61,17 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
     These are ``whole`` times the document, its words [part_from, part_to) and, where the row of words wraps, its first ``head``.
 
     Null sources form one source, last in order. Null keys hash alike. Repeated rows are documents of their own; if they are equal
-    in key and size either may get the part. An empty table gives an empty result. Other columns are not looked at.
+    in key and size either may get the part. An empty table gives an empty result. Other columns are not looked at, but for those to
+    ``carry`` along, which come last in the struct ``carried``.
     """
     n = F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))) if size is None else size
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     rows = docs.select(
         F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("src_null"),
         F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("size"), mark.alias("mark"),
-    )
-    rows = cut(rows.withColumn("chunk", F.substring("mark", 1, CHUNK_DIGITS)))  # narrow, and read three times
+        *([F.struct(*carry).alias("carried")] if carry else []),
+    ).withColumn("chunk", F.substring("mark", 1, CHUNK_DIGITS))
+    rows = rows if carry else cut(rows)  # narrow, and read twice
     by = ["src_null", "src"]
     chunks = rows.groupBy(*by, "chunk").agg(F.sum("size").alias("chunk_size"))
     shard = (F.conv("chunk", 16, 10).cast("long") % SHARDS).alias("shard")
@@ -97,8 +99,22 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
         F.col("_key").alias(key), "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.col("part_to") - F.col("part_from") + F.col("head")).cast("long").alias("taken"),
         "whole", "part_from", "part_to", "head", F.expr("if(src_null, null, src)").alias("source"),
+        *(["carried"] if carry else []),
     )
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each time a document is taken whole, and one for each part,
+    its words joined by single spaces. Documents of which the mix takes nothing are left out."""
+    names = docs.columns
+    taken = mix(docs, key=key, text=text, source=source, seed=seed, carry=tuple(names)).where("taken > 0")
+    words = F.regexp_extract_all(F.col(f"carried.{text}"), F.lit(WORD), F.lit(0))
+    part = lambda a, n: F.when(F.col(n) > 0, F.array(F.array_join(F.slice(words, F.col(a).cast("int") + 1, F.col(n).cast("int")), " "))).otherwise(F.array().cast("array<string>"))
+    taken = taken.withColumn("_zero", F.lit(0)).withColumn("_part", F.col("part_to") - F.col("part_from"))
+    texts = F.concat(F.array_repeat(F.col(f"carried.{text}"), F.col("whole").cast("int")), part("part_from", "_part"), part("_zero", "head"))
+    out = taken.select("carried", F.explode(texts).alias("_text"))
+    return out.select(*[F.col("_text").alias(n) if n == text else F.col(f"carried.{n}").alias(n) for n in names])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source")

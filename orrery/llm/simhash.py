@@ -122,23 +122,38 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id), one row per input row: component_id is the smallest key reachable over links.
+    """(key, fingerprint, component_id, family, mark), one row per input row: component_id is the smallest key reachable over links.
 
     Rows link if their fingerprints differ in at most MOST_BITS bits. Null and empty texts have fingerprint zero and link like
     any other. Equal fingerprints are one node, so copies cost nothing beyond their own rows; null keys take part but are never
     the smallest (a component of null keys alone has a null id). Repeated rows are all returned. An empty table gives an empty
-    result. Other columns are not looked at, whatever their names.
+    result. Other columns are not looked at, whatever their names. ``family`` numbers the components also where keys repeat;
+    ``mark`` is a hash of the text.
     """
-    rows = cut(with_fingerprint(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "fingerprint"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = cut(with_fingerprint(rows, "_text").select("_key", "fingerprint", F.xxhash64("_text").alias("mark")))
     nodes = rows.groupBy("fingerprint").agg(F.min("_key").alias("low"))
     linked = components(fingerprint_links(nodes.select("fingerprint")))
-    placed = nodes.join(linked, nodes.fingerprint == linked.node, "left").select("fingerprint", "low", F.coalesce("component", "fingerprint").alias("root"))
+    placed = nodes.join(linked, nodes.fingerprint == linked.node, "left").select("fingerprint", "low", F.coalesce("component", "fingerprint").alias("family"))
     placed = cut(placed)
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = placed.join(lowest, "root").select("fingerprint", "component_id")
+    lowest = placed.groupBy("family").agg(F.min("low").alias("component_id"))
+    found = placed.join(lowest, "family").select("fingerprint", "component_id", "family")
     out = rows.join(found, "fingerprint")
-    return out.select(F.col("_key").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select(F.col("_key").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", "family", "mark")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that stay when one of each SimHash component does: the one with the smallest key.
+
+    Of several rows with that key the one with the smallest text hash stays, and of rows that are equal in both, one.
+    """
+    found = cut(simhash_components(docs, key, text).select(F.col(key).alias("_key"), "family", "mark"))
+    stay = found.groupBy("family").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "mark")).alias("best"))
+    stay = stay.select(F.col("best._key").alias("_key"), F.col("best.mark").alias("_mark"))
+    kept = docs.join(stay, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_mark")), "left_semi")
+    repeated = found.groupBy("_key", "mark").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates([key, text]) if repeated else kept
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

@@ -13,9 +13,9 @@ from .common import before, cut
 from .neardup import SOUND, unit_rows
 
 #: Trees, bits of a hash string, distinct vectors a shard of the index, queries a block.
-TREES, BITS, SHARD, BLOCK = 32, 24, 8192, 256
+TREES, BITS, SHARD, BLOCK = 32, 24, 32768, 128
 #: The ascent of a query stops when a vector as near as its present k-th would have been met with this probability.
-FOUND = 0.92
+FOUND = 0.94
 SEED = 7
 
 
@@ -66,7 +66,7 @@ def ascend(units: np.ndarray, strings: np.ndarray, order: np.ndarray, queries: n
                     who.append(q)
                     what.append(i)
             lo[t, alive], hi[t, alive] = a, b
-        if who:
+        if sum(map(len, who)):
             q, i = np.concatenate(who), np.concatenate(what)
             score = np.concatenate([np.einsum("ij,ij->i", low32[i[s : s + 65536]], queries32[q[s : s + 65536]]) for s in range(0, len(q), 65536)])
             q, i, score = np.concatenate([q, np.repeat(alive, k)]), np.concatenate([i, top_at[alive].ravel()]), np.concatenate([score, top_score[alive].ravel()])
@@ -97,7 +97,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     rows = rows.select("_key", "_vec", F.size("_vec").alias("_dim"), F.expr("sha2(cast(array_join(_vec, ',') as binary), 256)").alias("_hash"))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_dim", "_hash").orderBy("_key"))).where(F.col("_n") <= ids)
     entries = rows.groupBy("_dim", "_hash").agg(F.sort_array(F.collect_list("_key")).alias("keys"), F.first("_vec").alias("_vec"))
-    entries = entries.withColumn("_chunk", F.substring("_hash", 1, 3)).withColumn("_one", F.lit(1))
+    entries = cut(entries).withColumn("_chunk", F.substring("_hash", 1, 3)).withColumn("_one", F.lit(1))
     entries = before(entries, ["_dim"], "_chunk", ["_hash"], "_one", "_rank").withColumn("_shard", F.expr(f"cast(_rank div {SHARD} as int)"))
 
     def built(p: pd.DataFrame) -> pd.DataFrame:

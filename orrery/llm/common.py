@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -34,6 +36,14 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary, bounds - bounds[0]
 
 
+def per_process(key: str, make):
+    """What ``make`` returned when this Python worker first asked for ``key``: workers outlive tasks, our modules there don't."""
+    held = sys.modules.setdefault("_orrery_per_process", types.SimpleNamespace(held={})).held
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that hold about ``most_bytes`` of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

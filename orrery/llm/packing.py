@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import re
+import string
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -12,10 +16,11 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import before, cut, slices, split_words
+from .common import before, cut, per_process, slices, split_words
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task keeps; it forgets all and starts anew beyond.
@@ -26,6 +31,27 @@ CHUNKS = 256
 SHARE, STEP = 0.5, 1.0
 
 
+def stems(words: pa.Array, special: str) -> tuple[pa.Array, pa.Array]:
+    """Words cut in two where that can't change their ids, so that fewer are left: Latin-1 words lower-cased, a run of ASCII
+    punctuation at the end apart. The tokenizer lower-cases, and it splits between a letter or digit and such a run. Words that
+    match ``special`` stay as they are."""
+    plain = pc.match_substring_regex(words, r"^[\x00-\x{FF}]*$")
+    if special:
+        plain = pc.and_not(plain, pc.match_substring_regex(words, special))
+    low = pc.if_else(plain, pc.utf8_lower(words), words)
+    stem = pc.utf8_rtrim(low, characters=string.punctuation)
+    good = pc.and_(plain, pc.match_substring_regex(stem, r"[\p{L}\p{N}]$"))
+    tail = pc.struct_field(pc.extract_regex(low, f"(?s)(?P<tail>[{re.escape(string.punctuation)}]*)$"), "tail")
+    return pc.if_else(good, stem, low), pc.if_else(good, tail, "")
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs [starts[i], starts[i + 1]) of ids for each i of ``at``, in a row, and where each ends."""
+    sizes = starts[at + 1] - starts[at]
+    ends = np.cumsum(sizes)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - sizes), sizes)], ends
+
+
 class WordIds:
     """Token ids of white-space separated text by way of its distinct words.
 
@@ -42,6 +68,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.mark = self._ids(self.MARK)
+        self.special = "|".join(re.escape(t["content"]) for t in json.loads(definition).get("added_tokens", []))
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
@@ -69,15 +96,17 @@ class WordIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, bounds of each text)."""
         index, distinct, bounds = split_words(texts)
-        words = distinct.to_pylist()
+        stem, tail = (x.dictionary_encode() for x in stems(distinct, self.special))
         if len(self.place) > KEPT_WORDS:
             self.forget()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[index]
-        sizes = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+        at = np.empty(2 * len(distinct), np.int64)  # stem and tail by turns
+        for i, part in enumerate((stem, tail)):
+            words = part.dictionary.to_pylist()
+            if new := [w for w in words if w not in self.place]:
+                self._learn(new)
+            at[i::2] = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[part.indices.to_numpy()]
+        ids, ends = _gathered(self.ids, self.starts, at)
+        flat, ends = _gathered(ids, np.concatenate([[0], ends[1::2]]), index)
         return flat, np.concatenate([[0], ends])[bounds]
 
 
@@ -89,7 +118,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(definition.value)
+        words = per_process(hashlib.sha256(definition.value.encode()).hexdigest(), lambda: WordIds(definition.value))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):

@@ -170,7 +170,7 @@ def _shared(p: pd.DataFrame) -> pd.DataFrame:
 def _runs(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The runs of a chunk's windows that passed the filter: their words' codes, documents and places."""
     if not len(left):
-        return pd.DataFrame({"chunk": [], "codes": [], "runs": []})
+        return pd.DataFrame({"chunk": [], "n": [], "codes": [], "runs": []})
     c = Chunk(next(left.itertuples(index=False)))
     shared = [b for b in right["anchors"] if b is not None]
     copies = [b for b in right["copies"] if b is not None]
@@ -179,21 +179,21 @@ def _runs(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     h = c.hashes()
     a = c.anchors(h, first)
     if not shared or not len(a):
-        return pd.DataFrame({"chunk": [], "codes": [], "runs": []})
+        return pd.DataFrame({"chunk": [], "n": [], "codes": [], "runs": []})
     wanted = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared]))
     new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     place = np.minimum(np.searchsorted(wanted, a[new]), len(wanted) - 1)
     hit = np.repeat(wanted[place] == a[new], np.diff(np.concatenate([new, [len(a)]])))
     first, doc = first[hit], doc[hit]
     if not len(first):
-        return pd.DataFrame({"chunk": [], "codes": [], "runs": []})
+        return pd.DataFrame({"chunk": [], "n": [], "codes": [], "runs": []})
     begin = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 1) | (np.diff(doc) != 0)]))
     size = np.diff(np.concatenate([begin, [len(first)]]))
     n = size + WINDOW - 1
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[begin], n)
     codes = (h[at] >> np.uint64(32)).astype(np.uint32)
     runs = np.stack([doc[begin], first[begin] - c.bounds[:-1][doc[begin]], size, c.keys[doc[begin]]])
-    return pd.DataFrame({"chunk": [c.chunk], "codes": [_zip(codes)], "runs": [_zip(runs.astype(np.int64))]})
+    return pd.DataFrame({"chunk": [c.chunk], "n": [len(first)], "codes": [_zip(codes)], "runs": [_zip(runs.astype(np.int64))]})
 
 
 def _suffixes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -361,9 +361,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     twins = cut(twins.groupBy("chunk").applyInPandas(collected, "chunk long, copies binary"))
     said = shared.unionByName(twins, allowMissingColumns=True)
-    runs = cut(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(_runs, "chunk long, codes binary, runs binary"))
+    runs = cut(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(_runs, "chunk long, n long, codes binary, runs binary"))
 
-    slots = 1 << max(6, min(SLOTS.bit_length() - 1, int(8 * total // GROUP).bit_length()))
+    left = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slots = min(SLOTS, 1 << max(4, int(4 * left // GROUP).bit_length()))  # groups a quarter full on average
     counted = runs.mapInPandas(_prefix_counts(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     heavy = spark.sparkContext.broadcast(np.array([r.slot for r in counted.where(F.col("n") > GROUP).select("slot").collect()], np.int64))
     grouped = runs.mapInPandas(_to_groups(slots, heavy), "group long, chunk long, suffixes binary, low binary, number binary")

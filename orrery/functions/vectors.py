@@ -41,13 +41,17 @@ def normalized(v: ColumnOrName, floor: float = 0.0) -> Column:
 
 def linear(*terms: tuple[float, ColumnOrName]) -> Column:
     """The weighted sum of vectors of one length."""
-    (w, first), *rest = terms
-    out = F.transform(as_double(first), lambda x: x * w)
-    for w, v in rest:
-        out = F.zip_with(out, as_double(v), lambda x, y, w=w: x + y * w)
+    parts = [F.transform(as_double(v), _times(w)) for w, v in terms]
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.zip_with(out, p, lambda x, y: x + y)
     return out
 
 
+def _times(w: float):
+    return lambda x: x * w
+
+
 def squared_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.greatest(F.lit(0.0), dot(a, a) + dot(b, b) - 2 * dot(a, b))
 

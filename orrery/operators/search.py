@@ -107,9 +107,10 @@ def multiscale_query(
     if contrast is not None:
         near = near.withColumn("score", F.col("score") - dot(column, vector(contrast)))
     new = rescored(near, method, larger, key, frame)
-    order = Window.partitionBy(frame).orderBy(F.desc("score"), key)
+    level = F.round("score", 9)  # means are summed in any order: scores that agree to nine digits are ties
+    order = Window.partitionBy(frame).orderBy(level.desc(), key)
     best = new.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(frame, key, "score")
-    return best.orderBy(F.desc("score"), frame).limit(k)
+    return best.orderBy(level.desc(), frame).limit(k)
 
 
 def at_least_kth(rows: DataFrame, k: int, key: str = "vec_id", frame: str = "dbidx") -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import boxes, metrics, text, vectors
-from .operators import graph, logs, search, sets, spatial
-from .plans import feedback, reports, session
+from .functions import boxes, grid, metrics, text, vectors
+from .operators import graph, labels, logs, search, sets, spatial, tracking
+from .plans import feedback, models, reports, session
 from .sources import tables
 from .sources.shared import cut
 
@@ -707,15 +707,15 @@ _STEP = "SELECT p.vec_id, coalesce((CASE WHEN p.vec_id % 6 = 0 THEN (p.label = 1
 
 @query(f"WITH {_W}, deg AS (SELECT i, sum(w) AS degree FROM w GROUP BY i), f0 AS (SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN (label = 1)::INT::DOUBLE ELSE 0.1 END AS f FROM embeddings), f1 AS ({_STEP.format('f0')}), f2 AS ({_STEP.format('f1')}), f3 AS ({_STEP.format('f2')}) SELECT vec_id AS vertex, round(f, 6) AS f FROM f3")
 def label_prop_3steps(spark, sf):
-    prior, labels = _prior(spark, sf)
-    return graph.propagated(_weights(spark, sf), prior, labels, 1.0, steps=3, tolerance=None)
+    prior, marks = _prior(spark, sf)
+    return graph.propagated(_weights(spark, sf), prior, marks, 1.0, steps=3, tolerance=None)
 
 
 @query(f"""WITH {_KNN}, l AS (SELECT vec_id, (label = 1)::INT AS y FROM embeddings WHERE vec_id % 6 = 0), t AS (SELECT src_vertex, sum(y) AS s, count(*) AS n FROM knn JOIN l ON dst_vertex = vec_id WHERE src_vertex <> dst_vertex GROUP BY ALL)
 SELECT e.vec_id AS vertex, round(coalesce(y::DOUBLE, (0.1 + coalesce(s, 0)) / (1 + coalesce(n, 0))), 6) AS score FROM embeddings e LEFT JOIN t ON src_vertex = e.vec_id LEFT JOIN l ON l.vec_id = e.vec_id""")
 def knn_ranker_scores(spark, sf):
-    prior, labels = _prior(spark, sf)
-    return graph.neighbour_scores(_knn(spark, sf), prior, labels)
+    prior, marks = _prior(spark, sf)
+    return graph.neighbour_scores(_knn(spark, sf), prior, marks)
 
 
 @query(f"""WITH {_W}, x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT w.w AS w, list_transform(list_zip(a.v, b.v), lambda p: p[1] - p[2]) AS d FROM w JOIN x a ON w.i = a.vec_id JOIN x b ON w.j = b.vec_id WHERE w.i < w.j),
@@ -775,3 +775,121 @@ def benchmark_sim(spark, sf):
     found = [session.simulated(session.Session(t, embedding_of(spark, sf, 0), m, batch=3), truth, 1, 3, 4) for m in ("plain", "rocchio")]
     rows = [(r["method"], r["hit_indices"], r["nseen"], r["nfound"], r["ntotal"], r["dbidxs"]) for r in found]
     return spark.createDataFrame(rows, "method string, hit_indices array<int>, nseen int, nfound int, ntotal int, dbidxs array<long>")
+
+
+# --- grids, labels, tracks --------------------------------------------------------------------------------------------------------
+
+_IMAGES = "im AS (SELECT p_partkey, 100 + 37 * (p_partkey % 29) AS w, 150 + 41 * (p_partkey % 23) AS h FROM part)"
+_PYRAMID = f"""{_IMAGES}, l AS (SELECT *, least(w, h)::DOUBLE AS s, greatest(0, floor(ln(least(w, h) / 224.0::DOUBLE) / ln(2.0::DOUBLE) + 1e-9))::INT AS top FROM im),
+z AS (SELECT *, unnest(range(top + 1))::INT AS zoom FROM l), p AS (SELECT p_partkey, zoom AS zoom_level, pow(0.5, zoom) * greatest(1.0, 224.0::DOUBLE / s) AS scale_factor, w, h, top AS max_zoom_level FROM z)"""
+
+
+def _images(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").selectExpr("p_partkey", "int(100 + 37 * (p_partkey % 29)) as w", "int(150 + 41 * (p_partkey % 23)) as h")
+
+
+@query(f"WITH {_PYRAMID} SELECT p_partkey, zoom_level, round(scale_factor, 6) AS scale_factor, floor(w * scale_factor + 0.5)::INT AS scaled_width, floor(h * scale_factor + 0.5)::INT AS scaled_height, max_zoom_level FROM p")
+def pyramid_levels(spark, sf):
+    return grid.pyramid(_images(spark, sf), "p_partkey", "w", "h")
+
+
+@query(f"""WITH {_PYRAMID}, q AS (SELECT *, floor(w * scale_factor + 0.5)::INT AS sw, floor(h * scale_factor + 0.5)::INT AS sh FROM p), g AS (SELECT *, unnest(range(0, sh - 224 + 1, 112)) AS y FROM q), t AS (SELECT *, unnest(range(0, sw - 224 + 1, 112)) AS x FROM g)
+SELECT p_partkey, zoom_level, row_number() OVER (PARTITION BY p_partkey ORDER BY zoom_level, y, x) - 1 AS patch_id, round(x / scale_factor, 6) AS x1, round(y / scale_factor, 6) AS y1, round((x + 224) / scale_factor, 6) AS x2, round((y + 224) / scale_factor, 6) AS y2 FROM t""")
+def pyramid_tiles(spark, sf):
+    return grid.tiles_of(grid.pyramid(_images(spark, sf), "p_partkey", "w", "h"), "p_partkey").withColumn("patch_id", F.col("patch_id").cast("long"))
+
+
+@query("SELECT event_id, least(greatest(round_even(value / 200 * 9, 0), 0), 9)::INT AS line, (greatest(1, round_even(value / 16, 0)) * 16)::INT AS size FROM events")
+def grid_lines(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", grid.nearest_line("value", F.lit(200.0), 10).alias("line"), grid.grid_size("value", 16).alias("size"))
+
+
+@query(f"WITH {ANN}, s AS (SELECT box_id, x1 - 20 AS a, x2 - 20 AS b FROM ann), m AS (SELECT *, CASE WHEN a < 0 THEN -a WHEN b > 50 THEN 50 - b ELSE 0 END AS move FROM s) SELECT box_id, a + move AS s1, b + move AS s2 FROM m")
+def shifted_intervals(spark, sf):
+    s1, s2 = grid.shifted_interval(F.col("x1") - 20, F.col("x2") - 20, F.lit(50.0))
+    return annotations(spark, sf).select("box_id", s1.alias("s1"), s2.alias("s2"))
+
+
+@query()
+def random_crops(spark, sf):
+    """Places come from a seeded hash."""
+    a = annotations(spark, sf)
+    x = grid.random_crop(F.col("x1"), F.col("x2"), F.lit(30.0), F.lit(100.0), 3, F.col("box_id"))
+    return a.select("box_id", x[0].alias("cx1"), x[1].alias("cx2"))
+
+
+def _label_store(spark, sf) -> DataFrame:
+    box = F.struct("x1", "y1", "x2", "y2", F.concat(F.lit("c"), "category").alias("description"), (F.col("category") <= 4).alias("marked_accepted"))
+    marked = annotations(spark, sf).groupBy("dbidx").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+    some = tiles(spark, sf).select("dbidx").distinct().where("dbidx % 3 <> 1")
+    return some.join(marked, "dbidx", "left").withColumn("boxes", F.when(F.col("dbidx") % 3 == 0, F.coalesce("boxes", F.array().cast(marked.schema["boxes"].dataType))).otherwise(F.col("boxes")))
+
+
+@query(f"WITH {ANN}, d AS (SELECT DISTINCT vec_id // 5 AS dbidx FROM embeddings), n AS (SELECT d.dbidx, count(box_id) AS n, coalesce(bool_or(category <= 4), false) AS accepted FROM d LEFT JOIN ann USING (dbidx) WHERE d.dbidx % 3 <> 1 GROUP BY d.dbidx) SELECT dbidx, (n > 0)::INT AS y, accepted FROM n WHERE n > 0 OR dbidx % 3 = 0")
+def label_states(spark, sf):
+    store = _label_store(spark, sf)
+    return labels.binary(store).join(store.select("dbidx", labels.accepted("boxes").alias("accepted")), "dbidx")
+
+
+@query(f"WITH {ANN} SELECT dbidx, x1, y1, x2, y2 FROM ann WHERE dbidx % 3 <> 1 AND category = 2")
+def target_boxes(spark, sf):
+    return labels.box_rows(_label_store(spark, sf), "c2")
+
+
+@query()
+def box_tracks(spark, sf):
+    """Matching from frame to frame is sequential."""
+    b = tiles(spark, sf).where("zoom_level < 2").selectExpr("dbidx div 10 as video_id", "int(dbidx % 10) as frame", "vec_id", "x1", "y1", "x2", "y2")
+    return tracking.tracks(b).select("video_id", "frame", "vec_id", "track_id", "confirmed")
+
+
+@query(f"WITH {RUNS} SELECT category, variant, hits[1] AS position_1, hits[2] AS position_2, hits[3] AS position_3, hits[10] AS position_10 FROM runs")
+def hit_positions(spark, sf):
+    r = runs(spark, sf)
+    r = r.withColumn("hit_indices", F.col("hit_indices").cast("array<long>"))
+    return r.select("category", "variant", *metrics.zero_based_ranks("hit_indices"))
+
+
+@query("""WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id)
+SELECT user_id, round(list_sum(list_transform(v, lambda x, i: x * sqrt(1.0 / i))) / list_sum(list_transform(list_reverse_sort(v), lambda x, i: x * sqrt(1.0 / i))), 6) AS quality FROM s""")
+def ranking_quality(spark, sf):
+    v = logs.positions(table(spark, sf, "events")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))
+    return v.select("user_id", metrics.ranking_quality(F.transform("v", lambda s: s["value"])).alias("quality"))
+
+
+@query("SELECT event_id, round(percent_rank() OVER (PARTITION BY event_type ORDER BY value), 6) AS place FROM events")
+def percent_ranks(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.percent_rank().over(Window.partitionBy("event_type").orderBy("value")).alias("place"))
+
+
+@query(f"""WITH {TILES}, {SCORED}, m AS (SELECT dbidx, max(score) AS m FROM scored GROUP BY dbidx) SELECT vec_id, round(exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY scored.dbidx), 6) AS share FROM scored JOIN m USING (dbidx)""")
+def frame_softmax(spark, sf):
+    s = search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).select("vec_id", "dbidx", "score")
+    w = Window.partitionBy("dbidx")
+    s = s.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
+    return s.select("vec_id", (F.col("e") / F.sum("e").over(w)).alias("share"))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS positive, b.vec_id AS negative, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = 1 AND b.label <> 1 AND a.vec_id < 200)
+SELECT positive, rank, negative FROM p WHERE rank <= 3""")
+def hard_negative_pairs(spark, sf):
+    e = table(spark, sf, "embeddings")
+    positive = e.where("label = 1 and vec_id < 200").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = search.many_queries(e.where("label <> 1"), positive, 3)
+    return found.select(F.col("query_id").alias("positive"), F.col("rank").cast("long").alias("rank"), F.col("vec_id").alias("negative"))
+
+
+@query()
+def mixture_components(spark, sf):
+    """An iterative fit."""
+    e = table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4))
+    return models.mixture(e, 3, steps=5).select("vec_id", F.col("component").cast("int").alias("component"))
+
+
+@query()
+def calibrated_scores(spark, sf):
+    """An iterative fit."""
+    s = search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).select("vec_id", "score", (F.col("label") == 1).cast("int").alias("y"))
+    slope, shift = models.calibration(s)
+    return s.select("vec_id", vectors.sigmoid("score", slope, shift).alias("p"))

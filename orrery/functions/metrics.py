@@ -87,3 +87,16 @@ def higher_is_better(metric: str) -> bool:
     if metric.startswith("rank"):
         return False
     raise ValueError(f"unknown metric {metric!r}")
+
+
+def ranking_quality(similarities: Column | str) -> Column:
+    """Of similarities in ranked order: their sum weighted by the root of 1 / rank, over that of the best order."""
+    s = F.col(similarities) if isinstance(similarities, str) else similarities
+    weighted = lambda a: F.aggregate(F.transform(a, lambda x, i: x * F.sqrt(1.0 / (i + 1))), F.lit(0.0), lambda t, x: t + x)
+    best = weighted(F.reverse(F.array_sort(s)))
+    return F.when(best != 0, weighted(s) / best)
+
+
+def zero_based_ranks(hits: Column | str, ks: tuple[int, ...] = (1, 2, 3, 10)) -> list[Column]:
+    """0-based positions of the k-th hits; null if there are fewer."""
+    return [F.get(_ordered(hits), F.lit(k - 1)).alias(f"position_{k}") for k in ks]

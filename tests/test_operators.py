@@ -201,3 +201,76 @@ def test_streaming_log(spark, tmp_path, sf):
         assert spark.table(f"q_{name}").count() > 0
     batch = logs.new_records(spark.read.parquet(str(tmp_path / "in")), "value")
     assert spark.table("q_r").count() == batch.count()
+
+
+def test_assignment_is_the_cheapest():
+    from itertools import permutations
+
+    from orrery.operators.tracking import assignment
+
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 1), (3, 3), (2, 5), (5, 2), (4, 4), (0, 3)):
+        cost = rng.integers(0, 9, (n, m)).astype(float)
+        got = assignment(cost)
+        assert len(got) == min(n, m) and len({j for _, j in got}) == len(got)
+        if n and m:
+            wide = cost if n <= m else cost.T
+            assert sum(cost[i, j] for i, j in got) == min(sum(wide[i, p[i]] for i in range(len(wide))) for p in permutations(range(wide.shape[1]), len(wide)))
+
+
+def test_tracks_follow_moving_boxes(spark):
+    from orrery.operators.tracking import tracks
+
+    rows = [(0, f, n, 10.0 * f + 100 * n, 0.0, 10.0 * f + 100 * n + 20, 20.0) for f in range(6) for n in range(2) if (f, n) != (3, 1)] + [(1, 0, 9, 0.0, 0.0, 1.0, 1.0)]
+    p = tracks(spark.createDataFrame(rows, "video_id int, frame int, n int, x1 double, y1 double, x2 double, y2 double")).toPandas()
+    assert p[p.video_id == 0].groupby("n").track_id.nunique().tolist() == [1, 1] and p[p.video_id == 0].track_id.nunique() == 2
+    assert not p[(p.frame < 2)].confirmed.any() and p[(p.frame == 5)].confirmed.all()
+
+
+def test_label_store(spark):
+    from orrery.operators import labels
+
+    box = (0.0, 0.0, 1.0, 1.0, "d", True)
+    store = spark.createDataFrame([(1, None), (2, []), (3, [box])], labels.LABELS)
+    assert {r.dbidx: r.y for r in labels.binary(store).collect()} == {2: 0, 3: 1}
+    new = labels.updated(store, spark.createDataFrame([(2, [box]), (4, [])], labels.LABELS))
+    assert sorted(r.dbidx for r in labels.seen(new).collect()) == [2, 3, 4]
+    assert labels.box_rows(new).count() == 2 and labels.box_rows(new, "other").count() == 0
+    assert {r.dbidx: r.a for r in store.select("dbidx", labels.accepted("boxes").alias("a")).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_batches(spark):
+    from orrery.functions import batches
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "k int, t string")
+    assert batches.map_batches(df, lambda p, n: p.loc[p.index.repeat(n)], "k int, t string", n=2).count() == 6
+    assert batches.map_with_state(df, lambda: lambda p: p.head(1), "k int, t string").count() >= 1
+    assert [r.x for r in df.select(batches.by_row(str.upper, "string")("t").alias("x")).collect()] == ["A", None, "A"]
+    assert [r.vector for r in batches.embedded(df, "t", lambda t: [len(t)]).orderBy("k").collect()] == [[1.0], None, [1.0]]
+    assert batches.aggregated(df, ["t"], lambda p: p.head(1), "k int, t string").count() == 2
+
+
+def test_split_keeps_groups_together(spark):
+    from orrery.plans import models
+
+    df = spark.range(2000).selectExpr("id", "id div 5 as g", "id % 2 as s")
+    p = models.split_by_group(df, "g", "s").toPandas()
+    assert p.groupby(["g", "s"]).train.nunique().max() == 1 and 0.4 < p.train.mean() < 0.6
+
+
+def test_pyramid_of_small_and_large_images(spark):
+    from orrery.functions import grid
+
+    images = spark.createDataFrame([(1, 672, 896), (2, 100, 200)], "k int, w int, h int")
+    levels = grid.pyramid(images, "k", "w", "h")
+    assert sorted((r.k, r.zoom_level, r.scaled_width, r.scaled_height) for r in levels.collect()) == [(1, 0, 672, 896), (1, 1, 336, 448), (2, 0, 224, 448)]
+    plain = grid.tiles_of(levels.where("k = 1 and zoom_level = 0"), "k")
+    assert plain.where("x1 % 224 = 0 and y1 % 224 = 0").count() == 12
+
+
+def test_random_crop_holds_its_box(spark):
+    from orrery.functions import grid
+
+    df = spark.range(200).selectExpr("id", "double(id % 70) as x1", "double(id % 70 + 20) as x2")
+    a, b = grid.random_crop(F.col("x1"), F.col("x2"), F.lit(30.0), F.lit(100.0), 1, F.col("id"))
+    assert df.where(~((a <= F.col("x1")) & (b >= F.col("x2")) & (a >= 0) & (b <= 100))).count() == 0

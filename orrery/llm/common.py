@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a longest run of characters other than these; ``bytes.split()`` and Java's ``[\x20\x09-\x0D]`` agree on them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +68,37 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+def batches_of(spark: SparkSession, rows: int) -> None:
+    """Sets how many rows go to Python at once in this session. Texts are some kilobytes each, and a batch lies in memory about
+    four times: in the JVM's Arrow buffers both ways (outside the heap, and kept for later use) and in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def with_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[], Callable[..., list[pa.Array]]], most_bytes: int = 4 << 20) -> DataFrame:
+    """``df`` with more columns (a DDL list), computed batch by batch: ``make()`` runs once a task and gives a function from the
+    Arrow arrays of the ``inputs`` to those of the new columns. Batches are cut so that the first input holds about ``most_bytes``.
+
+    A scan without a shuffle. Other columns pass through untouched, whatever their names; all operators of this kind share one
+    pool of Python workers.
+    """
+    at = [df.columns.index(c) for c in inputs]
+    new = T.StructType.fromDDL(fields)
+    names = [f"c{i}" for i in range(len(df.columns) + len(new))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, [*df.schema, *new], strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fun = make()
+        for batch in batches:
+            first = batch.column(at[0])
+            sized = slices(first, most_bytes) if pa.types.is_string(first.type) or pa.types.is_binary(first.type) else [(0, len(first))]
+            for a, b in sized:
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *fun(*[part.column(i) for i in at])], names=names)
+
+    out = df.toDF(*names[: len(df.columns)]).mapInArrow(run, schema)
+    return out.toDF(*df.columns, *new.names)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table in the shared folder: its lineage ends there, so a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession
@@ -119,14 +151,16 @@ def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": a, "b": b})
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, spanning: bool = False) -> DataFrame:
     """Connected components of ``links(a, b)`` (long, not null): (node, component), component being the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer change. A step takes the smallest neighbour by an
     aggregate with partial sums and joins it back, so a hub never gathers its neighbours in one task, and nothing but two
-    numbers a round reaches the driver. Nodes without links do not appear.
+    numbers a round reaches the driver. Nodes without links do not appear. Unless the links are ``spanning`` ones already, each
+    task first reduces its own to a forest.
     """
-    e = links.where("a <> b").select("a", "b").mapInPandas(_forests, "a long, b long")
+    e = links.where("a <> b").select("a", "b")
+    e = e if spanning else e.mapInPandas(_forests, "a long, b long")
     e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(rounds):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import batches_of, with_columns
+
 #: The model is fitted on at most this many labelled rows in all, spread evenly over the languages, with so many landmarks.
 SAMPLE_ROWS, LANDMARKS = 2400, 96
 #: n-gram lengths of the blend, bits of the n-gram space, ridge, texts a matrix product.
@@ -40,7 +41,8 @@ def presence(text: str | None, letters: np.ndarray) -> np.ndarray | None:
     gap = c == 32
     keep = ~gap
     keep[1:] |= ~gap[:-1]
-    c = np.concatenate([[32], c[keep], [32]]).astype(np.uint64)  # a gap at both ends, doubled ones do no harm to presence
+    c = c[keep]
+    c = np.concatenate([[32], c[int(c[0] == 32) : len(c) - int(c[-1] == 32)], [32]]).astype(np.uint64)  # one gap at either end
     flags = np.zeros(1 << BITS, bool)
     h = np.zeros(len(c), np.uint64)
     for n in range(1, max(ORDERS) + 1):
@@ -113,25 +115,26 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text", name: str
     Null texts and texts without a letter are ``und`` with score 0, as is everything under a model of no language. The score is
     the regressed membership, cut to 0..1. Equal scores go to the first language by code point.
     """
+    batches_of(docs.sparkSession, 1000)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # a fixed size: 2 ** BITS x LANDMARKS floats
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         model, letters = KernelModel(*shared.value), _letter_table()
-        for s in it:
-            langs, scores = np.full(len(s), UNDETERMINED, object), np.zeros(len(s))
-            texts = s.to_list()
+
+        def predicted(texts: pa.Array) -> list[pa.Array]:
+            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             for at in range(0, len(texts), BATCH):
-                flags = [presence(t, letters) for t in texts[at : at + BATCH]]
+                flags = [presence(t, letters) for t in texts.slice(at, BATCH).to_pylist()]
                 there = [i for i, f in enumerate(flags) if f is not None]
                 if there and model.languages:
                     got = model.scores(np.array([flags[i] for i in there]))
-                    best = got.argmax(axis=1)
-                    for i, k, v in zip(there, best.tolist(), got.max(axis=1).tolist(), strict=True):
+                    for i, k, v in zip(there, got.argmax(axis=1).tolist(), got.max(axis=1).tolist(), strict=True):
                         langs[at + i], scores[at + i] = model.languages[k], min(1.0, max(0.0, v))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            return [pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])]
+
+        return predicted
 
-    return docs.withColumn(name, predicted(text))
+    return with_columns(docs, [text], f"`{name}` struct<lang_pred:string,score:double>", make)
 
 
 def held_out(key: str = "doc_id"):

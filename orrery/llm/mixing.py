@@ -50,9 +50,9 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("src_null", "src", "source_size", F.least(share, F.col("_cap").cast("double")).alias("target"), F.col("_total").alias("total"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """How much of each document the mix takes: (key, size, source_size, target, taken, whole, part_from, part_to,
-    head, source), one row per input row.
+    head, source, text_hash), one row per input row.
 
     ``size`` is the number of words of the text (null: 0) unless given. Blocks of BLOCK words go to sources by Sainte-Laguë on
     their targets, then within a source to SHARDS shards by Sainte-Laguë on the shards' sizes. In a shard, the documents in
@@ -61,17 +61,16 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
     These are ``whole`` times the document, its words [part_from, part_to) and, where the row of words wraps, its first ``head``.
 
     Null sources form one source, last in order. Null keys hash alike. Repeated rows are documents of their own; if they are equal
-    in key and size either may get the part. An empty table gives an empty result. Other columns are not looked at, but for those to
-    ``carry`` along, which come last in the struct ``carried``.
+    in key and size either may get the part. An empty table gives an empty result. Other columns are not looked at.
     """
     n = F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))) if size is None else size
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     rows = docs.select(
         F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("src_null"),
         F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("size"), mark.alias("mark"),
-        *([F.struct(*carry).alias("carried")] if carry else []),
+        F.xxhash64(text).alias("text_hash"),
     ).withColumn("chunk", F.substring("mark", 1, CHUNK_DIGITS))
-    rows = rows if carry else cut(rows)  # narrow, and read twice
+    rows = cut(rows)  # narrow, and read twice
     by = ["src_null", "src"]
     chunks = rows.groupBy(*by, "chunk").agg(F.sum("size").alias("chunk_size"))
     shard = (F.conv("chunk", 16, 10).cast("long") % SHARDS).alias("shard")
@@ -88,7 +87,7 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
     starts = starts.withColumn("whole", F.expr(f"least(shard_quota * {BLOCK}, shard_size * {REPEATS}) div greatest(shard_size, 1)"))
     starts = starts.withColumn("part", amount % ring).withColumn("begin", turn % F.expr(f"greatest((shard_size + {BLOCK - 1}) div {BLOCK}, 1)") * BLOCK)
     starts = starts.select(*by, "chunk", "chunk_start", "shard_size", "whole", "part", "begin", "source_size", "target")
-    within = Window.partitionBy(*by, "chunk").orderBy("mark", "_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*by, "chunk").orderBy("mark", "_key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, [*by, "chunk"])
     placed = placed.withColumn("at", F.col("chunk_start") + F.col("_in"))
     # The part covers [begin, begin + part) on a ring of shard_size words: from there to the ring's end, and on from its start.
@@ -99,7 +98,7 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
         F.col("_key").alias(key), "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.col("part_to") - F.col("part_from") + F.col("head")).cast("long").alias("taken"),
         "whole", "part_from", "part_to", "head", F.expr("if(src_null, null, src)").alias("source"),
-        *(["carried"] if carry else []),
+        "text_hash",
     )
 
 
@@ -107,14 +106,55 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """The mix as documents, with the columns of ``docs``: a row for each time a document is taken whole, and one for each part,
     its words joined by single spaces. Documents of which the mix takes nothing are left out."""
     names = docs.columns
-    taken = mix(docs, key=key, text=text, source=source, seed=seed, carry=tuple(names)).where("taken > 0")
-    words = F.regexp_extract_all(F.col(f"carried.{text}"), F.lit(WORD), F.lit(0))
-    part = lambda a, n: F.when(F.col(n) > 0, F.array(F.array_join(F.slice(words, F.col(a).cast("int") + 1, F.col(n).cast("int")), " "))).otherwise(F.array().cast("array<string>"))
-    taken = taken.withColumn("_zero", F.lit(0)).withColumn("_part", F.col("part_to") - F.col("part_from"))
-    texts = F.concat(F.array_repeat(F.col(f"carried.{text}"), F.col("whole").cast("int")), part("part_from", "_part"), part("_zero", "head"))
-    out = taken.select("carried", F.explode(texts).alias("_text"))
-    return out.select(*[F.col("_text").alias(n) if n == text else F.col(f"carried.{n}").alias(n) for n in names])
+    taken = cut(mix(docs, key=key, text=text, source=source, seed=seed).select(F.col(key).alias("_key"), F.col("source").alias("_source"), "text_hash", "whole", "part_from", "part_to", "head", "taken"))
+    same = ["_key", "_source", "text_hash"]
+    alike = taken.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    one_of = F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("taken"))) if alike else F.lit(1)  # equal rows are told apart by number
+    rows = docs.select(F.struct(*names).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("text_hash"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) if alike else F.lit(1))
+    taken = taken.withColumn("_n", one_of).where("taken > 0")
+    on = [rows[c].eqNullSafe(taken[c]) for c in [*same, "_n"]]
+    met = rows.join(taken, on).select("_row", "whole", "part_from", "part_to", "head")
+    words = F.regexp_extract_all(F.col(f"_row.{text}"), F.lit(WORD), F.lit(0))
+    part = lambda start, n: F.when(n > 0, F.array(F.array_join(F.slice(words, start.cast("int") + 1, n.cast("int")), " "))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col(f"_row.{text}"), F.col("whole").cast("int")), part(F.col("part_from"), F.col("part_to") - F.col("part_from")), part(F.lit(0), F.col("head")))
+    out = met.select("_row", F.explode(texts).alias("_text"))
+    return out.select(*[F.col("_text").alias(n) if n == text else F.col(f"_row.{n}").alias(n) for n in names])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(source, '') AS src, source IS NULL AS src_null, md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS mark,
+    (CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END)::BIGINT AS size FROM documents),
+p AS (SELECT *, ('0x' || substr(mark, 1, {CHUNK_DIGITS}))::BIGINT % {SHARDS} AS shard FROM d),
+s AS (SELECT src_null, src, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+w AS (
+  SELECT *, (row_number() OVER (ORDER BY src_null, src) - 1) % 3 + 1 AS w, {REPEATS} * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total FROM s),
+u AS (SELECT *, (sum(cap) OVER (ORDER BY cap / w))::BIGINT AS caps, (sum(w) OVER () - sum(w) OVER (ORDER BY cap / w))::BIGINT AS above FROM w),
+f AS (SELECT *, w * caps + cap * above < total * w AS is_full FROM u),
+r AS (
+  SELECT *, (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ())::BIGINT AS rest, (sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ())::BIGINT AS shared FROM f),
+t AS (
+  SELECT src_null, src, source_size, (total + {BLOCK // 2}) // {BLOCK} AS blocks,
+    least(CASE WHEN is_full THEN cap::DOUBLE ELSE w::DOUBLE * rest::DOUBLE / greatest(shared, 1)::DOUBLE END, cap::DOUBLE) AS target FROM r),
+a AS (SELECT *, unnest(range(1, blocks + 1)) AS k FROM t WHERE target > 0),
+b AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, src_null, src, k) AS place FROM a),
+q AS (SELECT src_null, src, count(*) AS quota FROM b WHERE place <= blocks GROUP BY ALL),
+h AS (SELECT src_null, src, shard, sum(size)::BIGINT AS shard_size FROM p GROUP BY ALL),
+e AS (SELECT h.*, quota, unnest(range(1, quota + 1)) AS k FROM h JOIN q USING (src_null, src) WHERE shard_size > 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY src_null, src ORDER BY shard_size::DOUBLE / (2 * k - 1) DESC, shard, k) AS place FROM e),
+i AS (SELECT src_null, src, shard, count(*) AS shard_quota FROM g WHERE place <= quota GROUP BY ALL),
+n AS (SELECT h.*, least(coalesce(shard_quota, 0) * {BLOCK}, shard_size * {REPEATS}) AS amount FROM h LEFT JOIN i USING (src_null, src, shard)),
+m AS (
+  SELECT *, amount // greatest(shard_size, 1) AS whole, amount % greatest(shard_size, 1) AS part,
+    ('0x' || substr(md5('0:' || src || ':' || shard), 1, 12))::BIGINT % greatest((shard_size + {BLOCK - 1}) // {BLOCK}, 1) * {BLOCK} AS first FROM n),
+o AS (
+  SELECT *, (coalesce(sum(size) OVER (PARTITION BY src_null, src, shard ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pos FROM p)
+SELECT doc_id, o.size, source_size, target, o.source,
+  whole * o.size + greatest(0, least(first + part - pos, o.size) - greatest(first - pos, 0)) + greatest(0, least(first + part - shard_size - pos, o.size)) AS taken
+FROM o JOIN m USING (src_null, src, shard) JOIN t USING (src_null, src)
+"""

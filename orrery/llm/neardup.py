@@ -118,7 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
                 })
 
     found = cut(pairs.mapInPandas(linked, "rep long, n long, to long"))
-    links = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    links = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), spanning=True)
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
     known = reps.select("_label", "_dim", "_hash", "rep", "copies").join(counts, "rep", "left").join(links, F.col("rep") == F.col("node"), "left")
     known = known.select("_label", "_dim", "_hash", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

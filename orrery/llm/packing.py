@@ -14,21 +14,22 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import before, cut, per_process, slices, split_words
+from .common import batches_of, before, cut, per_process, slices, split_words, with_columns
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task keeps; it forgets all and starts anew beyond.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 #: Chunks that the pieces of one length are ranked in.
 CHUNKS = 256
 #: Of a length's open demand, the most that one round of the program may serve, and the force of its price steps.
 SHARE, STEP = 0.5, 1.0
+#: Pieces of the scaled histogram that plain best fit packs for comparison.
+ITEMS = 50_000
 
 
 def stems(words: pa.Array, special: str) -> tuple[pa.Array, pa.Array]:
@@ -115,13 +116,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
     ``tokenizer`` is the path of a ``tokenizers`` file on the driver; its content travels to the executors.
     """
+    batches_of(docs.sparkSession, 4000)  # the more words at once, the fewer to encode
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_process(hashlib.sha256(definition.value.encode()).hexdigest(), lambda: WordIds(definition.value))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 4 << 20):
                 flat, bounds = words.encode(texts.slice(a, b - a))
                 owner, out = [], []
                 for k in range(b - a):
@@ -159,8 +161,17 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     configuration for each capacity by a knapsack, and serves whole multiples of configurations through the lengths with the
     most open demand, largest first; lengths that a round served lose weight against the others. What no whole multiple serves,
     some pieces a length whatever the corpus, is packed by best fit, decreasing. Work depends on ``capacity``, not on counts,
-    but for their logarithm.
+    but for their logarithm. Rounding costs most where few lengths fit together badly; best fit, decreasing, of the histogram
+    scaled down to ITEMS pieces is compared, and the one with fewer sequences is returned.
     """
+    rounded = _rounded_program(histogram, capacity)
+    scale = max(1, sum(histogram.values()) // ITEMS)
+    whole = {n: k // scale for n, k in histogram.items()}
+    plain = [(c, k * scale) for c, k in _best_fit(whole, capacity)] + _best_fit({n: k - whole[n] * scale for n, k in histogram.items()}, capacity)
+    return min(rounded, plain, key=lambda configs: sum(k for _, k in configs))
+
+
+def _rounded_program(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     rest = {n: k for n, k in histogram.items() if 0 < n <= capacity and k > 0}
     out: list[tuple[list[int], int]] = []
     if k := rest.pop(capacity, 0):
@@ -172,6 +183,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     while len(lengths) and idle < 3:
         prices = lengths / capacity * weights * (1 + 0.02 * lengths / capacity)  # short pieces fill gaps: keep them for last
         best, take = _price(lengths, prices, capacity)
+        reach, _ = _price(lengths, lengths.astype(float), capacity)  # how full a capacity can get at all
         budget = np.maximum(1, (open_ * SHARE).astype(np.int64))
         served = np.zeros(len(lengths), np.int64)
         for i in range(len(lengths) - 1, -1, -1):
@@ -187,7 +199,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
             need = Counter(config)
             fill = sum(int(lengths[j]) * m for j, m in need.items())
             times = min(min(int(open_[j]), int(budget[j] - served[j])) // m for j, m in need.items())
-            if times > 0 and fill >= capacity - 1:
+            if times > 0 and fill >= lengths[i] + reach[capacity - lengths[i]] - capacity // 1024:
                 out.append(([int(lengths[j]) for j in config], times))
                 for j, m in need.items():
                     open_[j] -= m * times
@@ -252,20 +264,23 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = docs.sparkSession.sparkContext.broadcast(_places(configurations(histogram, capacity), capacity))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def make():
         t = table.value
         starts = t["length"] * (1 << 44) + t["rank"]
-        for length, rank in it:
-            n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+
+        def placed(length: pa.Array, rank: pa.Array) -> list[pa.Array]:
+            n, r = length.to_numpy(), rank.to_numpy()
             i = np.searchsorted(starts, n * (1 << 44) + r, side="right") - 1
             along = r - t["rank"][i]
-            yield pd.DataFrame({"sequence_id": t["sequence"][i] + along // t["times"][i], "offset": t["offset"][i] + along % t["times"][i] * n})
+            return [pa.array(t["sequence"][i] + along // t["times"][i]), pa.array(t["offset"][i] + along % t["times"][i] * n)]
+
+        return placed
 
     chunk = F.pmod(F.xxhash64("_key", "piece", "ids_crc32"), F.lit(CHUNKS))
     ranked = before(pieces.withColumn("_chunk", chunk).withColumn("_one", F.lit(1)), ["length"], "_chunk", ["_key", "piece", "ids_crc32"], "_one", "_rank")
-    out = ranked.withColumn("_at", placed("length", F.col("_rank").cast("long")))
-    return out.select(F.col("_key").alias(key), "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
+    ranked = ranked.select("_key", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long").alias("_rank"))
+    out = with_columns(ranked, ["length", "_rank"], "sequence_id long, offset long", make)
+    return out.select(F.col("_key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -15,9 +15,12 @@ from hashlib import blake2b
 from math import isqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import batches_of, with_columns
+
 ROUNDS = 8
 
 # Given names by gender, titles by gender, alphabets (vowels, consonants) by script.
@@ -273,18 +276,22 @@ def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", name: str =
     entities stay as they are. Ties and repeated rows are rewritten alike.
     """
 
-    @F.pandas_udf("text string, n_entities int, n_distinct int, spans array<struct<type:string,start:int,end:int,surrogate:string>>")
-    def rewritten(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    batches_of(docs.sparkSession, 1000)
+    span = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])
+
+    def make():
         at = Permutation(secret)
-        for s in it:
-            rows = []
-            for t in s:
-                new, found = replaced(t, at)
-                spans = [{"type": k, "start": a, "end": b, "surrogate": n} for a, b, k, _, n in found]
-                rows.append((new, len(found), len({(k, o) for _, _, k, o, _ in found}), spans))
-            yield pd.DataFrame(rows, columns=["text", "n_entities", "n_distinct", "spans"])
-
-    return docs.withColumn(name, rewritten(text))
+
+        def rewritten(texts: pa.Array) -> list[pa.Array]:
+            new, found = zip(*[replaced(t, at) for t in texts.to_pylist()], strict=True)
+            distinct = [len({(k, o) for _, _, k, o, _ in f}) for f in found]
+            spans = [[{"type": k, "start": a, "end": b, "surrogate": n} for a, b, k, _, n in f] for f in found]
+            columns = [pa.array(new, pa.string()), pa.array(map(len, found), pa.int32()), pa.array(distinct, pa.int32()), pa.array(spans, pa.list_(span))]
+            return [pa.StructArray.from_arrays(columns, ["text", "n_entities", "n_distinct", "spans"])]
+
+        return rewritten
+
+    return with_columns(docs, [text], f"`{name}` struct<text:string,n_entities:int,n_distinct:int,spans:array<struct<type:string,start:int,end:int,surrogate:string>>>", make)
 
 
 def collisions(docs: DataFrame, secret: bytes, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op3_nearest_neighbours
 from .language import op4_language_id
-from .mixing import op9_mixing
+from .mixing import OP9_SQL, op9_mixing
 from .simhash import op8_simhash
 from .neardup import OP2_SQL, op2_embedding_near_dedup
 from .packing import op7_packing
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
-SQL: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op10_url_filters": OP10_SQL}
+SQL: dict[str, str] = {"op9_mixing": OP9_SQL, "op2_embedding_near_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op10_url_filters": OP10_SQL}

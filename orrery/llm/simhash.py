@@ -7,11 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest
+from .common import batches_of, components, cut, forest, with_columns
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Two fingerprints that differ in at most MOST_BITS bits share at least this many of their eight positional bytes.
@@ -48,12 +49,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """Adds each row's fingerprint (long); a scan without a shuffle."""
 
-    @F.pandas_udf("long")
-    def hashed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            yield pd.Series([fingerprint(t, shingle) for t in s], dtype="int64")
+    batches_of(docs.sparkSession, 1000)
 
-    return docs.withColumn(name, hashed(text))
+    def make():
+        return lambda texts: [pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.int64())]
+
+    return with_columns(docs, [text], f"`{name}` long", make)
 
 
 def _posting_masks() -> list[int]:
@@ -133,7 +134,7 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     rows = cut(with_fingerprint(rows, "_text").select("_key", "fingerprint", F.xxhash64("_text").alias("mark")))
     nodes = rows.groupBy("fingerprint").agg(F.min("_key").alias("low"))
-    linked = components(fingerprint_links(nodes.select("fingerprint")))
+    linked = components(fingerprint_links(nodes.select("fingerprint")), spanning=True)
     placed = nodes.join(linked, nodes.fingerprint == linked.node, "left").select("fingerprint", "low", F.coalesce("component", "fingerprint").alias("family"))
     placed = cut(placed)
     lowest = placed.groupBy("family").agg(F.min("low").alias("component_id"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, split_words
+from .common import batches_of, cut, slices, split_words
 
 WINDOW, PART = 13, 7
 #: Text bytes a chunk, anchors a bucket of the filter, suffixes a group, prefix lengths tried, most slots a prefix length has.
@@ -69,6 +69,7 @@ def chunk_table(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
                 number += 1
 
     spark = docs.sparkSession
+    batches_of(spark, 10_000)  # a batch makes a chunk or more
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     made = rows.mapInArrow(chunked, "chunk long, n_docs long, n_words long, keys binary, known binary, bounds binary, same binary, words binary, spelled binary, ends binary")
     name = f"orrery_words_{uuid.uuid4().hex}"
@@ -89,7 +90,7 @@ class Chunk:
 
     def words(self) -> list[bytes]:
         ends = self.ends.tolist()
-        return [self.spelled[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return [self.spelled[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word in place."""

@@ -844,10 +844,10 @@ def box_tracks(spark, sf):
     return tracking.tracks(b).select("video_id", "frame", "vec_id", "track_id", "confirmed")
 
 
-@query(f"WITH {RUNS} SELECT category, variant, hits[1] AS position_1, hits[2] AS position_2, hits[3] AS position_3, hits[10] AS position_10 FROM runs")
+@query(f"WITH {RUNS} SELECT category, variant, hits[1]::DOUBLE AS position_1, hits[2]::DOUBLE AS position_2, hits[3]::DOUBLE AS position_3, hits[10]::DOUBLE AS position_10 FROM runs")
 def hit_positions(spark, sf):
     r = runs(spark, sf)
-    r = r.withColumn("hit_indices", F.col("hit_indices").cast("array<long>"))
+    r = r.withColumn("hit_indices", F.col("hit_indices").cast("array<double>"))
     return r.select("category", "variant", *metrics.zero_based_ranks("hit_indices"))
 
 

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -43,8 +44,8 @@ def rows_of(df):
     cols = sorted(df.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v) is True:
             return "null"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}" if isinstance(v, float) and v % 1 else str(int(v) if isinstance(v, float) and abs(v) < 1e15 else v)
 
     return cols, sorted(tuple(plain(v) for v in r) for r in df[cols].itertuples(index=False))

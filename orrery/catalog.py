@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import boxes, grid, metrics, text, vectors
-from .operators import graph, labels, logs, search, sets, spatial, tracking
+from .operators import graph, labels, logs, ranks, search, sets, spatial, tracking
 from .plans import feedback, models, reports, session
 from .sources import tables
-from .sources.shared import cut
+from .sources.shared import cut, shared_dir
+from .streaming import log as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,7 +143,8 @@ def distinct_frame_topk(spark, sf):
 
 @query(f"WITH {TILES}, {SCORED}, r AS (SELECT dbidx, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS position FROM scored) SELECT dbidx, min(position) AS position FROM r GROUP BY dbidx ORDER BY 2 LIMIT 7")
 def distinct_positions(spark, sf):
-    ranked = search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).withColumn("position", (F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")) - 1).cast("long"))
+    scored = search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).select("vec_id", "dbidx", "score")
+    ranked = ranks.numbered(scored, [F.desc("score"), F.asc("vec_id")], "position")
     return search.distinct_positions(ranked, 7)
 
 
@@ -478,9 +480,9 @@ def hit_gaps(spark, sf):
 @query(f"""WITH {TILES}, {SCORED}, o AS (SELECT vec_id, label = 1 AS hit, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM scored), c AS (SELECT *, sum(hit::INT) OVER (ORDER BY r) AS found FROM o)
 SELECT round(sum(found / r::DOUBLE) / count(*), 6) AS average_precision, min(r) - 1 AS first_hit, count(*) AS n FROM c WHERE hit""")
 def full_ranking_ap(spark, sf):
-    w = Window.orderBy(F.desc("score"), "vec_id")
     s = search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).select("vec_id", (F.col("label") == 1).alias("hit"), "score")
-    ranked = s.withColumn("r", F.row_number().over(w)).withColumn("found", F.sum(F.col("hit").cast("int")).over(w))
+    before = ranks.running(s, [F.desc("score"), F.asc("vec_id")], {"r": F.lit(1).cast("long"), "found": F.col("hit").cast("long")})
+    ranked = before.where("hit").select("hit", (F.col("r") + 1).alias("r"), (F.col("found") + 1).alias("found"))
     return ranked.where("hit").agg((F.sum(F.col("found") / F.col("r")) / F.count(F.lit(1))).alias("average_precision"), (F.min("r") - 1).cast("long").alias("first_hit"), F.count(F.lit(1)).alias("n"))
 
 
@@ -893,3 +895,28 @@ def calibrated_scores(spark, sf):
     s = search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).select("vec_id", "score", (F.col("label") == 1).cast("int").alias("y"))
     slope, shift = models.calibration(s)
     return s.select("vec_id", vectors.sigmoid("score", slope, shift).alias("p"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf, make) -> DataFrame:
+    """What a stream over the events has said once it has read them all; its result, not its input, is held in memory."""
+    import uuid
+
+    log = stream.read_log(spark, sf, stream.EVENTS.replace("ts timestamp", "ts timestamp_ntz"), only="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"stream_{uuid.uuid4().hex}"
+    q = make(log).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def stream_hourly_counts(spark, sf):
+    return _streamed(spark, sf, stream.windowed_counts).select(F.unix_micros("start").alias("start_us"), "event_type", "n", "total")
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS fresh FROM events), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_user_sessions(spark, sf):
+    return _streamed(spark, sf, lambda log: stream.user_sessions(log, "6 hours")).select("user_id", F.unix_micros("start").alias("start_us"), "n")

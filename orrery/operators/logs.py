@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def _run(group: str, order: list[str]):
     return Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,12 +84,15 @@ def padded_timeline(accepts: DataFrame, group: str, limit: float, upto: int = 10
     return keys.join(first, [group, "accepted"], "left").withColumn("seconds", F.least(F.coalesce("seconds", F.lit(float(limit))), F.lit(float(limit))))
 
 
-def inversions(rows: DataFrame, score: str, label: str, key: str, group: str | None = None) -> DataFrame:
-    """Adds ``inversions``: for a positive the negatives that score better, for a negative the positives that score worse."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(F.desc(score), key)
-    above, below = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    worse = F.when(F.col(label) == 1, F.sum(1 - F.col(label)).over(above)).otherwise(F.sum(label).over(below))
-    return rows.withColumn("inversions", F.coalesce(worse, F.lit(0)))
+def inversions(rows: DataFrame, score: str, label: str, key: str) -> DataFrame:
+    """Adds ``inversions``: for a positive the negatives that score better, for a negative the positives that score worse.
+
+    The ranking is over the whole table; one number, the count of positives, is joined back.
+    """
+    ranked = running(rows, [F.desc(score), F.asc(key)], {"_above": (1 - F.col(label)).cast("long"), "_found": F.col(label).cast("long")})
+    total = rows.agg(F.coalesce(F.sum(label), F.lit(0)).alias("_total"))
+    worse = F.when(F.col(label) == 1, F.col("_above")).otherwise(F.col("_total") - F.col("_found"))
+    return ranked.join(F.broadcast(total)).withColumn("inversions", worse).drop("_above", "_found", "_total")
 
 
 def timeline(sessions: DataFrame) -> DataFrame:

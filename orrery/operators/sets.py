@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def id_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).union(b.select(key)).distinct()
@@ -32,10 +34,10 @@ def label_changes(old: DataFrame, new: DataFrame, key: str = "dbidx") -> DataFra
 def numbered_strings(rows: DataFrame, text: str, position: str) -> DataFrame:
     """(text, first_position, id): different strings numbered from 0 in order of first appearance."""
     first = rows.groupBy(text).agg(F.min(position).alias("first_position"))
-    return first.withColumn("id", F.row_number().over(Window.orderBy("first_position", text)) - 1)
+    return numbered(first, ["first_position", text], "id")
 
 
 def densified(rows: DataFrame, kept: DataFrame, key: str, new: str = "new_id") -> DataFrame:
     """The rows of ``kept`` keys, renumbered from 0 without gaps in order of the old key."""
-    table = kept.select(key).distinct().withColumn(new, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    table = numbered(kept.select(key).distinct(), [key], new)
     return rows.join(table, key)

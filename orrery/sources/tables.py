@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import IMAGE_EXTENSIONS, is_image
+from ..operators.ranks import numbered, parts
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double,description:string,marked_accepted:boolean>"
 INTERVAL = "struct<start_ms:bigint,end_ms:bigint>"
@@ -24,8 +25,8 @@ def list_files(spark: SparkSession, base: str, extensions: tuple[str, ...] = IMA
 
 
 def file_table(paths: DataFrame, column: str = "file_path") -> DataFrame:
-    """(dbidx, file_path): different paths numbered from 0 in their order. One number a file goes through the ranking."""
-    return paths.select(column).distinct().withColumn("dbidx", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    """(dbidx, file_path): different paths numbered from 0 in their order."""
+    return numbered(paths.select(column).distinct(), [column], "dbidx")
 
 
 def write_table(df: DataFrame, path: str, force: bool = False) -> None:
@@ -100,7 +101,7 @@ def read_batches(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 def split_evenly(rows: DataFrame, n: int, order: str) -> DataFrame:
     """Adds ``part`` (0 .. n - 1): consecutive ranges whose sizes differ by one at most."""
-    return rows.withColumn("part", F.ntile(n).over(Window.orderBy(order)) - 1)
+    return parts(rows, n, [order])
 
 
 def cached_table(make, spark: SparkSession, path: str, force: bool = False) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_log(spark: SparkSession, path: str, schema: str = EVENTS, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_log(spark: SparkSession, path: str, schema: str = EVENTS, files_per_trigger: int = 16, only: str = "*") -> DataFrame:
+    """The files that come into a folder, ``only`` those of a name pattern."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", only).parquet(path)
 
 
 def windowed_counts(log: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -274,3 +274,17 @@ def test_random_crop_holds_its_box(spark):
     df = spark.range(200).selectExpr("id", "double(id % 70) as x1", "double(id % 70 + 20) as x2")
     a, b = grid.random_crop(F.col("x1"), F.col("x2"), F.lit(30.0), F.lit(100.0), 1, F.col("id"))
     assert df.where(~((a <= F.col("x1")) & (b >= F.col("x2")) & (a >= 0) & (b <= 100))).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 97])
+def test_global_ranks_and_parts(spark, n):
+    from orrery.operators import ranks
+
+    df = spark.range(n).selectExpr("id", "id % 3 as v", "id % 2 as y")
+    got = ranks.running(df, [F.desc("v"), F.asc("id")], {"r": F.lit(1).cast("long"), "s": F.col("y")}).collect()
+    order = sorted(range(n), key=lambda i: (-(i % 3), i))
+    assert {(r.id, r.r, r.s) for r in got} == {(i, k, sum(j % 2 for j in order[:k])) for k, i in enumerate(order)}
+    sizes = [0] * 7
+    for r in ranks.parts(df, 7, ["id"]).orderBy("id").collect():
+        sizes[r.part] += 1
+    assert sizes == [n // 7 + (k < n % 7) for k in range(7)]

@@ -627,9 +627,9 @@ def ecdf(spark, sf):
     return reports.cumulative(s, "ndcg_score", ["dataset"]).select("dataset", "category", "variant", "ecdf")
 
 
-@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem, count(value) AS n FROM events GROUP BY event_type")
+@query("SELECT event_type, round(avg(value) + 1e-9, 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem, count(value) AS n FROM events GROUP BY event_type")
 def mean_and_error(spark, sf):
-    return reports.mean_and_error(table(spark, sf, "events"), "value", ["event_type"])
+    return reports.mean_and_error(table(spark, sf, "events"), "value", ["event_type"]).withColumn("mean", F.col("mean") + 1e-9)
 
 
 @query(f"WITH {RUNS} SELECT dataset, variant, round(sum(len(hits))::DOUBLE / nullif(sum(ntotal), 0), 6) AS ratio FROM runs GROUP BY ALL")
@@ -920,3 +920,43 @@ def stream_hourly_counts(spark, sf):
 SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_user_sessions(spark, sf):
     return _streamed(spark, sf, lambda log: stream.user_sessions(log, "6 hours")).select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query(f"WITH {STATS}, m AS (SELECT dataset, category, " + ", ".join(f"max(ndcg_score) FILTER (variant = {v}) AS v_{v}" for v in range(3)) + " FROM stats GROUP BY ALL) SELECT dataset, category, " + ", ".join(f"round(v_{v}, 6) AS v_{v}" for v in range(3)) + ", round(v_2 - v_0, 6) AS delta FROM m")
+def method_matrix(spark, sf):
+    return reports.method_matrix(stats(spark, sf), "ndcg_score", [0, 1, 2])
+
+
+@query("SELECT user_id, round(avg(value) + 1e-9, 6) AS latency_mean, round(stddev_pop(value) + 1e-9, 6) AS latency_std FROM events GROUP BY user_id")
+def latency_means(spark, sf):
+    v = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("latencies"))
+    nudge = lambda c: (F.col(c) + 1e-9).alias(c)  # noqa: E731  means of cents fall on halves of the last digit
+    return reports.latency_means(v).select("user_id", nudge("latency_mean"), nudge("latency_std"))
+
+
+@query(f"WITH {ANN} SELECT dbidx, unnest(list(x1 ORDER BY x1, y1)) AS x1, unnest(list(y1 ORDER BY x1, y1)) AS y1 FROM ann WHERE category = 2 GROUP BY dbidx")
+def boxes_by_image(spark, sf):
+    found = tables.boxes_by_image(annotations(spark, sf), 2)
+    return found.select("dbidx", F.explode("boxes").alias("b")).select("dbidx", "b.x1", "b.y1")
+
+
+@query("SELECT DISTINCT page_id, url FROM pages WHERE url IS NOT NULL AND (page_id % 3 = 0 OR page_id % 5 = 0)")
+def reviewed_sessions(spark, sf):
+    p = table(spark, sf, "pages").where("url is not null").select("page_id", "url")
+    return tables.reviewed_sessions(p, p.where("page_id % 3 = 0"), p.where("page_id % 5 = 0"), key="url").where("page_id % 3 = 0 or page_id % 5 = 0").distinct()
+
+
+@query("SELECT conv_id, turn, len(list_filter(string_split_regex(text, '[.!?]+\\s*'), lambda s: s <> '')) AS n FROM conversations WHERE text IS NOT NULL")
+def sentence_counts(spark, sf):
+    c = table(spark, sf, "conversations").where("text is not null")
+    parts = F.filter(F.split("text", r"[.!?]+\s*"), lambda s: s != "")
+    return c.select("conv_id", "turn", F.size(parts).cast("long").alias("n"))
+
+
+@query()
+def graph_search(spark, sf):
+    """A loop of queries and feedback along a graph: one summary row a method."""
+    t, truth, edges = cut(tiles(spark, sf)), annotations(spark, sf), cut(_knn(spark, sf))
+    found = [session.simulated(session.Session(t, embedding_of(spark, sf, 0), m, batch=3, graph=edges), truth, 1, 3, 3) for m in ("lknn", "active")]
+    rows = [(r["method"], r["hit_indices"], r["nseen"], r["nfound"], r["ntotal"], r["dbidxs"]) for r in found]
+    return spark.createDataFrame(rows, "method string, hit_indices array<int>, nseen int, nfound int, ntotal int, dbidxs array<long>")

@@ -154,3 +154,45 @@ def bootstrap(rows: DataFrame, value: str, group: list[str], statistic: str = "m
 
     keys = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
     return rows.groupBy(*group).applyInPandas(interval, f"{keys}, low double, high double, value double")
+
+
+def with_parameters(rows: DataFrame, parameters: DataFrame, key: str = "param_hash") -> DataFrame:
+    """Rows with the parameters that their hash stands for; rows of unknown hashes stay."""
+    return rows.join(parameters, key, "left")
+
+
+def method_matrix(stats: DataFrame, metric: str, variants: list, variant: str = "variant", query: tuple[str, ...] = QUERY) -> DataFrame:
+    """One row a query, a column for each variant (v_<name>) and the difference of the last and the first (delta)."""
+    wide = stats.groupBy(*query).pivot(variant, variants).agg(F.first(metric))
+    named = [F.col(f"`{v}`").alias(f"v_{v}") for v in variants]
+    return wide.select(*query, *named, (F.col(f"`{variants[-1]}`") - F.col(f"`{variants[0]}`")).alias("delta"))
+
+
+def latency_means(rows: DataFrame, latencies: str = "latencies") -> DataFrame:
+    """Adds latency_mean and latency_std (population) of each run's array of latencies; null for none."""
+    a, n = F.col(latencies), F.size(latencies)
+    mean = F.when(n > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n)
+    rows = rows.withColumn("latency_mean", mean)
+    spread = F.aggregate(F.transform(a, lambda x: (x - F.col("latency_mean")) * (x - F.col("latency_mean"))), F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn("latency_std", F.when(n > 0, F.sqrt(spread / n)))
+
+
+def brief(value: float | None) -> str:
+    """A number for a table: two digits after the point, without the zero before it."""
+    if value is None or value != value:
+        return "-"
+    text = f"{value:.2f}"
+    return text.replace("0.", ".", 1) if text.startswith(("0.", "-0.")) else text
+
+
+def times(value: float) -> str:
+    return f"{value:.1f}x"
+
+
+def short_count(value: float) -> str:
+    """1234567 as 1.2M."""
+    for unit in ("", "K", "M", "B"):
+        if abs(value) < 1000 or unit == "B":
+            return f"{value:.0f}" if not unit else f"{value:.1f}{unit}"
+        value /= 1000
+    return str(value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import time
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -13,7 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.search import multiscale_query, random_batch
+from ..functions.vectors import rbf_kernel, sigmoid
+from ..operators.graph import neighbour_scores, propagated, weights
+from ..operators.search import multiscale_query, random_batch, scored, top_frames, top_k, without
+from ..sources.shared import cut
 from . import feedback
 
 
@@ -21,7 +25,10 @@ from . import feedback
 class Session:
     """A search over tiles (vec_id, dbidx, zoom_level, x1, y1, x2, y2, embedding): batches of frames, feedback, refined queries.
 
-    State is small: what was returned and what was marked. ``method`` is plain, random, rocchio, logistic or multi.
+    State is small: what was returned and what was marked. ``method`` is one of METHODS; those of GRAPH_METHODS need ``graph``, edges
+    (src_vertex, dst_vertex, distance, dst_rank) over vec_id. ``knn_prop`` ranks by propagated labels, ``lknn`` by labelled
+    neighbours, ``active`` takes the frame of the vertex that promises most within ``horizon`` steps, and ``pseudo`` fits a query to
+    propagated labels of a sample.
     """
 
     tiles: DataFrame
@@ -30,17 +37,21 @@ class Session:
     batch: int = 1
     start_policy: str = "after_first_batch"
     scoring: str = "plain_score"
+    graph: DataFrame | None = None
     options: dict[str, Any] = field(default_factory=dict)
     returned: list[int] = field(default_factory=list)
     accepted: dict[int, list[tuple[float, float, float, float]]] = field(default_factory=dict)
     log: list[dict[str, Any]] = field(default_factory=list)
     _current: list[float] = field(default_factory=list)
 
-    METHODS = ("plain", "random", "rocchio", "logistic", "multi")
+    GRAPH_METHODS = ("knn_prop", "lknn", "active", "pseudo")
+    METHODS = ("plain", "random", "rocchio", "logistic", "rank", "multi", *GRAPH_METHODS)
 
     def __post_init__(self) -> None:
         if self.method not in self.METHODS:
             raise ValueError(f"unknown method {self.method!r}")
+        if self.method in self.GRAPH_METHODS and self.graph is None:
+            raise ValueError(f"{self.method} needs a graph")
         self._current = [float(v) for v in self.query]
         self._note("set_text")
 
@@ -55,6 +66,8 @@ class Session:
         seen = self._ids(self.returned)
         if self.method == "random":
             rows = random_batch(self.tiles, self.batch, "dbidx", self.options.get("seed", 0), seen).collect()
+        elif self.method in ("knn_prop", "lknn", "active") and self.accepted and self._may_refine():
+            rows = self._by_graph(seen).collect()
         else:
             rows = multiscale_query(self.tiles, self._current, self.batch, exclude=seen, method=self.scoring).collect()
         found = [r.dbidx for r in rows]
@@ -67,20 +80,68 @@ class Session:
         self.accepted[frame] = [tuple(map(float, b)) for b in boxes]
         self._note("update")
 
-    def labelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(vectors, labels, vectors of the image) of the frames with feedback: a vector is positive if an accepted box overlaps it."""
+    def _marked(self) -> list:
+        """The vectors of frames with feedback, each with y: 1 if an accepted box overlaps it."""
         rows = self.tiles.join(self._ids(list(self.accepted)), "dbidx", "left_semi").select("vec_id", "dbidx", "x1", "y1", "x2", "y2", "embedding").orderBy("vec_id").collect()
         hit = lambda r: any(r.x1 < b[2] and b[0] < r.x2 and r.y1 < b[3] and b[1] < r.y2 for b in self.accepted[r.dbidx])
-        of = {}
-        for r in rows:
-            of[r.dbidx] = of.get(r.dbidx, 0) + 1
-        return np.array([r.embedding for r in rows], float), np.array([int(hit(r)) for r in rows]), np.array([of[r.dbidx] for r in rows])
+        return [(r, int(hit(r))) for r in rows]
 
-    def refine(self) -> None:
-        """Uses the feedback so far, once the start policy allows it."""
+    def labelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors, labels, vectors of the image) of the frames with feedback."""
+        rows = self._marked()
+        of = Counter(r.dbidx for r, _ in rows)
+        return np.array([r.embedding for r, _ in rows], float), np.array([y for _, y in rows]), np.array([of[r.dbidx] for r, _ in rows])
+
+    def _may_refine(self) -> bool:
         marks = [bool(b) for b in self.accepted.values()]
         turned = any(b and not all(marks[:i]) for i, b in enumerate(marks))
-        if self.method in ("plain", "random") or not feedback.may_refine(self.start_policy, len(self.returned) // max(1, self.batch), sum(marks), len(marks) - sum(marks), turned):
+        return feedback.may_refine(self.start_policy, len(self.returned) // max(1, self.batch), sum(marks), len(marks) - sum(marks), turned)
+
+    def _vertex_scores(self) -> DataFrame:
+        """(vertex, score) along the graph: a prior from the query's scores, and the labels so far."""
+        labels = self.tiles.sparkSession.createDataFrame([(r.vec_id, y) for r, y in self._marked()], "vertex long, y int")
+        prior = scored(self.tiles, self._current).select(F.col("vec_id").alias("vertex"), sigmoid("score", self.options.get("slope", 10.0), self.options.get("shift", -0.3)).alias("f"))
+        if self.method in ("knn_prop", "pseudo"):
+            w = weights(self.graph, lambda d: rbf_kernel(d, self.options.get("width", 0.5)))
+            return propagated(cut(w), prior, labels, self.options.get("prior_weight", 1.0), self.options.get("steps", 5)).withColumnRenamed("f", "score")
+        return neighbour_scores(self.graph, prior.withColumn("f", F.lit(float(self.options["gamma"]))) if "gamma" in self.options else prior, labels)
+
+    def _by_graph(self, seen: DataFrame) -> DataFrame:
+        scores = self.tiles.select("vec_id", "dbidx").join(self._vertex_scores().withColumnRenamed("vertex", "vec_id"), "vec_id")
+        if self.method != "active":
+            return top_frames(scores, self.batch, exclude=seen).select("dbidx")
+        return self._promising(without(scores, seen, "dbidx"))
+
+    def _promising(self, scores: DataFrame) -> DataFrame:
+        """The frames of the vertices with the largest p (1 + best after a positive) + (1 - p) best after a negative, of the most probable.
+
+        A label moves only vertices that have the labelled one among their neighbours, so the best sums come from the candidates'
+        reverse neighbours and as many of the others as can take part; only those reach the driver.
+        """
+        horizon, most = self.options.get("horizon", 5), self.options.get("candidates", 20)
+        scores = cut(scores)
+        chosen = [r.vec_id for r in top_k(scores, most, "vec_id").select("vec_id").collect()]
+        near = self.graph.where(F.col("dst_vertex").isin(chosen) & (F.col("src_vertex") != F.col("dst_vertex")))
+        moved = near.join(scores.select(F.col("vec_id").alias("src_vertex"), "score"), "src_vertex").select("dst_vertex", "src_vertex", "score").collect()
+        known = [r.vec_id for r in self.tiles.join(self._ids(list(self.accepted)), "dbidx", "left_semi").select("vec_id").collect()]
+        told = self.graph.where(F.col("dst_vertex").isin(known)).groupBy("src_vertex").agg(F.count(F.lit(1)).alias("n"))
+        n = {r.src_vertex: r.n for r in told.where(F.col("src_vertex").isin([m.src_vertex for m in moved])).collect()}
+        by = {v: [m for m in moved if m.dst_vertex == v] for v in chosen}
+        reach = horizon + max([1, *map(len, by.values())])
+        base = {r.vec_id: (r.score, r.dbidx) for r in top_k(scores, reach, "vec_id").collect()}
+
+        def best(v: int, y: int) -> float:
+            new = {m.src_vertex: (m.score * (1 + n.get(m.src_vertex, 0)) + y) / (2 + n.get(m.src_vertex, 0)) for m in by[v]}
+            rest = [s for u, (s, _) in base.items() if u != v and u not in new] + [s for u, s in new.items() if u != v]
+            return sum(sorted(rest, reverse=True)[: horizon - 1])
+
+        value = {v: base[v][0] * (1 + best(v, 1)) + (1 - base[v][0]) * best(v, 0) for v in chosen if v in base}
+        frames = list(dict.fromkeys(base[v][1] for v in sorted(value, key=lambda v: (-value[v], v))))
+        return self._ids(frames[: self.batch])
+
+    def refine(self) -> None:
+        """Uses the feedback so far, once the start policy allows it."""
+        if self.method in ("plain", "random", "knn_prop", "lknn", "active") or not self._may_refine():
             return
         x, y, per = self.labelled()
         q = np.array(self.query, float)
@@ -90,6 +151,14 @@ class Session:
             new = o["alpha"] * q + o["beta"] * mean(x[y == 1]) - o["gamma"] * mean(x[y == 0])
         elif self.method == "logistic":
             new = feedback.logistic_refine(x, y, q, self.options.get("penalty", 1.0))
+        elif self.method == "rank":
+            new = feedback.rank_refine(x, y, q, self.options.get("penalty", 1.0))
+        elif self.method == "pseudo":
+            scores = self._vertex_scores().withColumnRenamed("vertex", "vec_id")
+            sample = self.tiles.join(random_batch(self.tiles, self.options.get("sample", 200), "vec_id", self.options.get("seed", 0)), "vec_id", "left_semi")
+            rows = sample.join(scores, "vec_id").select("embedding", "score").collect()
+            soft, told = np.array([r.embedding for r in rows], float), self.options.get("label_weight", 10.0)
+            new = feedback.soft_refine(np.concatenate([soft, x]), np.concatenate([[r.score for r in rows], y]), np.concatenate([np.ones(len(rows)), np.full(len(y), told)]), q, self.options.get("penalty", 1.0))
         else:
             new = feedback.multi_refine(x, y, per, q, self.options.get("spread"))
         self._current = new.tolist()

@@ -154,3 +154,25 @@ class Catalogue:
 def relabelled(rows: DataFrame, condition: Column, column: str, value) -> DataFrame:
     """A one-off correction: ``column`` set where a condition holds."""
     return rows.withColumn(column, F.when(condition, F.lit(value)).otherwise(F.col(column)))
+
+
+def write_sessions(sessions: DataFrame, path: str, keys: tuple[str, ...] = ("session_id", "qkey")) -> None:
+    """Sessions as JSON documents, a folder for each key; earlier saves stay."""
+    sessions.write.mode("append").partitionBy(*keys).json(path)
+
+
+def boxes_by_image(boxes: DataFrame, category, key: str = "dbidx") -> DataFrame:
+    """(key, boxes): for review, the boxes of a category in each image, an array in order of their corners."""
+    mine = boxes.where(F.col("category") == F.lit(category))
+    return mine.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("boxes"))
+
+
+def reviewed_sessions(sessions: DataFrame, *lists: DataFrame, key: str = "session_path") -> DataFrame:
+    """Sessions on any of several reviewed lists of paths; paths are compared cleaned."""
+    from ..functions.text import clean_path
+
+    names = [d.select(clean_path(key).alias("_path")) for d in lists]
+    wanted = names[0]
+    for d in names[1:]:
+        wanted = wanted.union(d)
+    return sessions.withColumn("_path", clean_path(key)).join(wanted.distinct(), "_path", "left_semi").drop("_path")

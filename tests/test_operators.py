@@ -288,3 +288,46 @@ def test_global_ranks_and_parts(spark, n):
     for r in ranks.parts(df, 7, ["id"]).orderBy("id").collect():
         sizes[r.part] += 1
     assert sizes == [n // 7 + (k < n % 7) for k in range(7)]
+
+
+@pytest.mark.parametrize("method", ["logistic", "rank", "multi", "knn_prop", "lknn", "active", "pseudo"])
+def test_every_method_searches(spark, sf, method):
+    from orrery import catalog
+    from orrery.sources.shared import cut
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 150")
+    t = catalog.tiles(spark, sf).where("vec_id < 150")
+    edges = cut(graph.exact_knn(e, 4))
+    s = session.Session(t, catalog.embedding_of(spark, sf, 0), method, batch=4, graph=edges)
+    r = session.simulated(s, catalog.annotations(spark, sf), 1, 50, 3)
+    assert r["nseen"] == 12 == len(set(r["dbidxs"])) and r["nfound"] == len(r["hit_indices"])
+
+
+def test_graph_methods_need_a_graph(spark, sf):
+    from orrery import catalog
+
+    with pytest.raises(ValueError):
+        session.Session(catalog.tiles(spark, sf), [0.0], "lknn")
+
+
+def test_rank_fit_and_expected_cost():
+    rng = np.random.default_rng(0)
+    x, q = rng.standard_normal((40, 6)), rng.standard_normal(6)
+    y = (x[:, 0] + 0.1 * x[:, 1] > 0).astype(int)
+    w = feedback.rank_refine(x, y, q, 0.01)
+    assert np.abs(feedback.inversion_weights(y, x @ w)).sum() < np.abs(feedback.inversion_weights(y, x @ q)).sum()
+    assert (feedback.rank_refine(x, np.ones(40), q) == q).all()
+    soft = feedback.soft_refine(x, y * 0.8 + 0.1, np.ones(40), q, 0.1)
+    assert np.corrcoef(x @ soft, y)[0, 1] > 0.6
+    assert feedback.expected_cost(1, np.array([1.0, 0.5]), 2) == 1 and feedback.expected_cost(0, np.array([0.1]), 3) == 0
+
+
+def test_report_formats_and_saved_sessions(spark, tmp_path):
+    assert [reports.brief(v) for v in (0.5, -0.25, 1.234, None, float("nan"))] == [".50", "-.25", "1.23", "-", "-"]
+    assert (reports.times(2), reports.short_count(999), reports.short_count(1234567)) == ("2.0x", "999", "1.2M")
+    s = spark.createDataFrame([(1, 0, "q")], "session_id int, qkey int, query_string string")
+    for _ in range(2):
+        tables.write_sessions(s, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 2
+    left = reports.with_parameters(spark.createDataFrame([("a",), ("b",)], "param_hash string"), spark.createDataFrame([("a", 1)], "param_hash string, k int"))
+    assert sorted((r.param_hash, r.k) for r in left.collect()) == [("a", 1), ("b", None)]

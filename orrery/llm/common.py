@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["WORD", "batches_of", "before", "components", "cut", "forest", "per_process", "shared_dir", "slices", "split_words", "with_columns"]
+
 #: A word is a longest run of characters other than these; ``bytes.split()`` and Java's ``[\x20\x09-\x0D]`` agree on them.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The words of all texts of a batch, in order: (indices into the distinct words, the distinct words, bounds of each text).
@@ -58,16 +58,6 @@ def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (one machine, tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="orrery-"))
-    return "file://" + _own_dir[0]
-
-
 def batches_of(spark: SparkSession, rows: int) -> None:
     """Sets how many rows go to Python at once in this session. Texts are some kilobytes each, and a batch lies in memory about
     four times: in the JVM's Arrow buffers both ways (outside the heap, and kept for later use) and in the worker."""
@@ -99,16 +89,6 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callab
     return out.toDF(*df.columns, *new.names)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder: its lineage ends there, so a lost executor costs a re-read, not a re-run."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def before(df: DataFrame, group: Sequence[str], chunk: str, order: Sequence[str | Column], amount: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``amount`` over the rows of the same ``group`` that stand before, in order of (``chunk``, ``order``).
 

@@ -116,7 +116,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     free, so they hold at most 65,536 fingerprints whatever the size of the corpus, and each is verified within one row.
     """
     masks = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(m).alias("mask")) for i, m in enumerate(_posting_masks())])
-    posted = fps.select("fingerprint", F.explode(masks).alias("p"))
+    spread = fps.select("fingerprint").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fingerprint"))
+    posted = spread.select("fingerprint", F.explode(masks).alias("p"))  # 28 rows each: few large tasks would be slow
     posted = posted.select("fingerprint", "p.at", F.expr("fingerprint & p.mask").alias("bytes"))
     lists = posted.groupBy("at", "bytes").agg(F.collect_list("fingerprint").alias("fps")).where("size(fps) > 1")
     return lists.select("fps").mapInPandas(_links, "a long, b long")

@@ -960,3 +960,30 @@ def graph_search(spark, sf):
     found = [session.simulated(session.Session(t, embedding_of(spark, sf, 0), m, batch=3, graph=edges), truth, 1, 3, 3) for m in ("lknn", "active")]
     rows = [(r["method"], r["hit_indices"], r["nseen"], r["nfound"], r["ntotal"], r["dbidxs"]) for r in found]
     return spark.createDataFrame(rows, "method string, hit_indices array<int>, nseen int, nfound int, ntotal int, dbidxs array<long>")
+
+
+_AXES = [[1.0 if j == i else 0.0 for j in range(64)] for i in range(6)]
+_BUCKET = " + ".join(f"((v[{i + 1}] > 0)::INT << {i})" for i in range(6))
+
+
+@query(f"""WITH {TILES}, {SCORED}, b AS (SELECT *, bit_count(xor({_BUCKET}, (SELECT {_BUCKET} FROM (SELECT {Q0} AS v)))) AS away FROM scored WHERE dbidx % 3 <> 0),
+r AS (SELECT n FROM range(7) t(n) WHERE n = 6 OR (SELECT count(*) >= 40 AND count(DISTINCT dbidx) >= 4 FROM b WHERE away <= n) ORDER BY n LIMIT 1)
+SELECT dbidx, round(max(score), 6) AS max_score FROM b WHERE away <= (SELECT n FROM r) GROUP BY dbidx ORDER BY max(score) DESC, dbidx LIMIT 4""")
+def approximate_frames(spark, sf):
+    t = tiles(spark, sf)
+    return search.approximate_frames(search.with_buckets(t, _AXES), embedding_of(spark, sf, 0), _AXES, 4, t.where("dbidx % 3 = 0"))
+
+
+_ANCHOR = f"""WITH {TILES}, {SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY dbidx ORDER BY score DESC, vec_id) AS r FROM scored), a AS (SELECT * FROM top WHERE r = 1),
+p AS (SELECT a.dbidx, a.vec_id, b.vec_id AS other, b.score AS sb, b.v, row_number() OVER (PARTITION BY a.dbidx, b.zoom_level ORDER BY {_IOU} DESC, b.vec_id) AS r FROM a JOIN scored b ON {_OVERLAP}) """
+
+
+@query(_ANCHOR + "SELECT dbidx, vec_id, round(avg(sb), 6) AS score FROM p WHERE r = 1 GROUP BY ALL")
+def anchored_scores(spark, sf):
+    return search.anchored(tiles(spark, sf), embedding_of(spark, sf, 0))
+
+
+@query(_ANCHOR + f""", u AS (SELECT dbidx, vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM p WHERE r = 1), m AS (SELECT dbidx, vec_id, i, avg(x) AS x FROM u GROUP BY ALL), l AS (SELECT dbidx, vec_id, list(x ORDER BY i) AS v FROM m GROUP BY ALL)
+SELECT dbidx, vec_id, round(list_dot_product(v, {Q0}) / sqrt(list_dot_product(v, v)), 6) AS score FROM l""")
+def anchored_vectors(spark, sf):
+    return search.anchored(tiles(spark, sf), embedding_of(spark, sf, 0), "avg_vector")

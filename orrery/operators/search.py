@@ -145,3 +145,46 @@ def pooled_vectors(tiles: DataFrame, frame: str = "dbidx", column: str = "embedd
     means = parts.groupBy(frame, "_at").agg(F.avg("_x").alias("_x"))
     whole = means.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_v"))
     return whole.select(frame, normalized(F.transform("_v", lambda s: s["_x"]), floor).alias("vectors"))
+
+
+def with_buckets(vectors: DataFrame, planes: Sequence[Sequence[float]], column: str = "embedding", name: str = "bucket") -> DataFrame:
+    """Adds a vector's bucket: a bit for each plane, set on its positive side. Written partitioned by it, a search reads few folders."""
+    bits = [F.when(dot(column, vector(p)) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
+    return vectors.withColumn(name, sum(bits[1:], bits[0]).cast("int"))
+
+
+def approximate_frames(
+    indexed: DataFrame, query: Sequence[float], planes: Sequence[Sequence[float]], k: int, exclude: DataFrame | None = None, factor: int = 10,
+    frame: str = "dbidx", column: str = "embedding", name: str = "bucket",
+) -> DataFrame:
+    """(frame, max_score) of the k best frames found near the query: buckets at a growing number of differing bits are searched
+    until they hold ``factor`` times k vectors of frames not excluded, and k such frames; at most all, which is exact."""
+    mine = sum(1 << i for i, p in enumerate(planes) if sum(a * b for a, b in zip(p, query, strict=True)) > 0)
+    for radius in range(len(planes) + 1):
+        near = without(indexed.where(F.bit_count(F.col(name).bitwiseXOR(F.lit(mine))) <= radius), exclude, frame)
+        if radius == len(planes):
+            break
+        if near.limit(factor * k).count() >= factor * k and near.select(frame).distinct().limit(k).count() >= k:
+            break
+    return top_frames(scored(near, query, column), k, frame)
+
+
+def anchored(tiles: DataFrame, query: Sequence[float], method: str = "avg_score", key: str = "vec_id", frame: str = "dbidx", column: str = "embedding") -> DataFrame:
+    """(frame, key, score): each frame's best tile, scored anew with the tile of each zoom level that overlaps it most (ties to the
+    smaller id): the mean of their scores (``avg_score``), or the score of their mean vector at length one (``avg_vector``)."""
+    rows = scored(tiles, query, column)
+    best = Window.partitionBy(frame).orderBy(F.desc("score"), key)
+    anchors = rows.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(key, frame, *SIDES)
+    side = rows.select(key, frame, "zoom_level", "score", *SIDES)
+    order = Window.partitionBy(frame, "zoom_level_right").orderBy(F.desc("iou"), f"{key}_right")
+    chosen = box_join(anchors, side, frame).withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    if method == "avg_score":
+        return chosen.groupBy(frame, F.col(f"{key}_left").alias(key)).agg(F.avg("score_right").alias("score"))
+    if method != "avg_vector":
+        raise ValueError(f"unknown method {method!r}")
+    from ..functions.vectors import normalized
+
+    joined = chosen.select(frame, F.col(f"{key}_left").alias("_anchor"), F.col(f"{key}_right").alias(key)).join(tiles.select(key, column), key)
+    parts = joined.select(frame, "_anchor", F.posexplode(F.col(column).cast("array<double>")).alias("_at", "_x")).groupBy(frame, "_anchor", "_at").agg(F.avg("_x").alias("_x"))
+    means = parts.groupBy(frame, F.col("_anchor").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias("_v"))
+    return means.select(frame, key, dot(normalized("_v"), vector(query)).alias("score"))

@@ -14,7 +14,7 @@ from .neardup import OP2_SQL, op2_embedding_near_dedup
 from .packing import op7_packing
 from .privacy import op1_pii_surrogates
 from .sharding import OP6_SQL, op6_sharding
-from .substrings import op5_substring_dedup
+from .substrings import OP5_SQL, op5_substring_dedup
 from .urls import OP10_SQL, op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
-SQL: dict[str, str] = {"op9_mixing": OP9_SQL, "op2_embedding_near_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op10_url_filters": OP10_SQL}
+SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_mixing": OP9_SQL, "op2_embedding_near_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op10_url_filters": OP10_SQL}

@@ -354,7 +354,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 yield pd.DataFrame({"chunk": row.chunk, "doc": good, "key": keys[good], "same": [row.same[16 * i : 16 * i + 16] for i in good.tolist()]})
 
     whole = cut(chunks.select("chunk", "keys", "known", "bounds", "same").mapInPandas(listed, "chunk long, doc long, key long, same binary"))
-    lowest = whole.groupBy("same").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    lowest = cut(whole.groupBy("same").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1"))  # so that Spark may split the join
     twins = whole.join(lowest, "same").where("least < key").select("chunk", "doc")
 
     def collected(p: pd.DataFrame) -> pd.DataFrame:
@@ -380,3 +380,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+s AS (SELECT *, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS s FROM x),
+m AS (SELECT s, min(doc_id) AS low FROM s WHERE len(s) = {WINDOW} GROUP BY s),
+h AS (SELECT s.r, i, word, coalesce(low < doc_id, false) AS hit FROM s LEFT JOIN m ON s.s = m.s),
+g AS (SELECT *, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM h),
+k AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

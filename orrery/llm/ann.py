@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import before, cut
+from .common import batches_of, before, cut
 from .neardup import SOUND, unit_rows
 
 #: Trees, bits of a hash string, distinct vectors a shard of the index, queries a block.
@@ -93,6 +93,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     Equal vectors are one entry that names its ``ids`` smallest keys, so a group of copies of any size is one entry. Entries are
     dealt to shards of SHARD by rank of their hash. Null, zero and non-finite vectors and null keys are left out.
     """
+    batches_of(vectors.sparkSession, 10_000)
     rows = vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("_vec")).where(f"_key is not null and {SOUND}")
     rows = rows.select("_key", "_vec", F.size("_vec").alias("_dim"), F.expr("sha2(cast(array_join(_vec, ',') as binary), 256)").alias("_hash"))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_dim", "_hash").orderBy("_key"))).where(F.col("_n") <= ids)

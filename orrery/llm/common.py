@@ -58,10 +58,12 @@ def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def batches_of(spark: SparkSession, rows: int) -> None:
-    """Sets how many rows go to Python at once in this session. Texts are some kilobytes each, and a batch lies in memory about
-    four times: in the JVM's Arrow buffers both ways (outside the heap, and kept for later use) and in the worker."""
+def batches_of(spark: SparkSession, rows: int, megabytes: int = 16) -> None:
+    """Sets how many rows, and megabytes, go to Python at once in this session. Texts are some kilobytes each and packed tiles or
+    chunks some megabytes, and a batch lies in memory about four times: in the JVM's Arrow buffers both ways (outside the heap, and
+    kept for later use) and in the worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def with_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[], Callable[..., list[pa.Array]]], most_bytes: int = 4 << 20) -> DataFrame:

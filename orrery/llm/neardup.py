@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import before, components, cut, forest
+from .common import batches_of, before, components, cut, forest
 
 #: Vectors a tile side.
 TILE = 2048
@@ -72,6 +72,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     vector and pair of tiles, never the pairs. All pairs of a label are compared, so work grows with the square of a label.
     An empty table gives an empty result; other columns are not looked at.
     """
+    batches_of(vectors.sparkSession, 10_000)
     given = vectors.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_vec"), F.col(label).alias("_label"))
     given = given.withColumn("_sound", F.expr(f"_key is not null and _label is not null and {SOUND}"))
     rows = given.where("_sound")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import batches_of, with_columns
 
 ROUNDS = 8
+#: Characters that are permuted as one number.
+PIECE = 48
 
 # Given names by gender, titles by gender, alphabets (vowels, consonants) by script.
 GIVEN = {
@@ -75,7 +77,10 @@ class Permutation:
 
 
 def _spell(text: str, at: Permutation, name: str, alphabets: list[str], ok: Callable[[str], bool] = lambda s: True) -> str:
-    """Permutes ``text``, whose characters each go to one of the alphabet given for their place."""
+    """Permutes ``text``, whose characters each go to one of the alphabet given for their place. Long texts go piece by piece, which
+    keeps different texts different and the numbers within what one hash can shift."""
+    if len(text) > PIECE:
+        return "".join(_spell(text[i : i + PIECE], at, f"{name}#{i}", alphabets[i : i + PIECE]) for i in range(0, len(text), PIECE))
     x, size = 0, 1
     for c, a in zip(text, alphabets, strict=True):
         x, size = x * len(a) + a.index(c), size * len(a)

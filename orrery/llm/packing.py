@@ -23,12 +23,16 @@ from .common import batches_of, before, cut, per_process, slices, split_words, w
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task keeps; it forgets all and starts anew beyond.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 #: Chunks that the pieces of one length are ranked in.
 CHUNKS = 256
-#: Of a length's open demand, the most that one round of the program may serve, and the force of its price steps.
+#: The program: rounds of pricing, pace of the weights, gap to the bound that ends it; cells of its matrix, cells touched a round.
+PRICINGS, PACE, GAP, CELLS, WORK = 40, 0.25, 5e-4, 2_000_000, 100_000_000
+#: Share of waste that ends the search at once.
+CLOSE = 1e-4
+#: Greedy filling: of a length's open demand, the most that one round may serve, and the force of its price steps.
 SHARE, STEP = 0.5, 1.0
-#: Pieces of the scaled histogram that plain best fit packs for comparison.
+#: Pieces of the scaled histogram that best fit packs.
 ITEMS = 50_000
 
 
@@ -154,26 +158,123 @@ def _price(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.n
     return best, take
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+Configs = list[tuple[list[int], int]]
+
+
+def _count(configs: Configs) -> int:
+    return sum(k for _, k in configs)
+
+
+def _through(i: int | None, lengths: np.ndarray, take: np.ndarray, capacity: int) -> Counter:
+    """The best configuration that a knapsack table gives, with length ``i`` in it: how often each length occurs."""
+    config, c = Counter(), capacity
+    if i is not None:
+        config[i], c = 1, capacity - int(lengths[i])
+    while c > 0:
+        if (t := int(take[c])) < 0:
+            c -= 1
+        else:
+            config[t] += 1
+            c -= int(lengths[t])
+    return config
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> Configs:
     """Fillings of sequences, as (lengths, how many sequences alike), that hold just the pieces of ``histogram`` (length to count).
 
-    The covering program over all configurations is solved by multiplicative weights. A round prices the lengths, finds the best
-    configuration for each capacity by a knapsack, and serves whole multiples of configurations through the lengths with the
-    most open demand, largest first; lengths that a round served lose weight against the others. What no whole multiple serves,
-    some pieces a length whatever the corpus, is packed by best fit, decreasing. Work depends on ``capacity``, not on counts,
-    but for their logarithm. Rounding costs most where few lengths fit together badly; best fit, decreasing, of the histogram
-    scaled down to ITEMS pieces is compared, and the one with fewer sequences is returned.
+    The configuration program, least sum of x with every length covered, is solved by multiplicative weights over columns that
+    knapsack pricing brings in (``fractional``), and rounded down. What that leaves, some pieces a configuration whatever the corpus,
+    is filled greedily (``filled``). The first columns come from filling everything and from best fit on the histogram scaled
+    down to ITEMS pieces; these are also compared, and the fewest sequences win. Where the first filling wastes a share of CLOSE at
+    most, the program could not do better and is not solved. Work depends on ``capacity`` and on the logarithm
+    of counts, not on the number of documents.
     """
-    rounded = _rounded_program(histogram, capacity)
+    histogram = {n: k for n, k in histogram.items() if 0 < n <= capacity and k > 0}
+    if not histogram:
+        return []
+    starts = [filled(histogram, capacity), _scaled_best_fit(histogram, capacity)]
+    starts.sort(key=_count)
+    space = -(-sum(n * k for n, k in histogram.items()) // capacity)
+    if _count(starts[0]) <= space * (1 + CLOSE):
+        return starts[0]  # the program's value is no less than the space taken
+    lengths, columns = fractional(histogram, capacity, starts)
+    rest, rounded = dict(histogram), []
+    for column, x in sorted(columns, key=lambda c: -c[1]):
+        times = min([int(x + 1e-6), *(rest[int(lengths[i])] // n for i, n in column)])
+        if times > 0:
+            rounded.append(([int(lengths[i]) for i, n in column for _ in range(n)], times))
+            for i, n in column:
+                rest[int(lengths[i])] -= n * times
+    rest = {n: k for n, k in rest.items() if k}
+    rounded += min(filled(rest, capacity), _scaled_best_fit(rest, capacity), key=_count)
+    return min(rounded, starts[0], key=_count)
+
+
+def fractional(histogram: dict[int, int], capacity: int, starts: list[Configs]) -> tuple[np.ndarray, list[tuple[tuple[tuple[int, int], ...], float]]]:
+    """(lengths, columns with their x) of the configuration program, as a game: columns against lengths, each side by multiplicative
+    weights with a look ahead. The lengths' weights are prices; a knapsack finds columns that beat them, and the game goes on with
+    those until the knapsack's bound is met. Prices begin at the space that lengths take."""
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[n] for n in lengths.tolist()], float)
+    at = {n: i for i, n in enumerate(lengths.tolist())}
+    bound = float(lengths @ demand) / capacity
+    found: dict[tuple[tuple[int, int], ...], float] = {}
+    for weight, configs in zip((1.0, 0.0), starts, strict=False):
+        for config, k in configs:
+            column = tuple(sorted(Counter(at[n] for n in config).items()))
+            found[column] = found.get(column, 0.0) + k * weight
+    y = lengths * demand / (capacity * bound)
+    best: tuple[float, list, np.ndarray] = (np.inf, [], np.zeros(0))
+    for _ in range(PRICINGS):
+        alone = [((i, capacity // n),) for n, i in at.items()]  # these cover every length
+        others = sorted(found.keys() - set(alone), key=lambda c: (-found[c], c))
+        keep = alone + others[: max(len(lengths), CELLS // len(lengths))]
+        gain = np.zeros((len(lengths), len(keep)))
+        for j, column in enumerate(keep):
+            for i, n in column:
+                gain[i, j] = n * bound / demand[i]
+        x = np.array([found.get(c, 0.0) for c in keep]) + 1e-3 * bound / len(keep)
+        x /= x.sum()
+        steps = int(min(300, max(20, WORK // gain.size)))
+        mean_x, mean_y = np.zeros_like(x), np.zeros_like(y)
+        move = lambda p, force: (q := np.maximum(p * np.exp(np.clip(PACE * force, -30, 30)), 1e-12)) / q.sum()
+        for step in range(steps):
+            ahead_x, ahead_y = move(x, y @ gain), move(y, -(gain @ x))
+            x, y = move(x, ahead_y @ gain), move(y, -(gain @ ahead_x))
+            if step >= steps // 2:
+                mean_x, mean_y = mean_x + ahead_x, mean_y + ahead_y
+        mean_x, mean_y = mean_x / mean_x.sum(), mean_y / mean_y.sum()
+        cost = bound / (gain @ mean_x).min()
+        if cost < best[0]:
+            best = (cost, keep, mean_x * cost)
+        found = dict(zip(keep, mean_x * cost, strict=True))
+        prices = mean_y * bound / demand
+        value, take = _price(lengths, prices, capacity)
+        if cost <= bound / value[capacity] * (1 + GAP):
+            break
+        good, known = (mean_y @ gain).max() * 0.97, len(found)
+        for i in [None, *range(len(lengths))]:
+            config = _through(i, lengths, take, capacity)
+            if sum(prices[j] * n for j, n in config.items()) > good:
+                found.setdefault(tuple(sorted(config.items())), 0.0)
+        if len(found) == known or gain.size * 4 > CELLS:
+            break
+        y = mean_y
+    return lengths, list(zip(best[1], best[2].tolist(), strict=True))
+
+
+def _scaled_best_fit(histogram: dict[int, int], capacity: int) -> Configs:
     scale = max(1, sum(histogram.values()) // ITEMS)
     whole = {n: k // scale for n, k in histogram.items()}
-    plain = [(c, k * scale) for c, k in _best_fit(whole, capacity)] + _best_fit({n: k - whole[n] * scale for n, k in histogram.items()}, capacity)
-    return min(rounded, plain, key=lambda configs: sum(k for _, k in configs))
+    return [(c, k * scale) for c, k in _best_fit(whole, capacity)] + _best_fit({n: k - whole[n] * scale for n, k in histogram.items()}, capacity)
 
 
-def _rounded_program(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    rest = {n: k for n, k in histogram.items() if 0 < n <= capacity and k > 0}
-    out: list[tuple[list[int], int]] = []
+def filled(histogram: dict[int, int], capacity: int) -> Configs:
+    """A greedy filling in rounds. A round prices the lengths, finds by a knapsack the best configuration through each, and serves whole
+    multiples of those that fill as well as any can, largest first; lengths that it served lose weight against the others.
+    What no whole multiple serves is packed by best fit, decreasing."""
+    rest = {n: k for n, k in histogram.items() if k > 0}
+    out: Configs = []
     if k := rest.pop(capacity, 0):
         out.append(([capacity], k))
     lengths = np.array(sorted(rest), np.int64)
@@ -182,25 +283,18 @@ def _rounded_program(histogram: dict[int, int], capacity: int) -> list[tuple[lis
     idle = 0
     while len(lengths) and idle < 3:
         prices = lengths / capacity * weights * (1 + 0.02 * lengths / capacity)  # short pieces fill gaps: keep them for last
-        best, take = _price(lengths, prices, capacity)
+        _, take = _price(lengths, prices, capacity)
         reach, _ = _price(lengths, lengths.astype(float), capacity)  # how full a capacity can get at all
         budget = np.maximum(1, (open_ * SHARE).astype(np.int64))
         served = np.zeros(len(lengths), np.int64)
         for i in range(len(lengths) - 1, -1, -1):
             if open_[i] == 0 or served[i] >= budget[i]:
                 continue
-            config, c = [i], int(capacity - lengths[i])
-            while c > 0:
-                if (t := take[c]) < 0:
-                    c -= 1
-                else:
-                    config.append(int(t))
-                    c -= int(lengths[t])
-            need = Counter(config)
+            need = _through(i, lengths, take, capacity)
             fill = sum(int(lengths[j]) * m for j, m in need.items())
             times = min(min(int(open_[j]), int(budget[j] - served[j])) // m for j, m in need.items())
             if times > 0 and fill >= lengths[i] + reach[capacity - lengths[i]] - capacity // 1024:
-                out.append(([int(lengths[j]) for j in config], times))
+                out.append(([int(lengths[j]) for j, m in need.items() for _ in range(m)], times))
                 for j, m in need.items():
                     open_[j] -= m * times
                     served[j] += m * times
@@ -213,7 +307,7 @@ def _rounded_program(histogram: dict[int, int], capacity: int) -> list[tuple[lis
     return out + _best_fit(dict(zip(lengths.tolist(), open_.tolist(), strict=True)), capacity)
 
 
-def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+def _best_fit(histogram: dict[int, int], capacity: int) -> Configs:
     room: dict[int, list[list[int]]] = {}
     spaces: list[int] = []  # sorted keys of room
     for n in sorted(histogram, reverse=True):
@@ -236,7 +330,7 @@ def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int],
     return [(list(c), k) for c, k in alike.items()]
 
 
-def _places(configs: list[tuple[list[int], int]], capacity: int) -> dict[str, np.ndarray]:
+def _places(configs: Configs, capacity: int) -> dict[str, np.ndarray]:
     """The configurations as a table that maps the rank of a piece among those of its length to a sequence and an offset."""
     rows, used, sequence = [], Counter(), 0
     for config, times in configs:

@@ -97,9 +97,10 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xs, ys = [], []
         for n in np.unique(sizes).tolist():
             same = [lists[k] for k in np.flatnonzero(sizes == n)]
-            for at in range(0, len(same), max(1, 1_000_000 // (n * n))):
-                part = same[at : at + max(1, 1_000_000 // (n * n))]
-                x, y = _close(np.array(part, np.int64)) if n <= 256 else _close_in_long(np.asarray(part[0], np.int64))
+            step = max(1, 1_000_000 // (n * n)) if n <= 256 else 1  # a long list is verified alone
+            for at in range(0, len(same), step):
+                part = np.array(same[at : at + step], np.int64)
+                x, y = _close(part) if n <= 256 else _close_in_long(part[0])
                 xs.append(x)
                 ys.append(y)
         a, b = forest(np.concatenate(xs), np.concatenate(ys)) if xs else (np.array([], np.int64),) * 2

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -73,6 +74,19 @@ def test_posting_lists_find_all_close_pairs(n):
         assert {frozenset(p) for p in zip(close[0].tolist(), close[1].tolist())} == want
 
 
+def test_every_long_posting_list_of_one_length_is_verified():
+    base = np.arange(300, dtype=np.int64)  # 257 to 707: several lists of one length a step
+    lists = [base | np.int64(k << 40) for k in range(1, 5)]
+    got = next(simhash._links(iter([pd.DataFrame({"fps": lists})])))
+    ends = {k: {k << 40} for k in range(1, 5)}
+    for _ in range(300):
+        for a, b in zip(got["a"], got["b"], strict=True):
+            assert a >> 40 == b >> 40
+            if {a, b} & ends[a >> 40]:
+                ends[a >> 40] |= {a, b}
+    assert {k: sorted(v) for k, v in ends.items()} == {k: x.tolist() for k, x in enumerate(lists, 1)}
+
+
 def test_representatives_keep_one_of_each(spark):
     texts = [(1, "a b c d"), (2, "a b c d"), (2, "other words here now"), (3, "third text of them all"), (3, "third text of them all")]
     assert sorted((r.doc_id, r.text) for r in simhash.representatives(docs_of(spark, texts)).collect()) == [(1, "a b c d"), (2, "other words here now"), (3, "third text of them all")]

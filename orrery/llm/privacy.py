@@ -235,7 +235,8 @@ DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern, Callable]] = [
     ("name", (), re.compile(rf"(?<!\w)(?P<name>(?:{'|'.join(_LISTED)})[ \t]+{_W})(?!\w)"), _name),
 ]
 _DIGIT = re.compile(r"\d")
-_LISTED_WORDS = frozenset(_LISTED)
+_WORD = re.compile(r"\w+")
+_LISTED_WORDS = frozenset(_LISTED)  # each is one word, so behind no word character and before a blank it is a whole one
 
 
 def entities(text: str, at: Permutation) -> list[tuple[int, int, str, str, str]]:
@@ -250,7 +251,7 @@ def entities(text: str, at: Permutation) -> list[tuple[int, int, str, str, str]]
             if not digits:
                 continue
         elif kind == "name" and not needs:
-            listed = not _LISTED_WORDS.isdisjoint(text.split()) if listed is None else listed
+            listed = not _LISTED_WORDS.isdisjoint(_WORD.findall(text)) if listed is None else listed
             if not listed:
                 continue
         for m in pattern.finditer(text):

@@ -187,6 +187,13 @@ def test_whole_corpus_without_collisions(spark, sf):
     assert privacy.pseudonymise(docs.where("false"), b"k").count() == 0
 
 
+@pytest.mark.parametrize("text", ["(Maria Lopez)", '"John Smith said', "name:John Smith", "by:Anna Weber", "-Anna\tWeber-"])
+def test_listed_names_behind_punctuation(text):
+    assert all(re.fullmatch(r"\w+", n) for n in privacy._LISTED)
+    new, found = privacy.replaced(text, AT)
+    assert [f[2] for f in found] == ["name"] and not set(re.findall(r"\w+", new)) & {"Maria", "Lopez", "John", "Smith", "Anna", "Weber"}
+
+
 # --- substring dedup ---
 
 

@@ -127,18 +127,21 @@ def _email(m: re.Match, at: Permutation) -> tuple[str, str]:
 
 
 def _phone(m: re.Match, at: Permutation) -> tuple[str, str] | None:
-    digits = re.sub(r"\D", "", m[0])
-    plus = m[0].startswith("+")
-    if plus and digits[0] == "1" or not plus and len(digits) == 10:  # one numbering plan, with or without its code
+    shape = m[0].replace("(0)", "(\0)")  # a trunk prefix is no part of an international number
+    digits = re.sub(r"\D", "", shape)
+    plus = shape.startswith("+")
+    if plus and digits[0] == "1" or not plus and len(digits) == 10 and digits[0] != "0":  # one numbering plan, with or without its code
         head, tail = (digits[:1], digits[1:]) if plus else ("", digits)
-        if len(tail) != 10 or tail[0] in "01" or not plus and not re.fullmatch(r"\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}([ .\-])\d{3}\1\d{4}", m[0]):
+        if len(tail) != 10 or tail[0] in "01" or not plus and not re.fullmatch(r"\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}([ .\-])\d{3}\1\d{4}", shape):
             return None
         middle = ["5", "5", "5"] if tail[3:6] == "555" else ["0123456789"] * 3  # numbers of fiction stay fiction
         new = _spell(tail, at, "phone1", ["23456789", "0123456789", "0123456789", *middle, *["0123456789"] * 4], lambda s: (s[3:6] == "555") == (tail[3:6] == "555"))
-        return "+1" + tail, _refill(m[0], head + new)
-    if not plus or not 8 <= len(digits) <= 15:
+        return "+1" + tail, _refill(shape, head + new).replace("\0", "0")
+    if plus and 8 <= len(digits) <= 15:
+        return "+" + digits, _refill(shape, digits[:2] + _spell(digits[2:], at, "phone" + digits[:2], ["0123456789"] * (len(digits) - 2))).replace("\0", "0")
+    if plus or m["national"] is None or not 9 <= len(digits) <= 12 or _DATE.match(shape):
         return None
-    return "+" + digits, _refill(m[0], digits[:2] + _spell(digits[2:], at, "phone" + digits[:2], ["0123456789"] * (len(digits) - 2)))
+    return digits, _refill(shape, "0" + _spell(digits[1:], at, "phone0", ["123456789", *["0123456789"] * (len(digits) - 2)]))
 
 
 def _card(m: re.Match, at: Permutation) -> tuple[str, str] | None:
@@ -220,6 +223,9 @@ def _name(m: re.Match, at: Permutation) -> tuple[str, str] | None:
 
 
 _W = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я\u3041-\u30fa\u4e00-\u9fa5\uac00-\ud7a3][^\W\d_]*(?:['’\-][^\W\d_]+)*"
+#: What may stand between two digits of a phone number with +; dates, which aren't national numbers.
+_GAP = r"(?:[ .\-]?\(|\)[ .\-]?|[ .\-/]|\(0\)[ .\-]?)?"
+_DATE = re.compile(r"0\d[ /\-]\d{1,2}[ /\-](?:19|20)\d\d(?!\d)")
 #: (type, what a text must contain for the pattern to be tried, pattern, surrogate), first come first served where they overlap.
 DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern, Callable]] = [
     ("email", ("@",), re.compile(r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w\-])"), _email),
@@ -230,7 +236,7 @@ DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern, Callable]] = [
     ("ipv4", (".",), re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\w)"), _ip4),
     ("ssn", ("-",), re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"), _ssn),
     ("card", (), re.compile(r"(?<![\w\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\w|-\d)"), _card),
-    ("phone", (), re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"), _phone),
+    ("phone", (), re.compile(rf"(?<![\w+])(?:\+1(?:{_GAP}[0-9]){{10}}(?!\w)|\+[2-9](?:{_GAP}[0-9]){{7,14}}(?!\w)|(?<![.,:/\-])(?P<national>(?:0[1-9][0-9]{{0,4}}[ /\-]|\(0[1-9][0-9]{{0,4}}\)[ \-]?)[0-9]{{2,8}}(?:[ \-][0-9]{{2,8}}){{0,4}}(?![\w:]))|(?:\+\d{{1,3}}[ .\-]?)?(?:\(\d{{2,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,4}}){{1,4}}(?!\w))"), _phone),
     ("name", tuple(_TITLED), re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.?[ \t]+(?P<name>{_W}(?:[ \t]+{_W}){{0,2}})(?!\w)"), _name),
     ("name", (), re.compile(rf"(?<!\w)(?P<name>(?:{'|'.join(_LISTED)})[ \t]+{_W})(?!\w)"), _name),
 ]

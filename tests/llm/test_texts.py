@@ -194,6 +194,20 @@ def test_listed_names_behind_punctuation(text):
     assert [f[2] for f in found] == ["name"] and not set(re.findall(r"\w+", new)) & {"Maria", "Lopez", "John", "Smith", "Anna", "Weber"}
 
 
+@pytest.mark.parametrize("number", ["+49 30 1234567", "+49 151 23456789", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "+49(30)1234567", "+493012345678", "030 1234567", "(030) 1234567", "020 7946 0958", "0151/23456789", "01 23 45 67 89"])
+def test_phones_of_other_lands(number):
+    new, found = privacy.replaced(f"Call {number}, or {number}.", AT)
+    assert [f[2] for f in found] == ["phone"] * 2 and number not in new and found[0][4] == found[1][4]
+    assert [new[f[0] : f[1]] for f in found] == [f[4] for f in found] and re.sub(r"\d", "#", new) == re.sub(r"\d", "#", f"Call {number}, or {number}.")
+
+
+def test_one_number_written_two_ways_and_what_is_no_phone():
+    both = privacy.replaced("+44 (0)20 7946 0958 and +44 20 7946 0958", AT)[1]
+    assert both[0][3] == both[1][3] and re.sub(r"\D", "", both[0][4].replace("(0)", "")) == re.sub(r"\D", "", both[1][4])
+    for text in ("on 01-02-2024 12", "at 02 03 2024 15:30", "0.12 345 6789", "1 234 567 890", "+12 345", "pages 01 23 45"):
+        assert privacy.replaced(text, AT) == (text, [])
+
+
 # --- substring dedup ---
 
 

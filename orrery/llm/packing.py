@@ -26,8 +26,8 @@ CAPACITY, END_ID = 2048, 0
 KEPT_WORDS = 600_000
 #: Chunks that the pieces of one length are ranked in.
 CHUNKS = 256
-#: The program: rounds of pricing, pace of the weights, gap to the bound that ends it; cells of its matrix, cells touched a round.
-PRICINGS, PACE, GAP, CELLS, WORK = 40, 0.25, 5e-4, 2_000_000, 100_000_000
+#: The program: rounds of pricing, steps a round, gap to the bound that ends it.
+PRICINGS, STEPS, GAP = 40, 1500, 5e-4
 #: Share of waste that ends the search at once.
 CLOSE = 1e-4
 #: Greedy filling: of a length's open demand, the most that one round may serve, and the force of its price steps.
@@ -182,7 +182,7 @@ def _through(i: int | None, lengths: np.ndarray, take: np.ndarray, capacity: int
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> Configs:
     """Fillings of sequences, as (lengths, how many sequences alike), that hold just the pieces of ``histogram`` (length to count).
 
-    The configuration program, least sum of x with every length covered, is solved by multiplicative weights over columns that
+    The configuration program, least sum of x with every length covered, is solved by primal-dual steps over columns that
     knapsack pricing brings in (``fractional``), and rounded down. What that leaves, some pieces a configuration whatever the corpus,
     is filled greedily (``filled``). The first columns come from filling everything and from best fit on the histogram scaled
     down to ITEMS pieces; these are also compared, and the fewest sequences win. Where the first filling wastes a share of CLOSE at
@@ -211,55 +211,62 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> Confi
 
 
 def fractional(histogram: dict[int, int], capacity: int, starts: list[Configs]) -> tuple[np.ndarray, list[tuple[tuple[tuple[int, int], ...], float]]]:
-    """(lengths, columns with their x) of the configuration program, as a game: columns against lengths, each side by multiplicative
-    weights with a look ahead. The lengths' weights are prices; a knapsack finds columns that beat them, and the game goes on with
-    those until the knapsack's bound is met. Prices begin at the space that lengths take."""
+    """(lengths, columns with their x) of the configuration program. Columns and prices of lengths move in turn (primal-dual steps,
+    scaled for each column and length) over the sparse matrix of the columns so far; a knapsack over the mean prices gives a bound
+    and the columns that beat them, and the program goes on with those until the bound is met. Prices begin at the space that
+    lengths take."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], float)
     at = {n: i for i, n in enumerate(lengths.tolist())}
     bound = float(lengths @ demand) / capacity
-    found: dict[tuple[tuple[int, int], ...], float] = {}
+    alone = [((i, capacity // n),) for n, i in at.items()]  # these cover every length
+    found: dict[tuple[tuple[int, int], ...], float] = dict.fromkeys(alone, 0.0)
     for weight, configs in zip((1.0, 0.0), starts, strict=False):
         for config, k in configs:
             column = tuple(sorted(Counter(at[n] for n in config).items()))
             found[column] = found.get(column, 0.0) + k * weight
-    y = lengths * demand / (capacity * bound)
+    y = lengths / capacity
     best: tuple[float, list, np.ndarray] = (np.inf, [], np.zeros(0))
+    least = bound
     for _ in range(PRICINGS):
-        alone = [((i, capacity // n),) for n, i in at.items()]  # these cover every length
-        others = sorted(found.keys() - set(alone), key=lambda c: (-found[c], c))
-        keep = alone + others[: max(len(lengths), CELLS // len(lengths))]
-        gain = np.zeros((len(lengths), len(keep)))
-        for j, column in enumerate(keep):
-            for i, n in column:
-                gain[i, j] = n * bound / demand[i]
-        x = np.array([found.get(c, 0.0) for c in keep]) + 1e-3 * bound / len(keep)
-        x /= x.sum()
-        steps = int(min(300, max(20, WORK // gain.size)))
+        columns, x = list(found), np.fromiter(found.values(), float, len(found))
+        j = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+        i, n = np.array([p for c in columns for p in c], np.int64).T
+        by = np.argsort(i, kind="stable")
+        i_by, j_by, n_by = i[by], j[by], n[by]
+        j_ends, i_ends = (np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1]) for k in (j, i_by))
+        covered = lambda x: np.add.reduceat(n_by * x[j_by], i_ends)  # noqa: B023, E731
+        worth = lambda y: np.add.reduceat(n * y[i], j_ends)  # noqa: B023, E731
+        pace_x = bound / len(lengths) / worth(np.ones(len(lengths)))
+        pace_y = len(lengths) / bound / covered(np.ones(len(columns)))
         mean_x, mean_y = np.zeros_like(x), np.zeros_like(y)
-        move = lambda p, force: (q := np.maximum(p * np.exp(np.clip(PACE * force, -30, 30)), 1e-12)) / q.sum()
-        for step in range(steps):
-            ahead_x, ahead_y = move(x, y @ gain), move(y, -(gain @ x))
-            x, y = move(x, ahead_y @ gain), move(y, -(gain @ ahead_x))
-            if step >= steps // 2:
-                mean_x, mean_y = mean_x + ahead_x, mean_y + ahead_y
-        mean_x, mean_y = mean_x / mean_x.sum(), mean_y / mean_y.sum()
-        cost = bound / (gain @ mean_x).min()
+        for step in range(STEPS):
+            ahead = np.maximum(0, x - pace_x * (1 - worth(y)))
+            y = np.maximum(0, y + pace_y * (demand - covered(2 * ahead - x)))
+            x = ahead
+            if step >= STEPS // 2:
+                mean_x, mean_y = mean_x + x, mean_y + y
+        mean_x, mean_y = mean_x / (STEPS - STEPS // 2), mean_y / (STEPS - STEPS // 2)
+        short = np.maximum(0, demand - covered(mean_x)) / (capacity // lengths)
+        cost = mean_x.sum() + short.sum()
         if cost < best[0]:
-            best = (cost, keep, mean_x * cost)
-        found = dict(zip(keep, mean_x * cost, strict=True))
-        prices = mean_y * bound / demand
-        value, take = _price(lengths, prices, capacity)
-        if cost <= bound / value[capacity] * (1 + GAP):
+            best = (cost, columns, mean_x)
+        value, take = _price(lengths, mean_y, capacity)
+        if value[capacity] > 0:
+            least = max(least, float(mean_y @ demand) / value[capacity])
+        if cost <= least * (1 + GAP):
             break
-        good, known = (mean_y @ gain).max() * 0.97, len(found)
-        for i in [None, *range(len(lengths))]:
-            config = _through(i, lengths, take, capacity)
-            if sum(prices[j] * n for j, n in config.items()) > good:
+        if len(columns) > 8 * len(lengths):  # forget what is neither used nor near the prices
+            used = (mean_x > 0) | (worth(mean_y) > 0.97)
+            found = dict.fromkeys(alone, 0.0) | {c: v for c, v, u in zip(columns, mean_x.tolist(), used, strict=True) if u}
+        else:
+            found = dict(zip(columns, mean_x.tolist(), strict=True))
+        known = len(found)
+        for k in [None, *range(len(lengths))]:
+            config = _through(k, lengths, take, capacity)
+            if sum(mean_y[p] * times for p, times in config.items()) > 1 + GAP / 10:
                 found.setdefault(tuple(sorted(config.items())), 0.0)
-        if len(found) == known or gain.size * 4 > CELLS:
-            break
-        y = mean_y
+        y = mean_y if len(found) > known else y
     return lengths, list(zip(best[1], best[2].tolist(), strict=True))
 
 

@@ -312,3 +312,20 @@ def test_configurations_beat_best_fit_where_it_fails():
     # Thirds and more: best fit, decreasing, opens too many sequences.
     histogram = {1024 - 170: 6000, 600: 6000, 594: 6000}
     assert sum(k for _, k in packing.configurations(histogram)) <= sum(k for _, k in packing._best_fit(histogram, 2048))
+
+
+def test_program_is_solved_at_two_thousand_lengths():
+    rng = np.random.default_rng(1)
+    histogram = {n: int(k) for n, k in zip(range(100, 2049), rng.integers(1, 60, 1949))}
+    starts = sorted([packing.filled(histogram, 2048), packing._scaled_best_fit(histogram, 2048)], key=packing._count)
+    lengths, columns = packing.fractional(histogram, 2048, starts)
+    held = np.zeros(len(lengths))
+    for column, x in columns:
+        for i, n in column:
+            held[i] += n * x
+    want = np.array([histogram[n] for n in lengths.tolist()])
+    assert np.maximum(0, want - held).sum() <= 0.01 * want.sum()
+    assert sum(x for _, x in columns) <= packing._count(starts[0]) * 1.001
+    begun = {c for configs in starts for config, _ in configs for c in [tuple(sorted(config))]}
+    spelled = [tuple(sorted(int(lengths[i]) for i, n in column for _ in range(n))) for column, _ in columns]
+    assert any(len(set(c)) > 1 and c not in begun for c in spelled)  # priced columns came into the program

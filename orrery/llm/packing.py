@@ -28,8 +28,6 @@ KEPT_WORDS = 600_000
 CHUNKS = 256
 #: The program: rounds of pricing, steps a round, gap to the bound that ends it.
 PRICINGS, STEPS, GAP = 40, 1500, 5e-4
-#: Share of waste that ends the search at once.
-CLOSE = 1e-4
 #: Greedy filling: of a length's open demand, the most that one round may serve, and the force of its price steps.
 SHARE, STEP = 0.5, 1.0
 #: Pieces of the scaled histogram that best fit packs.
@@ -185,8 +183,8 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> Confi
     The configuration program, least sum of x with every length covered, is solved by primal-dual steps over columns that
     knapsack pricing brings in (``fractional``), and rounded down. What that leaves, some pieces a configuration whatever the corpus,
     is filled greedily (``filled``). The first columns come from filling everything and from best fit on the histogram scaled
-    down to ITEMS pieces; these are also compared, and the fewest sequences win. Where the first filling wastes a share of CLOSE at
-    most, the program could not do better and is not solved. Work depends on ``capacity`` and on the logarithm
+    down to ITEMS pieces; these are also compared, and the fewest sequences win. Where the first filling has no more than the
+    space asks for, none has fewer and the program is not solved. Work depends on ``capacity`` and on the logarithm
     of counts, not on the number of documents.
     """
     histogram = {n: k for n, k in histogram.items() if 0 < n <= capacity and k > 0}
@@ -195,8 +193,8 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> Confi
     starts = [filled(histogram, capacity), _scaled_best_fit(histogram, capacity)]
     starts.sort(key=_count)
     space = -(-sum(n * k for n, k in histogram.items()) // capacity)
-    if _count(starts[0]) <= space * (1 + CLOSE):
-        return starts[0]  # the program's value is no less than the space taken
+    if _count(starts[0]) <= space:
+        return starts[0]  # no filling has fewer sequences
     lengths, columns = fractional(histogram, capacity, starts)
     rest, rounded = dict(histogram), []
     for column, x in sorted(columns, key=lambda c: -c[1]):

@@ -329,3 +329,12 @@ def test_program_is_solved_at_two_thousand_lengths():
     begun = {c for configs in starts for config, _ in configs for c in [tuple(sorted(config))]}
     spelled = [tuple(sorted(int(lengths[i]) for i, n in column for _ in range(n))) for column, _ in columns]
     assert any(len(set(c)) > 1 and c not in begun for c in spelled)  # priced columns came into the program
+
+
+@pytest.mark.parametrize(("more", "solved"), [(0, False), (1, True)])
+def test_program_is_left_out_only_at_the_least_possible(monkeypatch, more, solved):
+    asked, real = [], packing.fractional
+    monkeypatch.setattr(packing, "fractional", lambda *a: asked.append(1) or real(*a))
+    histogram = {1024: 40_000, 1025: 4 * more}  # four long pieces waste a sequence in 20,000
+    configs = packing.configurations(histogram)
+    assert bool(asked) is solved and sum(k for _, k in configs) == 20_000 + 4 * more

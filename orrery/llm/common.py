@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,7 +136,7 @@ def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame, rounds: int = 60, spanning: bool = False) -> DataFrame:
     """Connected components of ``links(a, b)`` (long, not null): (node, component), component being the smallest node reachable.
 
-    Alternates large-star and small-star steps until the links no longer change. A step takes the smallest neighbour by an
+    Alternates large-star and small-star steps until the links no longer change, as a count and a sum of hashes say. A step takes the smallest neighbour by an
     aggregate with partial sums and joins it back, so a hub never gathers its neighbours in one task, and nothing but two
     numbers a round reaches the driver. Nodes without links do not appear. Unless the links are ``spanning`` ones already, each
     task first reduces its own to a forest.
@@ -152,8 +152,9 @@ def components(links: DataFrame, rounds: int = 60, spanning: bool = False) -> Da
         large = large.where("a <> b").distinct()
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         moved = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(moved.where("a <> b").union(low.select("u", "m")).distinct())
-        now = e.agg(F.count("a"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
+        digest = Observation()  # counted while the links are written
+        e = cut(moved.where("a <> b").union(low.select("u", "m")).distinct().observe(digest, F.count("a").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("sum")))
+        now = digest.get
         if now == seen:
             return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(
                 e.groupBy(F.col("b").alias("node")).agg(F.min("b").alias("component"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, components, cut, forest, with_columns
@@ -17,6 +17,8 @@ from .common import batches_of, components, cut, forest, with_columns
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Two fingerprints that differ in at most MOST_BITS bits share at least this many of their eight positional bytes.
 LEAST_BYTES = 8 - MOST_BITS
+#: Fingerprints a posting list is tallied with; longer lists are posted anew under more bytes.
+LIST = 2048
 _LANES = np.uint64(0x0101010101010101)
 _RUN = 255  # sums of so many bits fit a byte
 
@@ -57,30 +59,52 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return with_columns(docs, [text], f"`{name}` long", make)
 
 
-def _posting_masks() -> list[int]:
-    """A mask for each choice of LEAST_BYTES of the eight byte positions, as signed integers."""
+def _masks(choices: Iterable[Iterable[int]]) -> Column:
+    """For each choice of byte positions a mask of just those bytes: an array of (at, mask)."""
     out = []
-    for kept in combinations(range(8), LEAST_BYTES):
-        m = sum(0xFF << (8 * i) for i in kept)
-        out.append(m - (1 << 64) if m >> 63 else m)
-    return out
+    for i, kept in enumerate(choices):
+        m = sum(0xFF << (8 * k) for k in kept)
+        out.append(F.struct(F.lit(i).alias("at"), F.lit(m - (1 << 64) if m >> 63 else m).alias("mask")))
+    return F.array(*out)
 
 
-def _close(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each row of a matrix of posting lists of one length, verified bit by bit."""
-    i, j = np.triu_indices(lists.shape[1], 1)
-    x, y = lists[:, i], lists[:, j]
+#: The index: lists by the bytes at two of the four pairs of neighbouring positions. MOST_BITS bits spoil two pairs at most.
+PAIRS = [a + b for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+#: The index of what stands in too long a list: by the bytes at LEAST_BYTES positions.
+FINE = list(combinations(range(8), LEAST_BYTES))
+
+
+def tally(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many positional bytes each pair of fingerprints shares."""
+    return ((x ^ y)[..., None].view(np.uint8) == 0).sum(axis=-1, dtype=np.int8)
+
+
+def _met(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs that met in a list, those whose tally reaches the guaranteed minimum and that then prove close, bit by bit."""
+    often = tally(x, y) >= LEAST_BYTES
+    x, y = x[often], y[often]
     near = np.bitwise_count((x ^ y).view(np.uint64)) <= MOST_BITS
     return x[near], y[near]
 
 
-def _close_in_long(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one long posting list: it leaves two bytes free, so each neighbour is one of 136 look-ups away."""
+def tallied(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each row of a matrix of posting lists of one length."""
+    n = lists.shape[1]
+    rows, met = max(1, 500_000 // (n * len(lists))), []
+    for at in range(0, n - 1, rows):  # so many rows of the pairs' triangle at a time
+        i, j = np.nonzero(np.arange(at, min(n, at + rows))[:, None] < np.arange(n)[None, :])
+        met.append(_met(lists[:, i + at].ravel(), lists[:, j].ravel()))
+    x, y = zip(*met, strict=True)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _close_in_fine(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within one list of the fine index: its pairs share LEAST_BYTES bytes, and each neighbour is one of 136 look-ups away."""
     free = np.bitwise_or.reduce(fps ^ fps[0]).view(np.uint64)
     at = [i for i in range(64) if (int(free) >> i) & 1]
     order = np.sort(fps.view(np.uint64))
     flips = [1 << i for i in at] + [(1 << i) | (1 << j) for i, j in combinations(at, 2)]
-    xs, ys = [], []
+    xs, ys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for f in flips:
         wanted = order ^ np.uint64(f)
         place = np.minimum(np.searchsorted(order, wanted), len(order) - 1)
@@ -94,16 +118,15 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         lists = p["fps"].to_list()
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        xs, ys = [], []
+        met = []
         for n in np.unique(sizes).tolist():
             same = [lists[k] for k in np.flatnonzero(sizes == n)]
-            step = max(1, 1_000_000 // (n * n)) if n <= 256 else 1  # a long list is verified alone
-            for at in range(0, len(same), step):
-                part = np.array(same[at : at + step], np.int64)
-                x, y = _close(part) if n <= 256 else _close_in_long(part[0])
-                xs.append(x)
-                ys.append(y)
-        a, b = forest(np.concatenate(xs), np.concatenate(ys)) if xs else (np.array([], np.int64),) * 2
+            if n > LIST:
+                met += [_close_in_fine(np.asarray(x, np.int64)) for x in same]
+                continue
+            step = max(1, 500_000 // (n * n))
+            met += [tallied(np.array(same[at : at + step], np.int64)) for at in range(0, len(same), step)]
+        a, b = forest(*(np.concatenate(x) for x in zip(*met, strict=True))) if met else (np.zeros(0, np.int64),) * 2
         yield pd.DataFrame({"a": a, "b": b})
 
 
@@ -111,17 +134,28 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct values of ``fps.fingerprint`` that differ in at most MOST_BITS bits, as a spanning set:
     whatever is connected by all links is connected by these.
 
-    Count filtering: such a pair shares LEAST_BYTES or more of its eight positional bytes, so a posting stands for a choice of
-    that many positions with their bytes, 28 a fingerprint. Meeting in a posting list is the tally reaching the minimum; a list
-    for a single byte would hold 1/256 of all fingerprints and could only be tallied in quadratic time. Lists leave two bytes
-    free, so they hold at most 65,536 fingerprints whatever the size of the corpus, and each is verified within one row.
+    An inverted index on byte positions. A list for a single byte would hold 1/256 of all fingerprints, so lists stand for the bytes
+    at four positions, two pairs of neighbouring ones: six postings a fingerprint, and a close pair meets in one of them at least,
+    as two bits spoil two of the four pairs at most. Lists so hold about 2 ** -32 of all fingerprints. In a list the shared positional
+    bytes of each pair are tallied; pairs with LEAST_BYTES of eight, the least that a close pair shares, are verified bit by bit.
+
+    Families of fingerprints may fill one list. What stands in a list of more than LIST is posted anew under LEAST_BYTES bytes. Such
+    lists leave two bytes free, hold at most 65,536 fingerprints whatever the corpus, and a pair of theirs has its tally by meeting.
     """
-    masks = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(m).alias("mask")) for i, m in enumerate(_posting_masks())])
-    spread = fps.select("fingerprint").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fingerprint"))
-    posted = spread.select("fingerprint", F.explode(masks).alias("p"))  # 28 rows each: few large tasks would be slow
-    posted = posted.select("fingerprint", "p.at", F.expr("fingerprint & p.mask").alias("bytes"))
-    lists = posted.groupBy("at", "bytes").agg(F.collect_list("fingerprint").alias("fps")).where("size(fps) > 1")
-    return lists.select("fps").mapInPandas(_links, "a long, b long")
+    spark = fps.sparkSession
+    spread = cut(fps.select("fingerprint").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fingerprint")))
+
+    def posted(rows: DataFrame, choices: list) -> DataFrame:
+        out = rows.select("fingerprint", F.explode(_masks(choices)).alias("p"))
+        return out.select("fingerprint", "p.at", F.expr("fingerprint & p.mask").alias("bytes"))
+
+    index = posted(spread, PAIRS)
+    long_lists = cut(index.groupBy("at", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > LIST).select("at", "bytes", F.lit(True).alias("long")))
+    known = index.join(long_lists, ["at", "bytes"], "left")
+    lists = known.where("long is null").groupBy("at", "bytes").agg(F.collect_list("fingerprint").alias("fps"))
+    again = known.where("long").select("fingerprint").distinct()
+    fine = posted(again, FINE).groupBy("at", "bytes").agg(F.collect_list("fingerprint").alias("fps"))
+    return lists.union(fine).where("size(fps) > 1").select("fps").mapInPandas(_links, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

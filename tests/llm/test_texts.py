@@ -62,29 +62,91 @@ def test_simhash_components_equal_brute_force(spark):
     assert simhash.simhash_components(docs_of(spark, texts).where("false")).count() == 0
 
 
+def brute_links(fps):
+    fps = np.unique(np.array(fps, np.int64))
+    i, j = np.triu_indices(len(fps), 1)
+    near = np.bitwise_count((fps[i] ^ fps[j]).view(np.uint64)) <= 2
+    return {frozenset(p) for p in zip(fps[i][near].tolist(), fps[j][near].tolist())}
+
+
 @pytest.mark.parametrize("n", [20, 700])
 def test_posting_lists_find_all_close_pairs(n):
     rng = np.random.default_rng(n)
     fps = np.unique((rng.integers(0, 1 << 9, n) | (0xABC << 20)).astype(np.int64))
     fps = np.unique(np.concatenate([fps, fps ^ np.int64(-(1 << 63))])) if n < 50 else fps
-    i, j = np.triu_indices(len(fps), 1)
-    near = np.bitwise_count((fps[i] ^ fps[j]).view(np.uint64)) <= 2
-    want = {frozenset(p) for p in zip(fps[i][near].tolist(), fps[j][near].tolist())}
-    for close in (simhash._close(fps[None, :]), simhash._close_in_long(fps)):
-        assert {frozenset(p) for p in zip(close[0].tolist(), close[1].tolist())} == want
+    for close in (simhash.tallied(fps[None, :]), simhash._close_in_fine(fps)):
+        assert {frozenset(p) for p in zip(close[0].tolist(), close[1].tolist())} == brute_links(fps)
+
+
+def test_tally_counts_shared_positional_bytes_and_filters():
+    x, y = np.array([0x0102030405060708, 5, -1], np.int64), np.array([0x0102030405067708, 5, 0], np.int64)
+    assert simhash.tally(x, y).tolist() == [7, 8, 0]
+    wide = np.array([[0, 0x010101]], np.int64)  # three bytes differ: five shared, one short of the minimum
+    assert not len(simhash.tallied(wide)[0])
+
 
+def test_every_close_pair_meets_in_the_index():
+    for a in range(64):
+        for b in range(a, 64):
+            spoilt = {a // 8, b // 8}
+            assert any(spoilt.isdisjoint(kept) for kept in simhash.PAIRS) and any(spoilt.isdisjoint(kept) for kept in simhash.FINE)
 
-def test_every_long_posting_list_of_one_length_is_verified():
-    base = np.arange(300, dtype=np.int64)  # 257 to 707: several lists of one length a step
+
+@pytest.mark.parametrize("longest", [simhash.LIST, 8, 1])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, longest):
+    monkeypatch.setattr(simhash, "LIST", longest)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-(2**63), 2**63 - 1, 12)
+    fps = {int(c) for c in centres}
+    for c in centres[:6]:  # families, some of a hundred, that share most of their bytes
+        for k in range(rng.integers(2, 100)):
+            fps.add(int(c ^ np.bitwise_xor.reduce(np.left_shift(np.int64(1), rng.integers(0, 63, rng.integers(1, 4))))))
+    got = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fingerprint long")).collect()
+    want = brute_links(list(fps))
+    assert {frozenset((r.a, r.b)) for r in got} <= {frozenset((a, b)) for a in fps for b in fps if a != b}
+
+    def families(links):
+        low = {f: f for f in fps}
+        while any(low[a] != low[b] for a, b in links):
+            for a, b in links:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    assert families([(r.a, r.b) for r in got]) == families([tuple(p) for p in want])
+
+
+def test_every_long_posting_list_of_one_length_is_verified(monkeypatch):
+    base = np.arange(300, dtype=np.int64)
     lists = [base | np.int64(k << 40) for k in range(1, 5)]
-    got = next(simhash._links(iter([pd.DataFrame({"fps": lists})])))
-    ends = {k: {k << 40} for k in range(1, 5)}
-    for _ in range(300):
-        for a, b in zip(got["a"], got["b"], strict=True):
-            assert a >> 40 == b >> 40
-            if {a, b} & ends[a >> 40]:
-                ends[a >> 40] |= {a, b}
-    assert {k: sorted(v) for k, v in ends.items()} == {k: x.tolist() for k, x in enumerate(lists, 1)}
+    for longest in (simhash.LIST, 100):
+        monkeypatch.setattr(simhash, "LIST", longest)
+        got = next(simhash._links(iter([pd.DataFrame({"fps": lists})])))
+        ends = {k: {k << 40} for k in range(1, 5)}
+        for _ in range(300):
+            for a, b in zip(got["a"], got["b"], strict=True):
+                assert a >> 40 == b >> 40
+                if {a, b} & ends[a >> 40]:
+                    ends[a >> 40] |= {a, b}
+        assert {k: sorted(v) for k, v in ends.items()} == {k: x.tolist() for k, x in enumerate(lists, 1)}
+
+
+def test_simhash_of_the_sample_table_equals_brute_force(spark, sf):
+    rows = simhash.op8_simhash(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    low = dict.fromkeys(fps)
+    values = sorted(set(fps.values()))
+    of = {f: min(i for i in fps if fps[i] == f) for f in values}
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[:k] if (a ^ b).bit_count() <= 2]
+    while any(of[a] != of[b] for a, b in pairs):
+        for a, b in pairs:
+            of[a] = of[b] = min(of[a], of[b])
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in rows} == {(i, f"{f:016x}", of[f]) for i, f in fps.items()} and len(rows) == len(low)
+
+
+def test_simhash_of_a_very_long_text():
+    long = "A word " * 400_000
+    assert simhash.fingerprint(long) & (2**64 - 1) == simhash.fingerprint(long.lower().replace(" ", "\n")) & (2**64 - 1) != 0
 
 
 def test_representatives_keep_one_of_each(spark):

@@ -12,6 +12,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,13 @@ from .common import batches_of, before, cut, per_process, slices, split_words, w
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task keeps; it forgets all and starts anew beyond.
 KEPT_WORDS = 600_000
-#: Chunks that the pieces of one length are ranked in.
-CHUNKS = 256
-#: The program: rounds of pricing, steps a round, gap to the bound that ends it.
-PRICINGS, STEPS, GAP = 40, 1500, 5e-4
-#: Greedy filling: of a length's open demand, the most that one round may serve, and the force of its price steps.
-SHARE, STEP = 0.5, 1.0
-#: Pieces of the scaled histogram that best fit packs.
+#: Pieces of one length that one window ranks, about.
+CHUNK = 100_000
+#: The program: rounds of pricing, steps of the weights a round and their force, gap to the bound that ends it.
+PRICINGS, STEPS, FORCE, GAP = 60, 400, 0.3, 5e-4
+#: How often a round raises prices that leave room before it takes the bound.
+RAISES = 3
+#: Pieces of a scaled histogram that best fit packs.
 ITEMS = 50_000
 
 
@@ -177,95 +178,108 @@ def _through(i: int | None, lengths: np.ndarray, take: np.ndarray, capacity: int
     return config
 
 
+Column = tuple[tuple[int, int], ...]
+
+
+class Program(NamedTuple):
+    """A solved configuration program: lengths, columns as (place among the lengths, how often), x of each, what x and the pieces it
+    leaves uncovered cost, a lower bound of any solution, how often columns were priced."""
+
+    lengths: list[int]
+    columns: list[Column]
+    x: np.ndarray
+    cost: float
+    bound: float
+    pricings: int
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> Configs:
     """Fillings of sequences, as (lengths, how many sequences alike), that hold just the pieces of ``histogram`` (length to count).
 
-    The configuration program, least sum of x with every length covered, is solved by primal-dual steps over columns that
-    knapsack pricing brings in (``fractional``), and rounded down. What that leaves, some pieces a configuration whatever the corpus,
-    is filled greedily (``filled``). The first columns come from filling everything and from best fit on the histogram scaled
-    down to ITEMS pieces; these are also compared, and the fewest sequences win. Where the first filling has no more than the
-    space asks for, none has fewer and the program is not solved. Work depends on ``capacity`` and on the logarithm
-    of counts, not on the number of documents.
+    The configuration program, least sum of x with every length covered, is solved by multiplicative weights with knapsack pricing
+    (``fractional``), at any number of lengths, and rounded: columns are taken whole numbers of times, the most used first,
+    x times, rounded down after a share of the gap, at most as what is left of their lengths allows. What that leaves, some pieces a
+    column whatever the corpus, goes by best fit, decreasing. Work depends on ``capacity`` and on the logarithm of counts, not on the number of documents.
     """
     histogram = {n: k for n, k in histogram.items() if 0 < n <= capacity and k > 0}
     if not histogram:
         return []
-    starts = [filled(histogram, capacity), _scaled_best_fit(histogram, capacity)]
-    starts.sort(key=_count)
-    space = -(-sum(n * k for n, k in histogram.items()) // capacity)
-    if _count(starts[0]) <= space:
-        return starts[0]  # no filling has fewer sequences
-    lengths, columns = fractional(histogram, capacity, starts)
-    rest, rounded = dict(histogram), []
-    for column, x in sorted(columns, key=lambda c: -c[1]):
-        times = min([int(x + 1e-6), *(rest[int(lengths[i])] // n for i, n in column)])
+    program = fractional(histogram, capacity)
+    rest, out = dict(histogram), []
+    for k in np.argsort(-program.x, kind="stable").tolist():
+        column = [(program.lengths[i], n) for i, n in program.columns[k]]
+        times = min(int(program.x[k] * (1 + 4 * GAP) + 1e-6), *(rest[length] // n for length, n in column))
         if times > 0:
-            rounded.append(([int(lengths[i]) for i, n in column for _ in range(n)], times))
-            for i, n in column:
-                rest[int(lengths[i])] -= n * times
-    rest = {n: k for n, k in rest.items() if k}
-    rounded += min(filled(rest, capacity), _scaled_best_fit(rest, capacity), key=_count)
-    return min(rounded, starts[0], key=_count)
-
-
-def fractional(histogram: dict[int, int], capacity: int, starts: list[Configs]) -> tuple[np.ndarray, list[tuple[tuple[tuple[int, int], ...], float]]]:
-    """(lengths, columns with their x) of the configuration program. Columns and prices of lengths move in turn (primal-dual steps,
-    scaled for each column and length) over the sparse matrix of the columns so far; a knapsack over the mean prices gives a bound
-    and the columns that beat them, and the program goes on with those until the bound is met. Prices begin at the space that
-    lengths take."""
+            out.append(([length for length, n in column for _ in range(n)], times))
+            for length, n in column:
+                rest[length] -= n * times
+    return out + _scaled_best_fit({n: k for n, k in rest.items() if k}, capacity)
+
+
+def fractional(histogram: dict[int, int], capacity: int) -> Program:
+    """Solves the configuration program by multiplicative weights, both sides: a length's price grows by a factor while it is not
+    covered, a column's x grows by one while the prices of its pieces come to more than the one sequence it costs. Each step looks
+    ahead (it is taken with the forces found where it would lead) and forces are cut to one, so that rare lengths don't drive it.
+
+    A round moves the weights over the columns so far, a sparse matrix. Then a knapsack over the mean prices finds the best
+    configuration through each length. Those worth more than a sequence become columns. A price divided by the worth of the best
+    configuration through its length makes prices that no configuration beats, so they bound the program from below; lengths whose
+    configurations leave room are raised, to bound it better. The rounds end as that bound is met but for GAP, or after PRICINGS. The first columns come from best fit, of the scaled histogram.
+    """
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], float)
     at = {n: i for i, n in enumerate(lengths.tolist())}
-    bound = float(lengths @ demand) / capacity
-    alone = [((i, capacity // n),) for n, i in at.items()]  # these cover every length
-    found: dict[tuple[tuple[int, int], ...], float] = dict.fromkeys(alone, 0.0)
-    for weight, configs in zip((1.0, 0.0), starts, strict=False):
-        for config, k in configs:
-            column = tuple(sorted(Counter(at[n] for n in config).items()))
-            found[column] = found.get(column, 0.0) + k * weight
-    y = lengths / capacity
-    best: tuple[float, list, np.ndarray] = (np.inf, [], np.zeros(0))
-    least = bound
-    for _ in range(PRICINGS):
+    found: dict[Column, float] = {((i, capacity // n),): 0.0 for n, i in at.items()}  # these cover every length
+    for config, k in _scaled_best_fit(histogram, capacity):
+        column = tuple(sorted(Counter(at[n] for n in config).items()))
+        found[column] = found.get(column, 0.0) + k
+    y, dearest = lengths / capacity, 1 / (capacity // lengths)  # no length is worth more than its share of a sequence for itself
+    bound, best = float(lengths @ demand) / capacity, None
+    for pricing in range(1, PRICINGS + 1):
         columns, x = list(found), np.fromiter(found.values(), float, len(found))
         j = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
         i, n = np.array([p for c in columns for p in c], np.int64).T
-        by = np.argsort(i, kind="stable")
-        i_by, j_by, n_by = i[by], j[by], n[by]
-        j_ends, i_ends = (np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1]) for k in (j, i_by))
-        covered = lambda x: np.add.reduceat(n_by * x[j_by], i_ends)  # noqa: B023, E731
-        worth = lambda y: np.add.reduceat(n * y[i], j_ends)  # noqa: B023, E731
-        pace_x = bound / len(lengths) / worth(np.ones(len(lengths)))
-        pace_y = len(lengths) / bound / covered(np.ones(len(columns)))
-        mean_x, mean_y = np.zeros_like(x), np.zeros_like(y)
+        covered = lambda x: np.bincount(i, n * x[j], len(lengths))  # noqa: B023, E731
+        worth = lambda y: np.bincount(j, n * y[i], len(columns))  # noqa: B023, E731
+        most = np.maximum.reduceat(demand[i] / n, np.flatnonzero(np.diff(j, prepend=-1)))
+        x = np.maximum(x, 1e-3 * bound / len(columns))
+        mean_x, mean_y, weight = np.zeros_like(x), np.zeros_like(y), 0.0
         for step in range(STEPS):
-            ahead = np.maximum(0, x - pace_x * (1 - worth(y)))
-            y = np.maximum(0, y + pace_y * (demand - covered(2 * ahead - x)))
-            x = ahead
+            force = FORCE / np.sqrt(1 + step / 20)
+            grown = lambda v, by: v * np.exp(force * np.clip(by, -1, 1))  # noqa: B023, E731
+            ahead_x, ahead_y = grown(x, worth(y) - 1), grown(y, 1 - covered(x) / demand)
+            x = np.clip(grown(x, worth(ahead_y) - 1), 1e-6, most)
+            y = np.clip(grown(y, 1 - covered(ahead_x) / demand), 1e-6, dearest)
             if step >= STEPS // 2:
-                mean_x, mean_y = mean_x + x, mean_y + y
-        mean_x, mean_y = mean_x / (STEPS - STEPS // 2), mean_y / (STEPS - STEPS // 2)
-        short = np.maximum(0, demand - covered(mean_x)) / (capacity // lengths)
-        cost = mean_x.sum() + short.sum()
-        if cost < best[0]:
-            best = (cost, columns, mean_x)
+                mean_x, mean_y, weight = mean_x + force * ahead_x, mean_y + force * ahead_y, weight + force
+        mean_x, mean_y = mean_x / weight, mean_y / weight
+        cost = float(mean_x.sum() + (np.maximum(0, demand - covered(mean_x)) / (capacity // lengths)).sum())
         value, take = _price(lengths, mean_y, capacity)
-        if value[capacity] > 0:
-            least = max(least, float(mean_y @ demand) / value[capacity])
-        if cost <= least * (1 + GAP):
+        for again in range(1 + RAISES):
+            if again:
+                room = np.maximum(0, 1 - fair - _price(lengths, fair, capacity)[0][capacity - lengths])
+                raised = np.minimum(dearest, fair * (1 + room))
+                fair = raised / np.maximum(1, raised + _price(lengths, raised, capacity)[0][capacity - lengths])
+            else:
+                fair = mean_y / np.maximum(1, mean_y + value[capacity - lengths])
+            bound = max(bound, float(fair @ demand))
+            if cost <= bound * (1 + GAP):
+                break
+        if best is None or cost < best.cost:
+            best = Program(lengths.tolist(), columns, mean_x, cost, bound, pricing)
+        best = best._replace(bound=bound, pricings=pricing)
+        if best.cost <= bound * (1 + GAP):
             break
-        if len(columns) > 8 * len(lengths):  # forget what is neither used nor near the prices
-            used = (mean_x > 0) | (worth(mean_y) > 0.97)
-            found = dict.fromkeys(alone, 0.0) | {c: v for c, v, u in zip(columns, mean_x.tolist(), used, strict=True) if u}
-        else:
-            found = dict(zip(columns, mean_x.tolist(), strict=True))
-        known = len(found)
+        keep = np.ones(len(columns), bool)
+        if len(columns) > 6 * len(lengths):  # forget what is neither used nor near the prices; the program only needs a column for each length
+            keep = (mean_x > 1e-6 * mean_x.max()) | (worth(mean_y) > 0.97) | (np.bincount(j) == 1)
+        found = {c: v for c, v, k in zip(columns, mean_x.tolist(), keep.tolist(), strict=True) if k}
         for k in [None, *range(len(lengths))]:
             config = _through(k, lengths, take, capacity)
             if sum(mean_y[p] * times for p, times in config.items()) > 1 + GAP / 10:
                 found.setdefault(tuple(sorted(config.items())), 0.0)
-        y = mean_y if len(found) > known else y
-    return lengths, list(zip(best[1], best[2].tolist(), strict=True))
+        y = fair
+    return best
 
 
 def _scaled_best_fit(histogram: dict[int, int], capacity: int) -> Configs:
@@ -274,44 +288,6 @@ def _scaled_best_fit(histogram: dict[int, int], capacity: int) -> Configs:
     return [(c, k * scale) for c, k in _best_fit(whole, capacity)] + _best_fit({n: k - whole[n] * scale for n, k in histogram.items()}, capacity)
 
 
-def filled(histogram: dict[int, int], capacity: int) -> Configs:
-    """A greedy filling in rounds. A round prices the lengths, finds by a knapsack the best configuration through each, and serves whole
-    multiples of those that fill as well as any can, largest first; lengths that it served lose weight against the others.
-    What no whole multiple serves is packed by best fit, decreasing."""
-    rest = {n: k for n, k in histogram.items() if k > 0}
-    out: Configs = []
-    if k := rest.pop(capacity, 0):
-        out.append(([capacity], k))
-    lengths = np.array(sorted(rest), np.int64)
-    open_ = np.array([rest[n] for n in lengths.tolist()], np.int64)
-    weights = np.ones(len(lengths))
-    idle = 0
-    while len(lengths) and idle < 3:
-        prices = lengths / capacity * weights * (1 + 0.02 * lengths / capacity)  # short pieces fill gaps: keep them for last
-        _, take = _price(lengths, prices, capacity)
-        reach, _ = _price(lengths, lengths.astype(float), capacity)  # how full a capacity can get at all
-        budget = np.maximum(1, (open_ * SHARE).astype(np.int64))
-        served = np.zeros(len(lengths), np.int64)
-        for i in range(len(lengths) - 1, -1, -1):
-            if open_[i] == 0 or served[i] >= budget[i]:
-                continue
-            need = _through(i, lengths, take, capacity)
-            fill = sum(int(lengths[j]) * m for j, m in need.items())
-            times = min(min(int(open_[j]), int(budget[j] - served[j])) // m for j, m in need.items())
-            if times > 0 and fill >= lengths[i] + reach[capacity - lengths[i]] - capacity // 1024:
-                out.append(([int(lengths[j]) for j, m in need.items() for _ in range(m)], times))
-                for j, m in need.items():
-                    open_[j] -= m * times
-                    served[j] += m * times
-        idle = 0 if served.any() else idle + 1
-        share = served / np.maximum(1, served + open_)
-        weights *= np.exp(STEP * (share.mean() - share)) if served.any() else 1.0
-        weights /= weights.mean()
-        left = open_ > 0
-        lengths, open_, weights = lengths[left], open_[left], weights[left]
-    return out + _best_fit(dict(zip(lengths.tolist(), open_.tolist(), strict=True)), capacity)
-
-
 def _best_fit(histogram: dict[int, int], capacity: int) -> Configs:
     room: dict[int, list[list[int]]] = {}
     spaces: list[int] = []  # sorted keys of room
@@ -375,7 +351,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         return placed
 
-    chunk = F.pmod(F.xxhash64("_key", "piece", "ids_crc32"), F.lit(CHUNKS))
+    chunk = F.pmod(F.xxhash64("_key", "piece", "ids_crc32"), F.lit(max(16, max(histogram.values(), default=0) // CHUNK)))
     ranked = before(pieces.withColumn("_chunk", chunk).withColumn("_one", F.lit(1)), ["length"], "_chunk", ["_key", "piece", "ids_crc32"], "_one", "_rank")
     ranked = ranked.select("_key", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long").alias("_rank"))
     out = with_columns(ranked, ["length", "_rank"], "sequence_id long, offset long", make)

@@ -373,30 +373,69 @@ def test_configurations_hold_just_the_pieces(histogram):
 def test_configurations_beat_best_fit_where_it_fails():
     # Thirds and more: best fit, decreasing, opens too many sequences.
     histogram = {1024 - 170: 6000, 600: 6000, 594: 6000}
-    assert sum(k for _, k in packing.configurations(histogram)) <= sum(k for _, k in packing._best_fit(histogram, 2048))
+    assert packing._count(packing.configurations(histogram)) == 6000 < packing._count(packing._best_fit(histogram, 2048))
 
 
-def test_program_is_solved_at_two_thousand_lengths():
-    rng = np.random.default_rng(1)
-    histogram = {n: int(k) for n, k in zip(range(100, 2049), rng.integers(1, 60, 1949))}
-    starts = sorted([packing.filled(histogram, 2048), packing._scaled_best_fit(histogram, 2048)], key=packing._count)
-    lengths, columns = packing.fractional(histogram, 2048, starts)
-    held = np.zeros(len(lengths))
-    for column, x in columns:
+def least_sequences(pieces, capacity):
+    """The fewest sequences, by trying every way (branch and bound)."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for space in sorted({r for r in rooms if r >= pieces[k]}):
+            i = rooms.index(space)
+            put(k + 1, rooms[:i] + [space - pieces[k]] + rooms[i + 1 :])
+        put(k + 1, [*rooms, capacity - pieces[k]])
+
+    put(0, [])
+    return best[0]
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=11))
+def test_few_pieces_need_at_most_a_sequence_more_than_the_least(pieces):
+    count = packing._count(packing.configurations({n: pieces.count(n) for n in pieces}, 12))
+    assert least_sequences(pieces, 12) <= count <= least_sequences(pieces, 12) + 1
+
+
+def priced(histogram, capacity=packing.CAPACITY):
+    """The program, checked: columns fit, x covers the pieces but for a little, prices bound it."""
+    program = packing.fractional(histogram, capacity)
+    held = np.zeros(len(program.lengths))
+    for column, x in zip(program.columns, program.x, strict=True):
+        assert sum(program.lengths[i] * n for i, n in column) <= capacity and x >= 0
         for i, n in column:
             held[i] += n * x
-    want = np.array([histogram[n] for n in lengths.tolist()])
-    assert np.maximum(0, want - held).sum() <= 0.01 * want.sum()
-    assert sum(x for _, x in columns) <= packing._count(starts[0]) * 1.001
-    begun = {c for configs in starts for config, _ in configs for c in [tuple(sorted(config))]}
-    spelled = [tuple(sorted(int(lengths[i]) for i, n in column for _ in range(n))) for column, _ in columns]
-    assert any(len(set(c)) > 1 and c not in begun for c in spelled)  # priced columns came into the program
-
-
-@pytest.mark.parametrize(("more", "solved"), [(0, False), (1, True)])
-def test_program_is_left_out_only_at_the_least_possible(monkeypatch, more, solved):
-    asked, real = [], packing.fractional
-    monkeypatch.setattr(packing, "fractional", lambda *a: asked.append(1) or real(*a))
-    histogram = {1024: 40_000, 1025: 4 * more}  # four long pieces waste a sequence in 20,000
-    configs = packing.configurations(histogram)
-    assert bool(asked) is solved and sum(k for _, k in configs) == 20_000 + 4 * more
+    want = np.array([histogram[n] for n in program.lengths])
+    assert np.maximum(0, want - held).sum() <= 0.01 * want.sum() and program.bound <= program.cost * (1 + 1e-9)
+    return program
+
+
+@pytest.mark.parametrize(("shortest", "several", "gap"), [(2000, 1, 5e-4), (1549, 1, 5e-4), (700, 3, 5e-4), (100, 3, 5e-4), (1, 1, 5e-4)])
+def test_program_is_solved_at_any_number_of_lengths(shortest, several, gap):
+    rng = np.random.default_rng(1)
+    histogram = {n: int(k) for n, k in zip(range(shortest, 2049), rng.integers(1, 60, 2049 - shortest))}
+    program = priced(histogram)
+    count, best_fit = packing._count(packing.configurations(histogram)), packing._count(packing._best_fit(histogram, 2048))
+    assert program.cost <= program.bound * (1 + gap) and program.pricings >= several
+    assert program.bound - 1e-6 <= count <= best_fit + 1 and count <= program.bound * 1.001 + 2
+
+
+def test_priced_columns_come_into_the_program():
+    histogram = {n: 1000 + 7 * (n % 13) for n in range(600, 1100)}
+    program = priced(histogram)
+    begun = {tuple(sorted(c)) for c, _ in packing._scaled_best_fit(histogram, 2048)}
+    used = [tuple(program.lengths[i] for i, n in c for _ in range(n)) for c, x in zip(program.columns, program.x, strict=True) if x >= 1]
+    assert program.pricings > 1 and any(len(set(c)) > 1 and tuple(sorted(c)) not in begun for c in used)
+    assert packing._count(packing.configurations(histogram)) <= packing._count(packing._best_fit(histogram, 2048))
+
+
+def test_program_of_one_length_and_of_huge_counts():
+    assert packing.configurations({2048: 10**12}) == [([2048], 10**12)]
+    huge = {7: 10**11, 1000: 10**10, 2040: 10**10}
+    configs = packing.configurations(huge)
+    assert sum(k * len(c) for c, k in configs) == sum(huge.values()) and packing._count(configs) <= packing.fractional(huge, 2048).bound * 1.001

@@ -14,6 +14,7 @@ comes back to it without moving the words again. Then
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 from .common import batches_of, cut, slices, split_words
 
 WINDOW, PART = 13, 7
-#: Text bytes a chunk, anchors a bucket of the filter, suffixes a group, prefix lengths tried, most slots a prefix length has.
-CHUNK_BYTES, BUCKET, GROUP, SLOTS = 8 << 20, 1_000_000, 200_000, 1 << 20
+#: Text bytes a chunk and a bucket of the chunk table, anchors a bucket of the filter, suffixes a group, prefix lengths tried, most
+#: slots a prefix length has.
+CHUNK_BYTES, TABLE_BYTES, BUCKET, GROUP, SLOTS = 8 << 20, 128 << 20, 1_000_000, 200_000, 1 << 22
 DEPTHS = (1, 2, 3, 5, 8, WINDOW)
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Words are told apart by this.
+DIGEST = xxhash.xxh3_128_digest
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -50,6 +54,11 @@ def _unzip(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        spark.sql(f"drop table if exists {name}")
+
+
 def chunk_table(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     """The words of all documents as chunks, in a table bucketed by chunk in the shared warehouse: (the table, its name)."""
 
@@ -73,7 +82,9 @@ def chunk_table(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     made = rows.mapInArrow(chunked, "chunk long, n_docs long, n_words long, keys binary, known binary, bounds binary, same binary, words binary, spelled binary, ends binary")
     name = f"orrery_words_{uuid.uuid4().hex}"
-    made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+    made.write.bucketBy(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TABLE_BYTES), "chunk").saveAsTable(name)
+    atexit.register(_drop, spark, name)
     place = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/" + name)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.table(name), name
@@ -92,11 +103,13 @@ class Chunk:
         ends = self.ends.tolist()
         return [self.spelled[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def hashes(self) -> np.ndarray:
+    def digests(self) -> np.ndarray:
+        """128-bit hashes of the distinct words, as two rows of 64 bits."""
+        return np.frombuffer(b"".join(map(DIGEST, self.words())), ">u8").astype(np.uint64).reshape(-1, 2).T
+
+    def hashes(self, digests: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each word in place."""
-        h = xxhash.xxh3_64_intdigest
-        of = np.fromiter((h(w) for w in self.words()), np.uint64, len(self.ends))
-        return of[self.index] if len(of) else np.zeros(0, np.uint64)
+        return digests[0][self.index] if digests.size else np.zeros(0, np.uint64)
 
     def windows(self, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(first word, document) of every window of documents with a key, but for those to ``skip``."""
@@ -128,7 +141,7 @@ def _anchors(buckets: int):
             for row in p.itertuples(index=False):
                 c = Chunk(row)
                 first, doc = c.windows()
-                a = c.anchors(c.hashes(), first)
+                a = c.anchors(c.hashes(c.digests()), first)
                 if not len(a):
                     continue
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])])
@@ -169,48 +182,57 @@ def _shared(p: pd.DataFrame) -> pd.DataFrame:
 
 
 def _runs(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The runs of a chunk's windows that passed the filter: their words' codes, documents and places."""
+    """The runs of a chunk's windows that passed the filter: their words by number, digests of these, documents and places."""
+    none = pd.DataFrame({"chunk": [], "n": [], "words": [], "digests": [], "runs": []})
     if not len(left):
-        return pd.DataFrame({"chunk": [], "n": [], "codes": [], "runs": []})
+        return none
     c = Chunk(next(left.itertuples(index=False)))
     shared = [b for b in right["anchors"] if b is not None]
     copies = [b for b in right["copies"] if b is not None]
     skip = np.concatenate([np.frombuffer(b, np.int64) for b in copies]) if copies else None
     first, doc = c.windows(skip)
-    h = c.hashes()
-    a = c.anchors(h, first)
+    digests = c.digests()
+    a = c.anchors(c.hashes(digests), first)
     if not shared or not len(a):
-        return pd.DataFrame({"chunk": [], "n": [], "codes": [], "runs": []})
+        return none
     wanted = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared]))
     new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     place = np.minimum(np.searchsorted(wanted, a[new]), len(wanted) - 1)
     hit = np.repeat(wanted[place] == a[new], np.diff(np.concatenate([new, [len(a)]])))
     first, doc = first[hit], doc[hit]
     if not len(first):
-        return pd.DataFrame({"chunk": [], "n": [], "codes": [], "runs": []})
+        return none
     begin = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 1) | (np.diff(doc) != 0)]))
     size = np.diff(np.concatenate([begin, [len(first)]]))
     n = size + WINDOW - 1
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[begin], n)
-    codes = (h[at] >> np.uint64(32)).astype(np.uint32)
+    used, words = np.unique(c.index[at], return_inverse=True)
     runs = np.stack([doc[begin], first[begin] - c.bounds[:-1][doc[begin]], size, c.keys[doc[begin]]])
-    return pd.DataFrame({"chunk": [c.chunk], "n": [len(first)], "codes": [_zip(codes)], "runs": [_zip(runs.astype(np.int64))]})
+    return pd.DataFrame({"chunk": [c.chunk], "n": [len(first)], "words": [_zip(words.astype(np.uint32))], "digests": [digests[:, used].tobytes()], "runs": [_zip(runs.astype(np.int64))]})
+
 
+def _suffixes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of a chunk's runs: (codes of each different window, its check, its smallest key, window of each place, run table).
 
-def _suffixes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of a chunk's runs: (codes of each different window, its smallest key, window of each place, run table)."""
-    codes, runs = _unzip(row.codes, "<u4"), _unzip(row.runs, "<i8").reshape(4, -1)
+    A word's code are 32 bits of its digest; a window's check is made of the other 64, so windows that differ agree in both with
+    probability 2 ** -96 at most."""
+    words, runs = _unzip(row.words, "<u4"), _unzip(row.runs, "<i8").reshape(4, -1)
+    digests = np.frombuffer(row.digests, np.uint64).reshape(2, -1)
     n = runs[2]
     run = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(run)) + run * (WINDOW - 1)
-    all_ = np.lib.stride_tricks.sliding_window_view(codes, WINDOW)[start]
-    h = np.zeros(len(all_), np.uint64)
+    other = digests[1][words]
+    check = np.zeros(len(start), np.uint64)
     for k in range(WINDOW):
-        h = h * _MUL + all_[:, k]
-    _, first, which = np.unique(_mixed(h), return_index=True, return_inverse=True)
+        check = check * _MUL + other[start + k]
+    check = _mixed(check)
+    all_ = np.lib.stride_tricks.sliding_window_view((digests[0] >> np.uint64(32)).astype(np.uint32)[words], WINDOW)[start]
+    _, first, which = np.unique(check, return_index=True, return_inverse=True)
+    if (all_[first][which] != all_).any():  # two windows share a check: go by all there is
+        _, first, which = np.unique(np.column_stack([all_, check]), axis=0, return_index=True, return_inverse=True)
     low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, which, runs[3][run])
-    return all_[first], low, which, runs
+    return all_[first], check[first], low, which, runs
 
 
 def _slots(suffixes: np.ndarray, slots: int) -> np.ndarray:
@@ -235,12 +257,12 @@ def _prefix_counts(slots: int):
 
 def _to_groups(slots: int, heavy):
     def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        full = np.zeros(slots * len(DEPTHS), bool)
-        full[heavy.value] = True
-        full[-slots:] = False  # whole windows are not split further
+        full = np.zeros(-(-slots * len(DEPTHS) // 8) * 8, bool)
+        full[: len(heavy.value) * 8] = np.unpackbits(heavy.value)
+        full[slots * (len(DEPTHS) - 1) :] = False  # whole windows are not split further
         for p in batches:
             for row in p.itertuples(index=False):
-                suffixes, low, _, _ = _suffixes(row)
+                suffixes, check, low, _, _ = _suffixes(row)
                 at = _slots(suffixes, slots)
                 group = at[(~full[at]).argmax(axis=0), np.arange(len(suffixes))]
                 by = np.lexsort((suffixes[:, 1], suffixes[:, 0], group))
@@ -248,7 +270,7 @@ def _to_groups(slots: int, heavy):
                 parts = [by[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pd.DataFrame({
                     "group": group[by][cuts[:-1]], "chunk": row.chunk,
-                    "suffixes": [_zip(suffixes[i].T) for i in parts], "low": [_zip(low[i]) for i in parts], "number": [_zip(i.astype(np.int32)) for i in parts],
+                    "suffixes": [_zip(suffixes[i].T) for i in parts], "check": [check[i].tobytes() for i in parts], "low": [_zip(low[i]) for i in parts], "number": [_zip(i.astype(np.int32)) for i in parts],
                 })
 
     return out
@@ -266,8 +288,9 @@ def _deep_nodes(p: pd.DataFrame) -> pd.DataFrame:
     row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     low, number = (np.concatenate([_unzip(b, t) for b in p[c]]) for c, t in (("low", "<i8"), ("number", "<i4")))
     pairs = [s[:, k].astype(np.uint64) << np.uint64(32) | (s[:, k + 1] if k + 1 < WINDOW else np.uint64(0)) for k in range(0, WINDOW, 2)]
-    by = np.lexsort(pairs[::-1])
-    node = np.cumsum(common_prefixes(s[by]) < WINDOW) - 1
+    check = np.concatenate([np.frombuffer(b, np.uint64) for b in p["check"]])
+    by = np.lexsort([check, *pairs[::-1]])
+    node = np.cumsum((common_prefixes(s[by]) < WINDOW) | (np.diff(check[by], prepend=check[by[:1]]) != 0)) - 1
     least = np.full(node[-1] + 1 if len(node) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, node, low[by])
     of = np.empty(len(s), np.int64)
@@ -284,7 +307,7 @@ def _covered(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if not len(left):
         return pd.DataFrame({"chunk": [], "spans": []})
     row = next(left.itertuples(index=False))
-    suffixes, low, which, runs = _suffixes(row)
+    _, _, low, which, runs = _suffixes(row)
     least = low.copy()
     for number, of in zip(right["number"], right["least"], strict=True):
         i = _unzip(number, "<i4")
@@ -332,8 +355,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Words are runs of other characters than ASCII white space. A window is WINDOW consecutive words of one document; a word goes if
     a window that covers it has a word sequence that also starts in a document with a smaller key, in the input as it is. ``kept``
     is what is left, joined by single spaces; ``removed`` are the word ranges that went. Whole documents with the words of a smaller
-    one go by a comparison of digests, without entering the trees. Words are told apart by 64-bit hashes in the filter and by their
-    upper 32 bits in the trees: two windows are taken for equal by mistake with probability 2 ** -32 a differing word and pair.
+    one go by a comparison of 128-bit digests, without entering the trees. Words are told apart by 128-bit digests: 64 bits in the
+    filter, which only lets windows through, 32 in the trees, and the other 64 where a deep node is told from one that looks alike.
+    Two windows are taken for equal by mistake with probability 2 ** -96 a pair at most.
 
     Null and empty texts have no words. Rows with a null key neither lose words nor make others lose any. Rows with the same key
     are one document in this: neither makes the other lose words. An empty table gives an empty result. Other columns are not
@@ -362,13 +386,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     twins = cut(twins.groupBy("chunk").applyInPandas(collected, "chunk long, copies binary"))
     said = shared.unionByName(twins, allowMissingColumns=True)
-    runs = cut(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(_runs, "chunk long, n long, codes binary, runs binary"))
+    runs = cut(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(_runs, "chunk long, n long, words binary, digests binary, runs binary"))
 
     left = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slots = min(SLOTS, 1 << max(4, int(4 * left // GROUP).bit_length()))  # groups a quarter full on average
     counted = runs.mapInPandas(_prefix_counts(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    heavy = spark.sparkContext.broadcast(np.array([r.slot for r in counted.where(F.col("n") > GROUP).select("slot").collect()], np.int64))
-    grouped = runs.mapInPandas(_to_groups(slots, heavy), "group long, chunk long, suffixes binary, low binary, number binary")
+    # At most left / GROUP slots of each prefix length are heavy; a bit for each slot is broadcast, three megabytes at the most.
+    heavy = np.zeros(slots * len(DEPTHS), bool)
+    heavy[counted.where(F.col("n") > GROUP).select("slot").toPandas()["slot"].to_numpy(np.int64)] = True
+    heavy = spark.sparkContext.broadcast(np.packbits(heavy))
+    grouped = runs.mapInPandas(_to_groups(slots, heavy), "group long, chunk long, suffixes binary, check binary, low binary, number binary")
     nodes = grouped.groupBy("group").applyInPandas(_deep_nodes, "chunk long, number binary, least binary")
     spans = runs.groupBy("chunk").cogroup(nodes.groupBy("chunk")).applyInPandas(_covered, "chunk long, spans binary")
     final = spans.unionByName(twins, allowMissingColumns=True)

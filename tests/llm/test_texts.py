@@ -309,6 +309,22 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, group, chunk):
         assert r.n_removed == len({w for s in r.removed for w in range(s.start, s.end)})
 
 
+@pytest.mark.parametrize("spoilt", [slice(0, 4), slice(0, 8), slice(8, 16)])
+def test_windows_whose_codes_collide_stay_apart(spark, monkeypatch, spoilt):
+    """Every word that starts with v gets the same bits of its digest: codes (the first four bytes), filter or check alike."""
+    real, a, b = substrings.DIGEST, spoilt.start, spoilt.stop
+
+    def digest(word):
+        d = real(word)
+        return d[:a] + b"\7" * (b - a) + d[b:] if word[:1] == b"v" else d
+
+    monkeypatch.setattr(substrings, "DIGEST", digest)
+    before = " ".join(f"w{i}" for i in range(12))
+    texts = [(i, f"{before} v{i % 7} end {i}") for i in range(40)] + [(100, f"{before} v3 end 3 more")]
+    got = substrings.without_repeats(docs_of(spark, texts)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got), key=str) == brute_rest(texts)
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substrings.without_repeats(docs_of(spark, [(1, "a")]).where("false")).count() == 0
     assert [tuple(r)[:3] for r in substrings.without_repeats(docs_of(spark, [(1, None)])).collect()] == [(1, 0, 0)]

@@ -70,8 +70,8 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callab
     """``df`` with more columns (a DDL list), computed batch by batch: ``make()`` runs once a task and gives a function from the
     Arrow arrays of the ``inputs`` to those of the new columns. Batches are cut so that the first input holds about ``most_bytes``.
 
-    A scan without a shuffle. Other columns pass through untouched, whatever their names; all operators of this kind share one
-    pool of Python workers.
+    A scan without a shuffle. Other columns pass through untouched, but for those called as new ones (case apart), which these
+    replace; all operators of this kind share one pool of Python workers.
     """
     at = [df.columns.index(c) for c in inputs]
     new = T.StructType.fromDDL(fields)
@@ -88,7 +88,9 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callab
                 yield pa.RecordBatch.from_arrays([*part.columns, *fun(*[part.column(i) for i in at])], names=names)
 
     out = df.toDF(*names[: len(df.columns)]).mapInArrow(run, schema)
-    return out.toDF(*df.columns, *new.names)
+    taken = {n.lower() for n in new.names}
+    kept = [(c, n) for c, n in zip(names, df.columns, strict=False) if n.lower() not in taken]
+    return out.select(*[F.col(c).alias(n) for c, n in [*kept, *zip(names[len(df.columns) :], new.names, strict=True)]])
 
 
 def before(df: DataFrame, group: Sequence[str], chunk: str, order: Sequence[str | Column], amount: str, name: str) -> DataFrame:

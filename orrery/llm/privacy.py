@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from math import isqrt
@@ -24,12 +25,14 @@ from .common import batches_of, with_columns
 ROUNDS = 8
 #: Characters that are permuted as one number.
 PIECE = 48
+#: Times that a surrogate that stands for another entity of the text already is permuted anew.
+RETRIES = 16
 
 # Given names by gender, titles by gender, alphabets (vowels, consonants) by script.
 GIVEN = {
     "latin": {
-        "f": "Anna Maria Emma Sophie Laura Julia Sarah Clara Elena Lucia Carmen Isabel Camille Chloe Louise Alice Emily Olivia Hannah Grace Katharina Johanna Helena Martina".split(),
-        "m": "John James Robert Michael David Thomas Daniel Peter Paul Martin Lukas Felix Johannes Stefan Pierre Antoine Julien Nicolas Carlos Miguel Javier Pablo Andrew George".split(),
+        "f": "Anna Maria Emma Sophie Laura Julia Sarah Clara Elena Lucia Carmen Isabel Camille Chloe Louise Alice Emily Olivia Hannah Grace Katharina Johanna Helena Martina Fatima Aisha Mei Priya Giulia Francesca Beatriz Ingrid Agnieszka Zofia Yuki Leila Elizabeth Jennifer Patricia Margaret".split(),
+        "m": "John James Robert Michael David Thomas Daniel Peter Paul Martin Lukas Felix Johannes Stefan Pierre Antoine Julien Nicolas Carlos Miguel Javier Pablo Andrew George Wei Mohammed Ahmed Omar Raj Arjun Giovanni Marco Pedro Lars Sven Piotr Hiroshi Kenji William Richard".split(),
     },
     "cyrillic": {
         "f": "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
@@ -38,7 +41,23 @@ GIVEN = {
     "greek": {"f": "Μαρία Ελένη Κατερίνα Σοφία Ιωάννα Δήμητρα".split(), "m": "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Παύλος".split()},
 }
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Doña Госпожа Κυρία".split(), "m": "Mr Herr Monsieur Señor Don Господин Κύριος".split(), "": "Dr Prof Doctor Professor".split()}
-ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+ALPHABETS = (
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "áàâäãåāăąæéèêëēėęíìîïīįóòôöõøōőœúùûüūůűųýÿ", "çćčďđğłľñńňŕřśşšťþźżž",
+    "аеиоуыэюяёіїє", "бвгджзйклмнпрстфхцчшщґђјљњџ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώϊϋ",
+)
+#: Capitalised words that end a name: days and months, words that open questions and clauses.
+NO_NAMES = frozenset(
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+    "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar März Mai Juni Juli Oktober Dezember "
+    "Who What When Where Why How The This That These Those And But For From Has Had Was Were Will Would Der Die Das Und Period".split()
+)
+#: What a name follows, in any script.
+INTRODUCTIONS = "my name is|My name is|Signed by|signed by|Mein Name ist|mein Name ist|Ich heiße|ich heiße|Je m'appelle|je m'appelle|Me llamo|me llamo|Меня зовут|меня зовут|Με λένε|με λένε"
+#: Blocks of IPv4 addresses with a use of their own, none inside another; all other addresses are public.
+BLOCKS = [
+    ipaddress.ip_network(n)
+    for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4".split()
+]
 #: First and last code points of scripts without vowels of their own or without case: a character goes to one of the same range.
 RANGES = ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x05D0, 0x05EA), (0x0621, 0x063A), (0x0905, 0x0939))
 
@@ -69,11 +88,15 @@ class Permutation:
         """The surrogate of x among the values that are ``ok`` (x is); x itself only where there is no other on its cycle."""
         if size < 2:
             return x
-        for _ in range(10_000):
-            x = self._mix((self._mix(x, size, name, False) + 1) % size, size, name, True)
-            if ok(x):
-                return x
-        raise ValueError(f"no surrogate in class {name}")
+        y = x
+        while True:  # back at x at the latest
+            y = self._mix((self._mix(y, size, name, False) + 1) % size, size, name, True)
+            if y == x or ok(y):
+                return y
+
+    def again(self, times: int) -> Permutation:
+        """Other permutations under the same key."""
+        return Permutation(self.key + times.to_bytes(4, "big"))
 
 
 def _spell(text: str, at: Permutation, name: str, alphabets: list[str], ok: Callable[[str], bool] = lambda s: True) -> str:
@@ -132,7 +155,7 @@ def _phone(m: re.Match, at: Permutation) -> tuple[str, str] | None:
     plus = shape.startswith("+")
     if plus and digits[0] == "1" or not plus and len(digits) == 10 and digits[0] != "0":  # one numbering plan, with or without its code
         head, tail = (digits[:1], digits[1:]) if plus else ("", digits)
-        if len(tail) != 10 or tail[0] in "01" or not plus and not re.fullmatch(r"\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}([ .\-])\d{3}\1\d{4}", shape):
+        if len(tail) != 10 or tail[0] in "01":
             return None
         middle = ["5", "5", "5"] if tail[3:6] == "555" else ["0123456789"] * 3  # numbers of fiction stay fiction
         new = _spell(tail, at, "phone1", ["23456789", "0123456789", "0123456789", *middle, *["0123456789"] * 4], lambda s: (s[3:6] == "555") == (tail[3:6] == "555"))
@@ -173,14 +196,14 @@ def _ip4(m: re.Match, at: Permutation) -> tuple[str, str] | None:
         ip = ipaddress.IPv4Address(m[0])
     except ValueError:
         return None
-    kind = lambda i: (i.is_private, i.is_loopback, i.is_multicast, i.is_reserved, i.is_link_local)
-    own = next((n for n in map(ipaddress.ip_network, ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")) if ip in n), None)
-    if own:
-        first = int(own.network_address)
-        return m[0], str(ipaddress.IPv4Address(first + at(int(ip) - first, own.num_addresses, f"ip{own}")))
-    same = kind(ip)
-    inside = lambda y: kind(ipaddress.IPv4Address(y)) == same and not ipaddress.IPv4Address(y).is_private or same[0]
-    return m[0], str(ipaddress.IPv4Address(at(int(ip), 1 << 32, f"ip{same}", inside)))
+    if int(ip) in (0, (1 << 32) - 1):  # nobody's
+        return None
+    block = next((n for n in BLOCKS if ip in n), None)
+    if block:
+        first = int(block.network_address)
+        return m[0], str(ipaddress.IPv4Address(first + at(int(ip) - first, block.num_addresses, f"ip{block}")))
+    public = lambda y: not any(ipaddress.IPv4Address(y) in n for n in BLOCKS)
+    return m[0], str(ipaddress.IPv4Address(at(int(ip), 1 << 32, "ip", public)))
 
 
 def _ip6(m: re.Match, at: Permutation) -> tuple[str, str] | None:
@@ -188,8 +211,11 @@ def _ip6(m: re.Match, at: Permutation) -> tuple[str, str] | None:
         ip = ipaddress.IPv6Address(m[0])
     except ValueError:
         return None
-    head, tail = divmod(int(ip), 1 << 112)
-    return str(ip), str(ipaddress.IPv6Address((head << 112) + at(tail, 1 << 112, f"ip6{head:x}")))
+    if ip.is_loopback or ip.is_unspecified:  # nobody's
+        return None
+    free = 96 if int(ip) >> 112 == 0x2001 else 112  # the blocks below 2001::/16 are told by 32 bits, all others by 16 or fewer
+    head, tail = divmod(int(ip), 1 << free)
+    return str(ip), str(ipaddress.IPv6Address((head << free) + at(tail, 1 << free, f"ip6{head:x}", lambda y: head or y > 1)))
 
 
 def _secret(m: re.Match, at: Permutation) -> tuple[str, str]:
@@ -203,51 +229,84 @@ def _cloud_key(m: re.Match, at: Permutation) -> tuple[str, str]:
     return m[0], m[0][:4] + _spell(m[0][4:], at, "cloud", [_UPPER] * (len(m[0]) - 4))
 
 
-_LISTED = {n: (script, g, i) for script, by in GIVEN.items() for g, names in by.items() for i, n in enumerate(names)}
+_LISTED = {n.lower(): (script, g, i) for script, by in GIVEN.items() for g, names in by.items() for i, n in enumerate(names)}
 _TITLED = {t: g for g, ts in TITLES.items() for t in ts}
+_PARTICLES = "von van der den de da di del della la le bin al"
+
+
+def _cased(new: str, like: str) -> str:
+    return new.upper() if len(like) > 1 and like.isupper() else new.lower() if like.islower() else new
 
 
 def _name(m: re.Match, at: Permutation) -> tuple[str, str] | None:
-    """A name behind a title, or behind a listed given name: given names go to those of the same gender and script, surnames to
-    words of the same script and shape. Each part maps alone, so 'Mr John Smith' and 'Mr Smith' stay one family."""
+    """A name behind a title, an introduction or a listed given name: given names go to those of the same gender and script, surnames
+    to words of the same script and shape, particles stay. Each part maps alone and whatever its case, so 'Mr John Smith',
+    'Mr JOHN SMITH' and 'Mr Smith' stay one family."""
     parts = re.split(r"(\s+)", m["name"])
-    words = parts[::2]
-    for i, w in enumerate(words):
-        if w in _LISTED:
-            script, g, k = _LISTED[w]
+    end = next((i for i, w in enumerate(parts) if w in NO_NAMES), len(parts))
+    parts, rest = parts[: max(0, end - 1) if end < len(parts) else end], parts[max(0, end - 1) :] if end < len(parts) else []
+    words = [w for w in parts[::2] if w not in _PARTICLES.split()]
+    if not words or m.start() == m.start("name") and len(words) < 2:  # a given name alone may be any word
+        return None
+    for i in range(0, len(parts), 2):
+        w = parts[i]
+        if w.lower() in _LISTED:
+            script, g, k = _LISTED[w.lower()]
             names = GIVEN[script][g]
-            parts[2 * i] = names[at(k, len(names), f"given{script}{g}")]
-        else:
-            parts[2 * i] = _word(w, at, "name", lambda s: s.capitalize() not in _LISTED)
-    return " ".join(words).lower(), m[0][: m.start("name") - m.start()] + "".join(parts) + m[0][m.end("name") - m.start() :]
+            parts[i] = _cased(names[at(k, len(names), f"given{script}{g}")], w)
+        elif w not in _PARTICLES.split():
+            parts[i] = _word(w, at, "name", lambda s: s not in _LISTED)
+    return " ".join(words).lower(), m[0][: m.start("name") - m.start()] + "".join(parts + rest) + m[0][m.end("name") - m.start() :]
 
 
 _W = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я\u3041-\u30fa\u4e00-\u9fa5\uac00-\ud7a3][^\W\d_]*(?:['’\-][^\W\d_]+)*"
 #: What may stand between two digits of a phone number with +; dates, which aren't national numbers.
 _GAP = r"(?:[ .\-]?\(|\)[ .\-]?|[ .\-/]|\(0\)[ .\-]?)?"
 _DATE = re.compile(r"0\d[ /\-]\d{1,2}[ /\-](?:19|20)\d\d(?!\d)")
+_MORE = rf"(?:[ \t]+(?:{'|'.join(_PARTICLES.split())}))*[ \t]+{_W}"
+_GIVENS = "|".join(sorted({n for by in GIVEN.values() for names in by.values() for name in names for n in (name, name.upper())}, key=len, reverse=True))
+_GIVEN_PATTERN = re.compile(rf"(?<!\w)(?P<name>(?:{_GIVENS})(?:[ \t]+(?:{_GIVENS})(?!\w))*{_MORE})(?!\w)")
 #: (type, what a text must contain for the pattern to be tried, pattern, surrogate), first come first served where they overlap.
 DETECTORS: list[tuple[str, tuple[str, ...], re.Pattern, Callable]] = [
     ("email", ("@",), re.compile(r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w\-])"), _email),
     ("cloud_key", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"), _cloud_key),
     ("secret", ("password", "passwd", "token", "secret", "api_key", "apikey"), re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|token|secret|api_?key)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9_\-+/]{8,})"), _secret),
     ("iban", (), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
-    ("ipv6", ("::", ":"), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])"), _ip6),
+    ("ipv6", ("::", ":"), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\w)"), _ip6),
     ("ipv4", (".",), re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\w)"), _ip4),
     ("ssn", ("-",), re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"), _ssn),
     ("card", (), re.compile(r"(?<![\w\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\w|-\d)"), _card),
-    ("phone", (), re.compile(rf"(?<![\w+])(?:\+1(?:{_GAP}[0-9]){{10}}(?!\w)|\+[2-9](?:{_GAP}[0-9]){{7,14}}(?!\w)|(?<![.,:/\-])(?P<national>(?:0[1-9][0-9]{{0,4}}[ /\-]|\(0[1-9][0-9]{{0,4}}\)[ \-]?)[0-9]{{2,8}}(?:[ \-][0-9]{{2,8}}){{0,4}}(?![\w:]))|(?:\+\d{{1,3}}[ .\-]?)?(?:\(\d{{2,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,4}}){{1,4}}(?!\w))"), _phone),
-    ("name", tuple(_TITLED), re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.?[ \t]+(?P<name>{_W}(?:[ \t]+{_W}){{0,2}})(?!\w)"), _name),
-    ("name", (), re.compile(rf"(?<!\w)(?P<name>(?:{'|'.join(_LISTED)})[ \t]+{_W})(?!\w)"), _name),
+    ("phone", (), re.compile(rf"(?<![\w+])(?:\+1(?:{_GAP}[0-9]){{10}}(?!\w)|\+[2-9](?:{_GAP}[0-9]){{7,14}}(?!\w)|(?<![.,:/\-])(?P<national>(?:0[1-9][0-9]{{0,4}}[ /\-]|\(0[1-9][0-9]{{0,4}}\)[ \-]?)[0-9]{{2,8}}(?:[ \-][0-9]{{2,8}}){{0,4}}(?![\w:]))|(?:\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]|\d{{3}}(?P<gap>[ .\-])\d{{3}}(?P=gap))\d{{4}}(?!\w|[.\-]\d))"), _phone),
+    ("name", tuple(_TITLED), re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.?[ \t]+(?P<name>{_W}(?:{_MORE}){{0,2}})(?!\w)"), _name),
+    ("name", tuple(INTRODUCTIONS.split("|")), re.compile(rf"(?<!\w)(?:{INTRODUCTIONS})[ \t]+(?P<name>{_W}(?:{_MORE}){{0,2}})(?!\w)"), _name),
+    ("name", (), _GIVEN_PATTERN, _name),
 ]
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"\w+")
-_LISTED_WORDS = frozenset(_LISTED)  # each is one word, so behind no word character and before a blank it is a whole one
-
-
-def entities(text: str, at: Permutation) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, type, canonical, surrogate) of what is found in the whole text, in order, without overlaps."""
-    digits, listed, found = None, None, []
+_LISTED_WORDS = frozenset(_GIVENS.split("|"))  # each is one word, so behind no word character and before a blank it is a whole one
+
+Entity = tuple[int, int, str, str, str]
+
+
+def _bare(kind: str, m: re.Match, surrogate: str) -> str:
+    """A surrogate without what belongs to the mention rather than to the entity: titles and keywords, blanks, case, format."""
+    if kind in ("name", "secret"):
+        group = "name" if kind == "name" else "value"
+        surrogate = surrogate[m.start(group) - m.start() : len(surrogate) - (m.end() - m.end(group))]
+    if kind == "phone":
+        digits = re.sub(r"\D", "", surrogate.replace("(0)", ""))
+        return f"+{digits}" if surrogate[0] == "+" and digits[0] != "1" else digits if digits[0] == "0" else digits[-10:]
+    if kind in ("card", "ssn", "iban"):
+        return re.sub(r"\W|_", "", surrogate)
+    return surrogate if kind in ("secret", "cloud_key") else " ".join(surrogate.lower().split())
+
+
+def _detected(text: str, at: Permutation) -> list[tuple[int, int, str, str, str, str]]:
+    """As ``entities``, with the bare surrogate."""
+    digits, listed = None, None
+    starts: list[int] = []
+    found: list[tuple[int, int, str, str, str, str]] = []  # in order, as starts
+    owner: dict[tuple[str, str], str] = {}
     for kind, needs, pattern, make in DETECTORS:
         if needs:
             if not any(n in text for n in needs) and not (kind == "secret" and any(n in text.lower() for n in needs)):
@@ -261,19 +320,32 @@ def entities(text: str, at: Permutation) -> list[tuple[int, int, str, str, str]]
             if not listed:
                 continue
         for m in pattern.finditer(text):
-            if not any(m.start() < e and s < m.end() for s, e, *_ in found) and (got := make(m, at)):
-                found.append((m.start(), m.end(), kind, *got))
-    return sorted(found)
+            k = bisect_left(starts, m.start())
+            if k < len(found) and found[k][0] < m.end() or k and found[k - 1][1] > m.start():
+                continue
+            got, times = make(m, at), 0
+            while got and times < RETRIES and owner.setdefault((kind, _bare(kind, m, got[1])), got[0]) != got[0]:
+                times += 1
+                got = make(m, at.again(times))
+            if got:
+                starts.insert(k, m.start())
+                found.insert(k, (m.start(), m.end(), kind, *got, _bare(kind, m, got[1])))
+    return found
+
+
+def entities(text: str, at: Permutation) -> list[Entity]:
+    """(start, end, type, canonical, surrogate) of what is found in the whole text, in order, without overlaps.
+
+    Two entities of a type have two surrogates: the permutations see to it, and where a surrogate of this text should still stand
+    for another entity already, the later one is permuted once more."""
+    return [f[:5] for f in _detected(text, at)]
 
 
-def replaced(text: str | None, at: Permutation) -> tuple[str | None, list[tuple[int, int, str, str, str]]]:
-    """The text with surrogates, and what they stand for. Two entities of one type must have two surrogates."""
+def replaced(text: str | None, at: Permutation) -> tuple[str | None, list[Entity]]:
+    """The text with surrogates, and what they stand for."""
     if not text:
         return text, []
     found = entities(text, at)
-    pairs = {(kind, original, re.sub(r"\s+", " ", new).lower() if kind == "name" else new) for _, _, kind, original, new in found if kind in ("email", "ipv4", "card")}
-    if len({p[:2] for p in pairs}) > len({(p[0], p[2].lower()) for p in pairs}):
-        raise ValueError("two entities share a surrogate")
     out, end = [], 0
     for s, e, _, _, new in found:
         out += [text[end:s], new]
@@ -284,8 +356,9 @@ def replaced(text: str | None, at: Permutation) -> tuple[str | None, list[tuple[
 def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", name: str = "pii") -> DataFrame:
     """Adds ``name``: struct(text, n_entities, n_distinct, spans) with the whole text rewritten. A scan without a shuffle.
 
-    spans are (type, start, end, surrogate) in the original text, without the original. Null texts stay null, texts without
-    entities stay as they are. Ties and repeated rows are rewritten alike.
+    spans are (type, start, end, surrogate) in the original text, without the original. Null and empty texts and texts without
+    entities stay as they are; very long texts are searched whole. Where patterns overlap the first of DETECTORS has it. Repeated rows
+    are rewritten alike. An empty table gives an empty result. Other columns pass through untouched; one called ``name`` is replaced.
     """
 
     batches_of(docs.sparkSession, 1000)
@@ -307,15 +380,16 @@ def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", name: str =
 
 
 def collisions(docs: DataFrame, secret: bytes, text: str = "text") -> DataFrame:
-    """(type, surrogate, n) of surrogates that stand for n > 1 entities anywhere in the corpus; empty if all is well.
+    """(type, surrogate, n) of surrogates, of every type, that stand for n > 1 entities anywhere in the corpus; empty if all is well.
 
-    Entities are told apart by a keyed digest, so no original leaves its row; counts are summed before the shuffle.
+    An audit: a pass of its own over the whole corpus. Entities are told apart by a keyed digest, so no original leaves its row;
+    a task's repeats go before the shuffle. Null and empty texts mention nothing; an empty table gives an empty result.
     """
 
     def mentioned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = Permutation(secret)
         for p in batches:
-            found = {(k, o, n.lower()) for t in p["_text"] if t for _, _, k, o, n in entities(t, at) if k not in ("name", "phone", "secret")}
+            found = {(k, o, n) for t in p["_text"] if t for _, _, k, o, _, n in _detected(t, at)}
             yield pd.DataFrame([(k, n, blake2b(o.encode(), key=at.key, digest_size=16).hexdigest()) for k, o, n in found], columns=["type", "surrogate", "entity"])
 
     said = docs.select(F.col(text).alias("_text")).mapInPandas(mentioned, "type string, surrogate string, entity string")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, before, components, cut, forest
 
-#: Vectors a tile side.
-TILE = 2048
+#: Vectors a tile side, tiles that travel together, packs that meet another one in one task.
+TILE, PACK, MEETINGS = 2048, 8, 64
 #: Added to every bound, for the rounding of the few double-precision operations that the bound itself is made of.
 SLACK = 1e-12
 
@@ -34,28 +34,36 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int8), scale[:, 0], np.sqrt(((unit - scale * codes) ** 2).sum(axis=1))
 
 
-def tile_links(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index pairs of two tiles with cosine >= threshold, and how many were recomputed in full precision.
+Quantised = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tile_bounds(a: Quantised, b: Quantised, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of two tiles whose cosine may reach ``threshold``, and whether it surely does.
 
     With x = s q + e and y = t r + f, |x . y - s t q . r| <= |e| |y| + |s q| |f| <= |e| + (1 + |e|) |f|. Products q . r of int8
     codes are whole numbers that float32 holds exactly (up to 1,040 components a product), so the matrix product is exact.
     """
-    (x, q, s, e), (y, r, t, f) = a, b
-    near = np.zeros((len(x), len(y)), np.float64)
+    (q, s, e), (r, t, f) = a, b
+    near = np.zeros((len(q), len(r)), np.float64)
     for at in range(0, q.shape[1], 1040):
         near += q[:, at : at + 1040].astype(np.float32) @ r[:, at : at + 1040].astype(np.float32).T
     near *= s[:, None]
     near *= t[None, :]
-    near += (e[:, None] + (1 + e[:, None]) * f[None, :]) + SLACK  # an upper bound of the cosine
-    i, j = np.nonzero(near >= threshold)
-    exact = np.einsum("ij,ij->i", x[i], y[j])
-    good = exact >= threshold
-    return i[good], j[good], len(i)
+    i, j = np.nonzero(near + (e[:, None] + (1 + e[:, None]) * f[None, :]) >= threshold - SLACK)
+    return i, j, near[i, j] - (e[i] + (1 + e[i]) * f[j]) >= threshold + SLACK
+
 
+def _sums(ids: np.ndarray, n: np.ndarray, ids2: np.ndarray, n2: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Links (i, j) as rows: how many rows each end is linked to, and a spanning forest."""
+    sums, sums2 = np.bincount(i, n2[j], len(ids)), np.bincount(j, n[i], len(ids2))
+    x, y = forest(ids[i], ids2[j])
+    at, at2 = np.flatnonzero(sums), np.flatnonzero(sums2)
+    rep = np.concatenate([ids[at], ids2[at2], x])
+    return pd.DataFrame({"rep": rep, "n": np.concatenate([sums[at], sums2[at2], np.zeros(len(x))]).astype(np.int64), "to": np.concatenate([ids[at], ids2[at2], y])})
 
-def _sides(p: pd.Series, dim: int) -> tuple:
-    unit = np.frombuffer(p, np.float64).reshape(-1, dim)
-    return (unit, *quantised(unit))
+
+def _unpacked(codes: bytes, scales: bytes, errors: bytes, ids: bytes, copies: bytes, dim: int) -> tuple:
+    return np.frombuffer(codes, np.int8).reshape(-1, dim), *(np.frombuffer(b, np.float64) for b in (scales, errors)), *(np.frombuffer(b, np.int64) for b in (ids, copies))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -67,10 +75,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     key is null, link with nothing (a null key has a null component_id and kept false). Vectors of different lengths never link.
 
     Rows with the same label and the same vector are one representative: copies are counted, not compared. Representatives are
-    ranked within their label and dealt to tiles of TILE; a task multiplies two tiles' int8 codes and recomputes only pairs that
-    the quantisation error could lift to the threshold. It returns sums of links and a spanning forest, at most four rows a
-    vector and pair of tiles, never the pairs. All pairs of a label are compared, so work grows with the square of a label.
-    An empty table gives an empty result; other columns are not looked at.
+    ranked within their label and dealt to tiles of TILE. Packs of PACK tiles meet as int8 codes, scales and error norms; a task
+    multiplies tiles' codes, and the error bounds leave some pairs in doubt. Only these are computed in full precision: of the
+    double-precision vectors only those of pairs in doubt go to where they are needed. What comes back are sums of links and a
+    spanning forest, at most four rows a vector and pair of tiles, never the pairs. All pairs of a label are compared, so work
+    grows with the square of a label. An empty table gives an empty result; other columns are not looked at.
     """
     batches_of(vectors.sparkSession, 10_000)
     given = vectors.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_vec"), F.col(label).alias("_label"))
@@ -82,43 +91,77 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     reps = reps.withColumn("_chunk", F.substring("_hash", 1, 2)).withColumn("_one", F.lit(1))
     reps = before(reps, ["_label", "_dim"], "_chunk", ["_hash"], "_one", "_rank")
     reps = cut(reps.withColumn("_tile", F.expr(f"cast(_rank div {TILE} as int)")))
+    kind = vectors.schema[label].dataType.simpleString()
+    tile = ["_label", "_dim", "_tile"]
 
-    def packed(p: pd.DataFrame) -> pd.DataFrame:
-        flat = unit_rows(np.stack(p["_vec"].to_list()).astype(np.float64))
+    def exact(p: pd.DataFrame) -> pd.DataFrame:
+        by = p.sort_values("rep")
+        units = unit_rows(np.stack(by["_vec"].to_list()).astype(np.float64))
+        return pd.DataFrame({**{c: p[c].iloc[:1].to_numpy() for c in tile}, "ids": [by["rep"].to_numpy(np.int64).tobytes()], "copies": [by["copies"].to_numpy(np.int64).tobytes()], "units": [units.tobytes()]})
+
+    tiles = cut(reps.select(*tile, "rep", "copies", "_vec").groupBy(*tile).applyInPandas(exact, f"_label {kind}, _dim int, _tile int, ids binary, copies binary, units binary"))
+
+    def coded(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_tile")
+        q, s, e = quantised(np.frombuffer(b"".join(p["units"]), np.float64).reshape(-1, p["_dim"].iloc[0]))
         return pd.DataFrame({
-            "_label": p["_label"].iloc[:1], "_dim": p["_dim"].iloc[:1], "_tile": p["_tile"].iloc[:1],
-            "ids": [p["rep"].to_numpy(np.int64).tobytes()], "copies": [p["copies"].to_numpy(np.int64).tobytes()], "units": [flat.tobytes()],
+            **{c: p[c].iloc[:1].to_numpy() for c in ("_label", "_dim", "_pack")}, "ids": [b"".join(p["ids"])], "copies": [b"".join(p["copies"])],
+            "codes": [q.tobytes()], "scales": [s.tobytes()], "errors": [e.tobytes()],
         })
 
-    kind = vectors.schema[label].dataType.simpleString()
-    tiles = reps.select("_label", "_dim", "_tile", "rep", "copies", "_vec").groupBy("_label", "_dim", "_tile").applyInPandas(
-        packed, f"_label {kind}, _dim int, _tile int, ids binary, copies binary, units binary"
-    )
-    tiles = cut(tiles)
-    last = tiles.groupBy("_label", "_dim").agg(F.max("_tile").alias("_last"))
-    left = tiles.join(last, ["_label", "_dim"]).withColumn("_other", F.explode(F.sequence("_tile", "_last")))
-    right = tiles.select("_label", "_dim", F.col("_tile").alias("_other"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("units").alias("units2"))
-    pairs = left.join(right, ["_label", "_dim", "_other"]).select("_dim", "_tile", "_other", "ids", "copies", "units", "ids2", "copies2", "units2")
-
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sides = ["ids", "copies", "codes", "scales", "errors"]
+    packs = tiles.withColumn("_pack", F.expr(f"cast(_tile div {PACK} as int)")).groupBy("_label", "_dim", "_pack")
+    packs = cut(packs.applyInPandas(coded, f"_label {kind}, _dim int, _pack int, " + ", ".join(f"{c} binary" for c in sides)))
+    packs = packs.join(packs.groupBy("_label", "_dim").agg(F.max("_pack").alias("_last")), ["_label", "_dim"])
+    # Of two packs either may be the one that travels; by turns, each does so half the time.
+    to = F.expr("filter(sequence(0, _last), b -> (b >= _pack) = ((_pack + b) % 2 = 0))")
+    left = packs.withColumn("_other", F.explode(to)).withColumn("_part", F.expr(f"_pack div {MEETINGS}"))
+    right = packs.select("_label", "_dim", F.col("_pack").alias("_other"), F.explode(F.expr(f"sequence(0, _last div {MEETINGS})")).alias("_part"), *[F.col(c).alias(f"{c}2") for c in sides])
+    pairs = left.join(right, ["_label", "_dim", "_other", "_part"]).select("_label", "_dim", "_pack", "_other", *sides, *[f"{c}2" for c in sides])
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for label, dim, pack, other, *blobs in p.itertuples(index=False, name=None):
+                ids, copies, codes, scales, errors, *second = blobs
+                q, s, e, ids, n = _unpacked(codes, scales, errors, ids, copies, dim)
+                r, t, f, ids2, n2 = _unpacked(second[2], second[3], second[4], second[0], second[1], dim)
+                for a in range(0, len(q), TILE):
+                    for b in range(a if pack == other else 0, len(r), TILE):
+                        at, to = slice(a, a + TILE), slice(b, b + TILE)
+                        i, j, sure = tile_bounds((q[at], s[at], e[at]), (r[to], t[to], f[to]), threshold)
+                        if pack == other and a == b:
+                            i, j, sure = i[i < j], j[i < j], sure[i < j]
+                        yield _sums(ids[at], n[at], ids2[to], n2[to], i[sure], j[sure]).assign(_label=None, _dim=None, _tile=None, _other=None, doubt=None)
+                        if not sure.all():
+                            doubt = np.stack([i[~sure], j[~sure]]).astype(np.int16)
+                            yield pd.DataFrame({"rep": None, "n": None, "to": None, "_label": [label], "_dim": [dim], "_tile": [pack * PACK + a // TILE], "_other": [other * PACK + b // TILE], "doubt": [doubt.tobytes()]})
+
+    links = "rep long, n long, to long"
+    found = cut(pairs.mapInPandas(met, f"{links}, _label {kind}, _dim int, _tile int, _other int, doubt binary"))
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of a tile, just the vectors that are in doubt with another tile."""
+        for p in batches:
+            for label, dim, other, doubt, ids, copies, units in p.itertuples(index=False, name=None):
+                i, j = np.frombuffer(doubt, np.int16).reshape(2, -1)
+                used, i = np.unique(i, return_inverse=True)
+                ids, copies = (np.frombuffer(b, np.int64)[used].tobytes() for b in (ids, copies))
+                units = np.frombuffer(units, np.float64).reshape(-1, dim)[used].tobytes()
+                yield pd.DataFrame({"_label": [label], "_dim": [dim], "_tile": [other], "doubt": [np.stack([i, j]).astype(np.int16).tobytes()], "ids2": [ids], "copies2": [copies], "units2": [units]})
+
+    def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for row in p.itertuples(index=False):
-                dim, same = row[0], row[1] == row[2]
-                ids, ids2 = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ids2, np.int64)
-                n, n2 = np.frombuffer(row.copies, np.int64), np.frombuffer(row.copies2, np.int64)
-                a = _sides(row.units, dim)
-                i, j, _ = tile_links(a, a if same else _sides(row.units2, dim), threshold)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                sums, sums2 = np.bincount(i, n2[j], len(ids)), np.bincount(j, n[i], len(ids2))
-                x, y = forest(ids[i], ids2[j])
-                at, at2 = np.flatnonzero(sums), np.flatnonzero(sums2)
-                yield pd.DataFrame({
-                    "rep": np.concatenate([ids[at], ids2[at2], x]), "n": np.concatenate([sums[at], sums2[at2], np.zeros(len(x))]).astype(np.int64),
-                    "to": np.concatenate([ids[at], ids2[at2], y]),
-                })
-
-    found = cut(pairs.mapInPandas(linked, "rep long, n long, to long"))
+            for dim, doubt, ids2, copies2, units2, ids, copies, units in p.itertuples(index=False, name=None):
+                i, j = np.frombuffer(doubt, np.int16).reshape(2, -1).astype(np.int64)
+                x, y = (np.frombuffer(b, np.float64).reshape(-1, dim) for b in (units2, units))
+                good = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) >= threshold
+                yield _sums(*(np.frombuffer(b, np.int64) for b in (ids2, copies2, ids, copies)), i[good], j[good])
+
+    doubts = found.where("doubt is not null").select(*tile, "_other", "doubt")
+    doubts = doubts.join(tiles, tile).select("_label", "_dim", "_other", "doubt", "ids", "copies", "units")
+    doubts = doubts.mapInPandas(taken, f"_label {kind}, _dim int, _tile int, doubt binary, ids2 binary, copies2 binary, units2 binary")
+    doubts = doubts.join(tiles, tile).select("_dim", "doubt", "ids2", "copies2", "units2", "ids", "copies", "units")
+    found = cut(found.where("doubt is null").select("rep", "n", "to").union(doubts.mapInPandas(computed, links)))
     links = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), spanning=True)
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
     known = reps.select("_label", "_dim", "_hash", "rep", "copies").join(counts, "rep", "left").join(links, F.col("rep") == F.col("node"), "left")

@@ -52,33 +52,105 @@ def test_null_keys_and_repeats(spark):
 
 @settings(deadline=None, max_examples=40)
 @given(st.integers(0, 2**32 - 1), st.integers(2, 70), st.floats(-0.95, 0.99))
-def test_bounds_never_miss_a_pair(seed, dim, threshold):
+def test_bounds_never_miss_a_pair_and_are_sure_of_none_below(seed, dim, threshold):
     rng = np.random.default_rng(seed)
     x = neardup.unit_rows(rng.standard_normal((30, dim)) * 10.0 ** rng.integers(-150, 150, (30, 1)))
     y = neardup.unit_rows(x[:20] + rng.standard_normal((20, dim)) * 0.1)
-    a, b = (x, *neardup.quantised(x)), (y, *neardup.quantised(y))
-    i, j, checked = neardup.tile_links(a, b, threshold)
-    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(np.einsum("ij,kj->ik", x, y) >= threshold)))) and checked >= len(i)
-
-
-def test_recall_and_exact_scores(spark, sf, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 200)
-    monkeypatch.setattr(ann, "BLOCK", 4)
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = ann.search(ann.build_index(v), v.where("vec_id % 50 = 0")).toPandas()
-    p = v.toPandas().sort_values("vec_id").reset_index(drop=True)
-    x = np.stack(p.embedding).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    hits = total = 0
-    for q in p.vec_id[p.vec_id % 50 == 0]:
-        mine = got[got.query_id == q].sort_values("rank")
-        s = x @ x[q]
-        s[q] = -2
-        best = set(np.lexsort((np.arange(len(s)), -s))[:5].tolist())
-        hits, total = hits + len(best & set(mine.vec_id)), total + 5
-        assert mine["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(mine.score, s[mine.vec_id], atol=1e-12)
-        assert q not in set(mine.vec_id)
-    assert hits / total >= 0.9
+    i, j, sure = neardup.tile_bounds(neardup.quantised(x), neardup.quantised(y), threshold)
+    near = set(zip(*(k.tolist() for k in np.nonzero(np.einsum("ij,kj->ik", x, y) >= threshold)), strict=True))
+    assert near <= set(zip(i.tolist(), j.tolist(), strict=True)) and set(zip(i[sure].tolist(), j[sure].tolist(), strict=True)) <= near
+
+
+@pytest.mark.parametrize(("pack", "meetings"), [(1, 1), (2, 2), (3, 64)])
+def test_every_two_packs_meet_once(spark, monkeypatch, pack, meetings):
+    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "PACK", pack)
+    monkeypatch.setattr(neardup, "MEETINGS", meetings)
+    rng = np.random.default_rng(2)
+    rows = [(i, (np.ones(8) + rng.standard_normal(8) * 0.28).tolist(), i % 7 // 4) for i in range(60)]  # all pairs of a label around the threshold
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_links([(i, np.float32(v).tolist(), y) for i, v, y in rows]) and len({n for n, _, _ in got.values()}) > 3
+
+
+def test_double_precision_crosses_only_where_in_doubt(spark, monkeypatch):
+    """No plan between the codes' tables and their products carries units."""
+    seen = []
+    real = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df: seen.append(df) or real(df))
+    neardup.near_duplicates(frame(spark, [(i, [1.0, 0.1 * i], 0) for i in range(20)])).count()
+    products = next(df for df in seen if "doubt" in df.columns)
+    plan = products._jdf.queryExecution().optimizedPlan().toString()
+    assert "codes" in plan and "units" not in plan
+
+
+def test_keys_of_other_types_than_long(spark):
+    rows = spark.createDataFrame([(3, [1.0, 0.0], "a"), (4, [1.0, 0.01], "a"), (5, [0.0, 1.0], None)], "vec_id int, embedding array<double>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(rows).collect())
+    assert got == [(3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+
+
+def brute_nearest(rows, queries, k=5):
+    """{query: [(key, score)]}: all candidates by double-precision cosine, ties to the smaller key."""
+    keys = np.array([i for i, _ in rows])
+    x = neardup.unit_rows(np.array([v for _, v in rows], float)) + 0.0
+    out = {}
+    for q in queries:
+        s = np.einsum("ij,ij->i", np.broadcast_to(x[keys == q][0], x.shape), x)
+        out[q] = [(int(keys[i]), s[i]) for i in np.lexsort((keys, -s)) if keys[i] != q][:k]
+    return out
+
+
+def held_against_brute_force(got, rows, queries, k=5):
+    """Recall; scores must be exact and in order, ranks gapless."""
+    best, hits, total = brute_nearest(rows, queries, k), 0, 0
+    every = {q: dict(brute_nearest(rows, [q], len(rows))[q]) for q in queries}
+    for q in queries:
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(best[q]) + 1)) and q not in {r.vec_id for r in mine}
+        assert all(abs(r.score - every[q][r.vec_id]) < 1e-12 for r in mine)
+        assert [(r.vec_id) for r in mine] == [r.vec_id for r in sorted(mine, key=lambda r: (-r.score, r.vec_id))]
+        hits, total = hits + len({r.vec_id for r in mine} & {i for i, _ in best[q]}), total + len(best[q])
+    return hits / total
+
+
+def table(spark, folder):
+    v = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return v, [(r.vec_id, r.embedding) for r in v.collect()]
+
+
+def test_recall_of_the_registered_query_at_its_settings(spark):
+    v, rows = table(spark, "/root/testdata/sf0.1")
+    got = ann.op3_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
+    assert held_against_brute_force(got, rows, [i for i, _ in rows if i % 50 == 0]) >= 0.9
+
+
+@pytest.mark.parametrize(("block", "run", "wide", "queries"), [(64, 2, 100, 4), (128, 1, 10_000, 64)])
+def test_recall_over_many_blocks_runs_and_ranges(spark, sf, monkeypatch, block, run, wide, queries):
+    for name, value in (("BLOCK", block), ("RUN", run), ("RANGE", wide), ("QUERIES", queries)):
+        monkeypatch.setattr(ann, name, value)
+    v, rows = table(spark, sf)
+    asked = v.where("vec_id % 20 = 0")
+    got = ann.search(ann.build_index(v), asked).collect()
+    assert held_against_brute_force(got, rows, [i for i, _ in rows if i % 20 == 0]) >= 0.9
+
+
+def test_little_is_scored_where_vectors_cluster(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((60, 32))
+    rows = [(i, (centres[i % 60] + 0.1 * rng.standard_normal(32)).tolist()) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(ann.build_index(v), v.where("vec_id % 100 = 0")).collect()
+    assert held_against_brute_force(got, rows, range(0, 3000, 100)) >= 0.9
+    assert np.mean([r.scored for r in got]) < 0.2 * len(rows)
+
+
+def test_more_neighbours_than_a_default_index_names(spark):
+    rows = [(i, [1.0, float(i % 7)], 0) for i in range(30)]
+    v = frame(spark, rows)
+    with pytest.raises(ValueError):
+        ann.search(ann.build_index(v), v, k=9)
+    got = ann.search(ann.build_index(v, ids=10), v.where("vec_id in (0, 3)"), k=9).collect()
+    assert held_against_brute_force(got, [(i, x) for i, x, _ in rows], [0, 3], 9) == 1
 
 
 def test_copies_ties_and_few_candidates(spark):
@@ -90,13 +162,27 @@ def test_copies_ties_and_few_candidates(spark):
     assert ann.search(ann.build_index(few), few.where("vec_id = 0")).count() == 2
 
 
-def test_ascent_stops_early_for_near_neighbours():
-    rng = np.random.default_rng(3)
-    x = neardup.unit_rows(np.concatenate([rng.standard_normal((3000, 32)), np.tile(rng.standard_normal((1, 32)), (8, 1)) + 0.02 * rng.standard_normal((8, 32))]))
-    s = ann.hash_strings(x)
-    order = np.argsort(s, axis=1, kind="stable")
-    at, score = ann.ascend(x, np.take_along_axis(s, order, 1), order, x[3000:3001], 5)
-    assert set(at[0]) <= set(range(3000, 3008)) and (np.diff(score[0]) <= 0).all()
+def test_ties_between_vectors_of_different_length(spark):
+    """Sixty parallel vectors, all with cosine one: the smallest ids win."""
+    rng = np.random.default_rng(0)
+    base = rng.integers(-9, 9, 16)
+    rows = [(i, (base * (1 + (i * 37) % 60)).tolist(), 0) for i in range(60)]
+    v = frame(spark, rows).unionByName(frame(spark, [(100 + i, rng.standard_normal(16).tolist(), 0) for i in range(50)]))
+    got = ann.search(ann.build_index(v), v.where("vec_id in (0, 50)")).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4] and {r.score for r in got} == {got[0].score}
+
+
+def test_mirrored_vectors_tie_by_key(spark):
+    rows = [(i, [1.0, (-1.0) ** i * 0.5, 0.0], 0) for i in range(2)] + [(7, [1.0, 0.0, 0.5], 0), (6, [1.0, 0.0, -0.5], 0), (50, [1.0, 0.0, 0.0], 0)]
+    v = frame(spark, rows)
+    got = ann.search(ann.build_index(v), v.where("vec_id = 50")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 6, 7]
+
+
+def test_index_of_repeated_rows_null_keys_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 3, "x"), (1, [1.0, 0.0], 3, "x"), (None, [1.0, 0.0], 3, "x"), (2, [float("nan"), 1.0], 3, "x"), (0, [0.5, 0.5], 3, "x")], "vec_id long, embedding array<double>, rank int, keys string")
+    got = ann.search(ann.build_index(rows), rows).orderBy("query_id").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (1, 1, 0)]
 
 
 @pytest.mark.parametrize("edges", [[], [(3, 1)], [(i, i + 1) for i in range(50)], [(0, i) for i in range(1, 60)], [(5, 4), (4, 3), (9, 8), (8, 9), (3, 5)]])

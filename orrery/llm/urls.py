@@ -7,6 +7,8 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Hexadecimal digits of the digest that rules and expressions are joined on.
 PREFIX_DIGITS = 8
 #: Up to so many rules are broadcast (some 200 bytes each); more are joined by shuffles, salted.
@@ -31,8 +33,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
     subdomains if the URL's path starts with the rule's. Of several the longest (host and path together) wins, then the longer
     host, then ``block``. Without any the verdict is ``default`` and rule is null. Rules with a null part are void.
 
-    Each distinct (host, path) is expanded once, into the suffixes and prefixes of the sizes that occur among the rules; sizes
-    are at most one pair a rule. Repeated rows are judged alike and all returned; an empty table gives an empty result; other
+    Each distinct (host, path) is expanded once, into the suffixes and prefixes of the sizes that occur among the rules: a path
+    length of a rule at a time, by a join on the number of labels. Repeated rows are judged alike and all returned; an empty table gives an empty result; other
     columns of ``pages`` are not looked at, whatever their names.
     """
     spark = pages.sparkSession
@@ -49,14 +51,14 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
         F.size(F.split("host", r"\.", -1)).alias("labels"), F.length("path").alias("chars"), F.length("host").alias("r_host"),
         F.concat("host", "path").alias("rule"), "verdict", _expression("host", "path").alias("r_digest"),
     )
-    sizes = [(r.labels, r.chars) for r in listed.select("labels", "chars").distinct().collect()]
+    sizes = cut(listed.groupBy("labels").agg(F.collect_set("chars").alias("chars")))  # a row for each number of labels, of a known size
     places = rows.select("host", "path").distinct().withColumn("parts", F.split("host", r"\.", -1))
-    sized = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("chars")) for a, b in sizes]) if sizes else F.expr("cast(array() as array<struct<labels:int,chars:int>>)")
-    exploded = places.select("host", "path", "parts", F.explode(sized).alias("s")).where("size(parts) >= s.labels and length(path) >= s.chars")
+    exploded = places.withColumn("labels", F.explode(F.sequence(F.lit(1), F.size("parts")))).join(sizes, "labels")
+    exploded = exploded.withColumn("chars", F.explode("chars")).where("length(path) >= chars")
     exploded = exploded.select(
         "host", "path",
-        F.expr("array_join(slice(parts, size(parts) - s.labels + 1, s.labels), '.')").alias("_suffix"),
-        F.expr("substring(path, 1, s.chars)").alias("_start"),
+        F.expr("array_join(slice(parts, size(parts) - labels + 1, labels), '.')").alias("_suffix"),
+        F.expr("substring(path, 1, chars)").alias("_start"),
     )
     exploded = exploded.select("host", "path", _expression("_suffix", "_start").alias("digest"))
     exploded = exploded.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
@@ -70,7 +72,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
         met = exploded.join(listed, on & (F.col("salt") == F.col("r_salt")))
     met = met.where("digest = r_digest")
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "r_host", "verdict", "rule")).alias("best"))
-    judged = rows.join(best, ["host", "path"], "left")
+    judged = rows.join(cut(best), ["host", "path"], "left")  # written, so that Spark may split a place with a third of all pages
     return judged.select(
         F.col("_key").alias(key), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),

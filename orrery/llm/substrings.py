@@ -46,14 +46,32 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _zip(a: np.ndarray | bytes) -> bytes:
-    return zstandard.compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes(), 1)
+def _zip(a: np.ndarray | bytes, level: int = 1) -> bytes:
+    return zstandard.compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes(), level)
 
 
 def _unzip(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that the high bytes, which differ little, take little."""
+    return _zip(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+
+
+def _unplaned(b: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(_unzip(b, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
+def _steps(a: np.ndarray) -> bytes:
+    """Sorted numbers, by their differences."""
+    return _planes(np.diff(a, prepend=np.uint64(0)))
+
+
+def _unstepped(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(b, "<u8"), dtype=np.uint64)
+
+
 def _drop(spark: SparkSession, name: str) -> None:
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         spark.sql(f"drop table if exists {name}")
@@ -121,7 +139,7 @@ class Chunk:
         return np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + self.bounds[:-1][doc], doc
 
     def anchors(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each window, the smallest hash of its PART-word parts, with the lowest bit cleared."""
+        """Of each window, the smallest hash of its PART-word parts: the upper 48 bits, the last of these cleared."""
         if not len(first):
             return np.zeros(0, np.uint64)
         n = len(hashes) - PART + 1
@@ -132,7 +150,7 @@ class Chunk:
         low = g[: len(g) - (WINDOW - PART)].copy()
         for k in range(1, WINDOW - PART + 1):
             np.minimum(low, g[k : k + len(low)], out=low)
-        return low[first] & ~np.uint64(1)
+        return low[first] >> np.uint64(16) & ~np.uint64(1)
 
 
 def _anchors(buckets: int):
@@ -151,22 +169,17 @@ def _anchors(buckets: int):
                 at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                 several = np.minimum.reduceat(key, at) != np.maximum.reduceat(key, at)
                 a = a[at] | several.astype(np.uint64)
-                bucket = ((a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                bucket = ((a >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(a)]])
-                yield pd.DataFrame({"bucket": bucket[cuts[:-1]], "chunk": row.chunk, "anchors": [a[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]})
+                yield pd.DataFrame({"bucket": bucket[cuts[:-1]], "chunk": row.chunk, "anchors": [_steps(a[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     return out
 
 
-def _joined(blobs: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of blobs, and the row of each."""
-    parts = [np.frombuffer(b, kind) for b in blobs]
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-
-
 def _shared(p: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's anchors, those of two or more documents, back to each chunk that has them."""
-    a, row = _joined(p["anchors"], "<u8")
+    parts = [_unstepped(b) for b in p["anchors"]]
+    a, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     value = a & ~np.uint64(1)
     by = np.argsort(value, kind="stable")
     at = np.flatnonzero(np.concatenate([[True], value[by][1:] != value[by][:-1]]))
@@ -177,8 +190,8 @@ def _shared(p: pd.DataFrame) -> pd.DataFrame:
     kept[by] = np.repeat(good, size)
     value, row = value[kept], row[kept]
     cuts = np.searchsorted(row, np.arange(len(p) + 1))
-    out = [(c, value[x:y].tobytes()) for c, x, y in zip(p["chunk"], cuts[:-1], cuts[1:], strict=True)]
-    return pd.DataFrame([x for x in out if x[1]], columns=["chunk", "anchors"])
+    out = [(c, _steps(value[x:y])) for c, x, y in zip(p["chunk"], cuts[:-1], cuts[1:], strict=True) if y > x]
+    return pd.DataFrame(out, columns=["chunk", "anchors"])
 
 
 def _runs(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +208,7 @@ def _runs(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     a = c.anchors(c.hashes(digests), first)
     if not shared or not len(a):
         return none
-    wanted = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared]))
+    wanted = np.sort(np.concatenate([_unstepped(b) for b in shared]))
     new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     place = np.minimum(np.searchsorted(wanted, a[new]), len(wanted) - 1)
     hit = np.repeat(wanted[place] == a[new], np.diff(np.concatenate([new, [len(a)]])))
@@ -214,8 +227,8 @@ def _runs(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 def _suffixes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows of a chunk's runs: (codes of each different window, its check, its smallest key, window of each place, run table).
 
-    A word's code are 32 bits of its digest; a window's check is made of the other 64, so windows that differ agree in both with
-    probability 2 ** -96 at most."""
+    A word's code are 32 bits of its digest; a window's check are 48 bits made of the digests' other halves, so windows that differ
+    agree in both with probability 2 ** -80 at most."""
     words, runs = _unzip(row.words, "<u4"), _unzip(row.runs, "<i8").reshape(4, -1)
     digests = np.frombuffer(row.digests, np.uint64).reshape(2, -1)
     n = runs[2]
@@ -225,11 +238,15 @@ def _suffixes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.n
     check = np.zeros(len(start), np.uint64)
     for k in range(WINDOW):
         check = check * _MUL + other[start + k]
-    check = _mixed(check)
+    check = _mixed(check) >> np.uint64(16)
     all_ = np.lib.stride_tricks.sliding_window_view((digests[0] >> np.uint64(32)).astype(np.uint32)[words], WINDOW)[start]
     _, first, which = np.unique(check, return_index=True, return_inverse=True)
     if (all_[first][which] != all_).any():  # two windows share a check: go by all there is
         _, first, which = np.unique(np.column_stack([all_, check]), axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # numbered as they come, so that neighbours, much alike, are packed together
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    first, which = first[order], rank[which]
     low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, which, runs[3][run])
     return all_[first], check[first], low, which, runs
@@ -265,12 +282,12 @@ def _to_groups(slots: int, heavy):
                 suffixes, check, low, _, _ = _suffixes(row)
                 at = _slots(suffixes, slots)
                 group = at[(~full[at]).argmax(axis=0), np.arange(len(suffixes))]
-                by = np.lexsort((suffixes[:, 1], suffixes[:, 0], group))
+                by = np.argsort(group, kind="stable")
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(group[by])) + 1, [len(by)]])
                 parts = [by[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pd.DataFrame({
                     "group": group[by][cuts[:-1]], "chunk": row.chunk,
-                    "suffixes": [_zip(suffixes[i].T) for i in parts], "check": [check[i].tobytes() for i in parts], "low": [_zip(low[i]) for i in parts], "number": [_zip(i.astype(np.int32)) for i in parts],
+                    "suffixes": [_zip(suffixes[i], 3) for i in parts], "check": [_planes(check[i]) for i in parts], "low": [_planes(low[i]) for i in parts], "number": [_planes(i.astype(np.int32)) for i in parts],
                 })
 
     return out
@@ -283,12 +300,11 @@ def common_prefixes(s: np.ndarray) -> np.ndarray:
 
 def _deep_nodes(p: pd.DataFrame) -> pd.DataFrame:
     """The subtree of one prefix group; for each chunk, the windows below a deep node and the node's smallest key, if that is another's."""
-    parts = [_unzip(b, "<u4").reshape(WINDOW, -1).T for b in p["suffixes"]]
+    parts = [_unzip(b, "<u4").reshape(-1, WINDOW) for b in p["suffixes"]]
     s = np.concatenate(parts)
     row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    low, number = (np.concatenate([_unzip(b, t) for b in p[c]]) for c, t in (("low", "<i8"), ("number", "<i4")))
+    check, low, number = (np.concatenate([_unplaned(b, t) for b in p[c]]) for c, t in (("check", "<u8"), ("low", "<i8"), ("number", "<i4")))
     pairs = [s[:, k].astype(np.uint64) << np.uint64(32) | (s[:, k + 1] if k + 1 < WINDOW else np.uint64(0)) for k in range(0, WINDOW, 2)]
-    check = np.concatenate([np.frombuffer(b, np.uint64) for b in p["check"]])
     by = np.lexsort([check, *pairs[::-1]])
     node = np.cumsum((common_prefixes(s[by]) < WINDOW) | (np.diff(check[by], prepend=check[by[:1]]) != 0)) - 1
     least = np.full(node[-1] + 1 if len(node) else 0, np.iinfo(np.int64).max)
@@ -357,7 +373,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     is what is left, joined by single spaces; ``removed`` are the word ranges that went. Whole documents with the words of a smaller
     one go by a comparison of 128-bit digests, without entering the trees. Words are told apart by 128-bit digests: 64 bits in the
     filter, which only lets windows through, 32 in the trees, and the other 64 where a deep node is told from one that looks alike.
-    Two windows are taken for equal by mistake with probability 2 ** -96 a pair at most.
+    Two windows are taken for equal by mistake with probability 2 ** -80 a pair at most.
 
     Null and empty texts have no words. Rows with a null key neither lose words nor make others lose any. Rows with the same key
     are one document in this: neither makes the other lose words. An empty table gives an empty result. Other columns are not
@@ -389,7 +405,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     runs = cut(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(_runs, "chunk long, n long, words binary, digests binary, runs binary"))
 
     left = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    slots = min(SLOTS, 1 << max(4, int(4 * left // GROUP).bit_length()))  # groups a quarter full on average
+    slots = min(SLOTS, 1 << max(4, int(2 * left // GROUP).bit_length()))  # groups less than half full on average
     counted = runs.mapInPandas(_prefix_counts(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     # At most left / GROUP slots of each prefix length are heavy; a bit for each slot is broadcast, three megabytes at the most.
     heavy = np.zeros(slots * len(DEPTHS), bool)

@@ -47,6 +47,34 @@ def category_text(name: Column | str) -> Column:
     return clean_space(F.regexp_replace(F.regexp_replace(turned, "/", " or "), r"[_\-()]", " "))
 
 
+# How categories of some datasets are asked for, whatever the rules say.
+SPECIAL_QUERIES = {
+    "bdd": {
+        "motor": "motorcycle", "rider": "bike rider", "gas stations scene": "gas station", "trailer": "trailer hitched to a car", "highway scene": "highway",
+        "parking lot scene": "parking lot", "city street scene": "city street", "residential scene": "residential street", "tunnel scene": "tunnel",
+        "overcast weather": "overcast sky", "partly cloudy weather": "partly cloudy sky", "clear weather": "clear skies", "foggy weather": "foggy weather", "wheelchair": "wheelchair",
+    },
+    "coco": {"mouse": "computer mouse"},
+}
+
+
+def dataset_query(dataset: Column | str, category: Column | str) -> Column:
+    """How a category is asked for in its dataset: a fixed query where there is one; else by the dataset's rule.
+
+    objectnet: one ``noun (adjective)`` turned round, ``/`` read as ``or``; lvis and lvispatch: ``_`` and brackets as spaces; dota: ``-`` as
+    spaces; any other: the name as it is.
+    """
+    of, name = _col(dataset), _col(category)
+    parts = F.split(name, r"\(", -1)
+    turned = F.when(F.size(parts) == 2, F.concat_ws(" ", F.regexp_replace(parts[1], r"\)", " "), parts[0])).otherwise(name)
+    rule = (
+        F.when(of == "objectnet", clean_space(F.regexp_replace(turned, "/", " or "))).when(of.isin("lvis", "lvispatch"), clean_space(F.regexp_replace(name, "[_()]", " ")))
+        .when(of == "dota", F.regexp_replace(name, "-", " ")).otherwise(name)
+    )
+    fixed = F.create_map(*[F.lit(v) for d, by in SPECIAL_QUERIES.items() for c, q in by.items() for v in (f"{d}\0{c}", q)])
+    return F.coalesce(fixed[F.concat(of, F.lit("\0"), name)], rule)
+
+
 def query_text(name: Column | str, template: str = "a {}") -> Column:
     before, after = template.split("{}")
     return F.concat(F.lit(before), category_text(name), F.lit(after))

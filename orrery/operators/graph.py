@@ -2,50 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rbf_kernel
 from ..sources.shared import cut
-
-#: Vectors a side of a tile in the exact graph.
-TILE = 2048
-
+from .products import best_products
 
 def exact_knn(vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The exact graph: k neighbours of each vector by cosine distance 1 - dot (vectors of length one), and the vector itself, rank 0.
 
-    Vectors are packed into tiles; each pair of tiles is one matrix product that returns k candidates a vector, so tasks hold two
-    tiles and rows grow with (vectors x tiles x k), not with pairs of vectors. Ties go to the smaller id.
+    Each two tiles of vectors are one matrix product that returns k candidates a vector (``best_products``). Ties go to the smaller id.
     """
-    n = max(1, -(-vectors.count() // TILE))
-
-    def packed(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(key)
-        return pd.DataFrame({"tile": p["tile"].iloc[:1], "ids": [p[key].to_numpy(np.int64).tobytes()], "flat": [np.stack(p["v"].to_list()).astype(np.float64).tobytes()]})
-
-    rows = vectors.select(key, F.col(column).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("tile"))
-    tiles = cut(rows.groupBy("tile").applyInPandas(packed, "tile int, ids binary, flat binary"))
-    left = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = tiles.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for r in p.itertuples(index=False):
-                a, b = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids2, np.int64)
-                distance = 1 - np.frombuffer(r.flat).reshape(len(a), -1) @ np.frombuffer(r.flat2).reshape(len(b), -1).T
-                distance = np.maximum(distance, 0)
-                distance[a[:, None] == b[None, :]] = np.inf
-                order = np.argsort(distance, axis=1, kind="stable")[:, :k]  # b is sorted: ties to the smaller id
-                d = np.take_along_axis(distance, order, 1)
-                there = np.isfinite(d)
-                yield pd.DataFrame({"src_vertex": np.repeat(a, there.sum(axis=1)), "dst_vertex": b[order][there], "distance": d[there]})
-
-    found = left.join(right, "other").select("ids", "flat", "ids2", "flat2").mapInPandas(nearest, "src_vertex long, dst_vertex long, distance double")
+    near = best_products(vectors, k, key=key, column=column, measure=lambda s: -np.maximum(1 - s, 0))
+    found = near.select(F.col("query_id").alias("src_vertex"), F.col("vec_id").alias("dst_vertex"), (-F.col("score")).alias("distance"))
     return ranked_edges(found, vectors.select(F.col(key).alias("src_vertex"))).where(F.col("dst_rank") <= k)
 
 
@@ -153,6 +126,43 @@ def neighbour_scores(edges: DataFrame, prior: DataFrame, labels: DataFrame) -> D
     return out.select("vertex", F.coalesce(F.col("y").cast("double"), score).alias("score"))
 
 
+def promises(edges: DataFrame, scores: DataFrame, known: DataFrame, horizon: int, key: str = "vec_id") -> DataFrame:
+    """(key, promise) of every open vertex of ``scores`` (key, score): the positives expected of ``horizon`` look-ups that begin with it.
+
+    A look-up moves the vertices that have the vertex among their neighbours (``neighbour_scores``; ``known`` are the labelled keys). With
+    p its score and b the sum of the horizon - 1 best others then, the promise is p (1 + b after a positive) + (1 - p) b after a
+    negative. Of what moves, horizon - 1 rows a vertex matter either way; of what stays, the best of all, a short list that is made
+    longer until enough of it stays for every vertex. So no vertex is left out, and no hub's neighbours gather in one row.
+    """
+    others = horizon - 1
+    open_ = scores.select(F.col(key), F.col("score").cast("double").alias("score"))
+    proper = edges.where("src_vertex <> dst_vertex").select("src_vertex", "dst_vertex")
+    told = proper.join(known.select(F.col(key).alias("dst_vertex")), "dst_vertex").groupBy(F.col("src_vertex").alias("_u")).agg(F.count(F.lit(1)).alias("_n"))
+    near = proper.join(open_.select(F.col(key).alias("dst_vertex")), "dst_vertex").join(open_.select(F.col(key).alias("src_vertex"), F.col("score").alias("_p")), "src_vertex")
+    near = near.select(F.col("dst_vertex").alias(key), F.col("src_vertex").alias("_u"), "_p").join(told, "_u", "left")
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    near = cut(near.select(key, "_u", ((F.col("_p") * (1 + n) + 1) / (2 + n)).alias("up"), (F.col("_p") * (1 + n) / (2 + n)).alias("down")))
+    size, every = 4 * horizon, open_.count()
+    while True:
+        best = [(r[key], r["score"]) for r in open_.orderBy(F.desc("score"), key).limit(size).collect()]
+        rank = lambda c: F.row_number().over(Window.partitionBy(key).orderBy(F.desc(c), "_u"))
+        moved = near.withColumn("_up", rank("up") <= others).withColumn("_down", rank("down") <= others)
+        moved = moved.where(F.col("_up") | F.col("_down") | F.col("_u").isin([v for v, _ in best]))
+        moved = moved.groupBy(key).agg(F.collect_list("_u").alias("us"), F.collect_list(F.when(F.col("_up"), F.col("up"))).alias("ups"), F.collect_list(F.when(F.col("_down"), F.col("down"))).alias("downs"))
+        stay = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).alias("s")) for v, s in best]) if best else F.expr("cast(array() as array<struct<v:bigint,s:double>>)")
+        rows = open_.join(moved, key, "left")
+        rows = rows.withColumn("_rest", F.filter(stay, lambda b: (b["v"] != F.col(key)) & ~F.coalesce(F.array_contains("us", b["v"]), F.lit(False))))
+        if size >= every or not rows.where(F.size("_rest") < others).limit(1).count():
+            break
+        size *= 4
+
+    def after(moved: str) -> Column:
+        values = F.concat(F.transform("_rest", lambda b: b["s"]), F.coalesce(F.col(moved), F.expr("cast(array() as array<double>)")))
+        return F.aggregate(F.slice(F.sort_array(values, asc=False), 1, max(1, others)), F.lit(0.0), lambda t, x: t + x) if others else F.lit(0.0)
+
+    return rows.select(key, (F.col("score") * (1 + after("ups")) + (1 - F.col("score")) * after("downs")).alias("promise"))
+
+
 def min_max(rows: DataFrame, column: str, epsilon: float = 0.0) -> DataFrame:
     """``column`` scaled to [epsilon, 1 - epsilon]; 0.5 if all are equal. Two numbers are aggregated and joined back."""
     ends = rows.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import SIDES
 from ..functions.vectors import dot, vector
+from .products import best_products
 from .spatial import box_join
 
 
@@ -54,12 +55,13 @@ def distinct_positions(ranked: DataFrame, k: int, frame: str = "dbidx", position
 
 
 def many_queries(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding") -> DataFrame:
-    """(query_key, rank, key, score): the k best vectors of each query, other than itself. ``queries`` is a small table (it is
-    broadcast below the session's threshold) of (query_key, vector); ranks are cut before the shuffle (WindowGroupLimit)."""
-    q = queries.select(F.col(query_key), F.col("vector").alias("_q"))
-    pairs = vectors.select(key, column).join(q, F.col(key) != F.col(query_key)).select(query_key, key, dot(column, "_q").alias("score"))
+    """(query_key, rank, key, score): the k best vectors of each query, other than itself, ties to the smaller key. ``queries`` are any
+    number of (query_key, vector): tiles of both meet in matrix products (``best_products``)."""
+    q = queries.select(F.col(query_key).alias(key), F.col("vector").alias(column))
+    found = best_products(vectors.select(key, column), k, q, key, column)
+    found = found.select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def min_zoom(tiles: DataFrame, level: int, frame: str = "dbidx") -> DataFrame:
@@ -106,6 +108,11 @@ def multiscale_query(
     near = plain.join(chosen.select(frame), frame, "left_semi")
     if contrast is not None:
         near = near.withColumn("score", F.col("score") - dot(column, vector(contrast)))
+    return reranked(near, k, method, larger, key, frame)
+
+
+def reranked(near: DataFrame, k: int, method: str = "plain_score", larger: str = "all", key: str = "vec_id", frame: str = "dbidx") -> DataFrame:
+    """(frame, key, score): the k best frames of scored tiles, rescored by ``method``, each with its best tile."""
     new = rescored(near, method, larger, key, frame)
     level = F.round("score", 9)  # means are summed in any order: scores that agree to nine digits are ties
     order = Window.partitionBy(frame).orderBy(level.desc(), key)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +59,19 @@ def better_same_worse(sbs: DataFrame, metric: str, tolerance: float, relative: b
 
 
 def pair_classes(pairs: DataFrame, a: str, b: str, epsilon: float) -> DataFrame:
-    """Adds ``class``, one of seven: how two methods' values of one query compare, with infinite and undefined values apart."""
+    """Adds ``class``, one of seven, and ``first_only_infinite`` and ``second_only_infinite``: how two methods' values of a query compare.
+
+    ``both_undefined``, ``first_undefined`` and ``second_undefined`` where a value is null or NaN; ``both_infinite``; else values are
+    comparable: ``close`` within ``epsilon``, else ``first_larger`` or ``first_smaller``, a single infinity being larger than any number.
+    """
     x, y = F.col(a), F.col(b)
-    inf, undefined = F.expr("double('infinity')"), lambda c: c.isNull() | F.isnan(c)
+    none, endless = (lambda c: c.isNull() | F.isnan(c)), (lambda c: F.coalesce(c == F.expr("double('infinity')"), F.lit(False)))
     name = (
-        F.when(undefined(x) | undefined(y), "undefined").when((x == inf) & (y == inf), "both_infinite").when(x == inf, "first_infinite").when(y == inf, "second_infinite")
-        .when(x - y > epsilon, "first_larger").when(y - x > epsilon, "second_larger").otherwise("equal")
+        F.when(none(x) & none(y), "both_undefined").when(none(x), "first_undefined").when(none(y), "second_undefined").when(endless(x) & endless(y), "both_infinite")
+        .when(F.abs(x - y) <= epsilon, "close").when(x > y, "first_larger").otherwise("first_smaller")
     )
-    return pairs.withColumn("class", name)
+    flags = {"first_only_infinite": endless(x) & ~endless(y), "second_only_infinite": endless(y) & ~endless(x)}
+    return pairs.withColumn("class", name).withColumns(flags)
 
 
 def summary_breakdown(sbs: DataFrame, bounds: tuple[float, float] = (0.1, 0.3), by: str = "dataset") -> DataFrame:
@@ -133,29 +142,51 @@ def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def bootstrap(rows: DataFrame, value: str, group: list[str], statistic: str = "median", samples: int = 1000, confidence: float = 0.95, tests: int = 1, seed: int = 0) -> DataFrame:
-    """(group, low, high, value): a percentile interval of a statistic under seeded resampling; ``tests`` for Bonferroni.
+def bootstrap(
+    rows: DataFrame, value: str, group: list[str], statistic: str = "median", samples: int = 1000, confidence: float = 0.95, tests: int = 1, seed: int = 0, method: str = "percentile",
+) -> DataFrame:
+    """(group, low, high, value): an interval of a statistic under seeded resampling; ``tests`` for Bonferroni.
 
-    Resamples are drawn within a task from the values of one group, so a group is a report's cell and not raw data.
+    ``percentile`` takes the quantiles of the resamples' statistics; ``bca`` shifts them for bias (where the value itself stands among
+    the resamples, ties half) and for skewness (of the statistic with each value left out). Resamples are drawn within a task from
+    the values of one group, some at a time, so a group is a report's cell and not raw data.
     """
-    import numpy as np
-    import pandas as pd
-
     alpha = (1 - confidence) / tests
-    fun = {"median": np.median, "mean": np.mean}[statistic]
 
     def interval(p: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(p[value].dropna().to_numpy(float))
         out = p[group].iloc[:1].copy()
-        if not len(v):
-            return out.assign(low=np.nan, high=np.nan, value=np.nan)
-        draws = fun(np.random.default_rng(seed).choice(v, (samples, len(v))), axis=1)
-        return out.assign(low=np.quantile(draws, alpha / 2), high=np.quantile(draws, 1 - alpha / 2), value=fun(v))
+        low, high, v = resampled(p[value].dropna().to_numpy(float), statistic, samples, alpha, seed, method)
+        return out.assign(low=low, high=high, value=v)
 
     keys = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
     return rows.groupBy(*group).applyInPandas(interval, f"{keys}, low double, high double, value double")
 
 
+def resampled(values: np.ndarray, statistic: str, samples: int, alpha: float, seed: int, method: str) -> tuple[float, float, float]:
+    """(low, high, value) of ``bootstrap`` for one group; NaN of nothing."""
+    fun = {"median": np.median, "mean": np.mean}[statistic]
+    v = np.sort(values)
+    if not len(v):
+        return np.nan, np.nan, np.nan
+    rng, step = np.random.default_rng(seed), max(1, 4_000_000 // len(v))
+    draws = np.concatenate([fun(rng.choice(v, (min(step, samples - at), len(v))), axis=1) for at in range(0, samples, step)])
+    here, ends = float(fun(v)), np.array([alpha / 2, 1 - alpha / 2])
+    if method == "bca":
+        if len(v) < 2 or draws.min() == draws.max():
+            return np.nan, np.nan, here
+        normal = NormalDist()
+        bias = normal.inv_cdf(min(max(((draws < here).mean() + (draws <= here).mean()) / 2, 1e-12), 1 - 1e-12))
+        without = (v.sum() - v) / (len(v) - 1) if statistic == "mean" else np.array([np.median(np.delete(v, i)) for i in range(len(v))])
+        off = without.mean() - without
+        skew = float((off**3).sum() / (6 * (off @ off) ** 1.5)) if off.any() else 0.0
+        z = np.array([bias + normal.inv_cdf(float(q)) for q in ends])
+        ends = np.array([normal.cdf(float(bias + x / (1 - skew * x))) for x in z])
+    elif method != "percentile":
+        raise ValueError(f"unknown method {method!r}")
+    low, high = np.quantile(draws, ends)
+    return float(low), float(high), here
+
+
 def with_parameters(rows: DataFrame, parameters: DataFrame, key: str = "param_hash") -> DataFrame:
     """Rows with the parameters that their hash stands for; rows of unknown hashes stay."""
     return rows.join(parameters, key, "left")
@@ -196,3 +227,27 @@ def short_count(value: float) -> str:
             return f"{value:.0f}" if not unit else f"{value:.1f}{unit}"
         value /= 1000
     return str(value)
+
+
+def with_group_least(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """Adds ``least``, the smallest value of the row's facet."""
+    least = rows.groupBy(*group).agg(F.min(finite(value)).alias("least"))
+    return rows.join(least, group, "left")
+
+
+def centres(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """(group, median, mean, n) of the values that are numbers."""
+    v = finite(value)
+    return rows.groupBy(*group).agg(F.median(v).alias("median"), F.avg(v).alias("mean"), F.count(v).alias("n"))
+
+
+def ratios(stats: DataFrame, metric: str, baseline, by: str = "dataset", variant: str = "variant") -> DataFrame:
+    """(by, variant, mean, ratio): means of each dataset, and as multiples of the baseline's mean there; null where that is none or zero."""
+    means = stats.groupBy(by, variant).agg(F.avg(finite(metric)).alias("mean"))
+    base = means.where(F.col(variant) == baseline).select(by, F.col("mean").alias("_base"))
+    return means.join(base, by).select(by, variant, "mean", (F.col("mean") / F.nullif("_base", F.lit(0.0))).alias("ratio"))
+
+
+def with_sizes(rows: DataFrame, members: DataFrame, by: str) -> DataFrame:
+    """Adds ``size``, how many ``members`` the row's dataset has."""
+    return rows.join(members.groupBy(by).agg(F.count(F.lit(1)).alias("size")), by)

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rbf_kernel, sigmoid
-from ..operators.graph import neighbour_scores, propagated, weights
-from ..operators.search import multiscale_query, random_batch, scored, top_frames, top_k, without
+from ..operators.graph import neighbour_scores, promises, propagated, weights
+from ..operators.search import multiscale_query, random_batch, reranked, scored, top_frames, without
 from ..sources.shared import cut
 from . import feedback
 
@@ -28,7 +28,8 @@ class Session:
     State is small: what was returned and what was marked. ``method`` is one of METHODS; those of GRAPH_METHODS need ``graph``, edges
     (src_vertex, dst_vertex, distance, dst_rank) over vec_id. ``knn_prop`` ranks by propagated labels, ``lknn`` by labelled
     neighbours, ``active`` takes the frame of the vertex that promises most within ``horizon`` steps, and ``pseudo`` fits a query to
-    propagated labels of a sample.
+    propagated labels of a sample. ``multi_neg`` fits one vector to the target and one to what was marked as confused with it; with
+    option ``discount`` scores for the latter are taken off.
     """
 
     tiles: DataFrame
@@ -41,11 +42,13 @@ class Session:
     options: dict[str, Any] = field(default_factory=dict)
     returned: list[int] = field(default_factory=list)
     accepted: dict[int, list[tuple[float, float, float, float]]] = field(default_factory=dict)
+    confused: dict[int, list[tuple[float, float, float, float]]] = field(default_factory=dict)
     log: list[dict[str, Any]] = field(default_factory=list)
     _current: list[float] = field(default_factory=list)
+    _contrast: list[float] | None = None
 
     GRAPH_METHODS = ("knn_prop", "lknn", "active", "pseudo")
-    METHODS = ("plain", "random", "rocchio", "logistic", "rank", "multi", *GRAPH_METHODS)
+    METHODS = ("plain", "random", "rocchio", "logistic", "rank", "multi", "multi_neg", *GRAPH_METHODS)
 
     def __post_init__(self) -> None:
         if self.method not in self.METHODS:
@@ -69,21 +72,23 @@ class Session:
         elif self.method in ("knn_prop", "lknn", "active") and self.accepted and self._may_refine():
             rows = self._by_graph(seen).collect()
         else:
-            rows = multiscale_query(self.tiles, self._current, self.batch, exclude=seen, method=self.scoring).collect()
+            rows = multiscale_query(self.tiles, self._current, self.batch, self.options.get("shortlist"), seen, self._contrast, self.scoring).collect()
         found = [r.dbidx for r in rows]
         self.returned += found
         self._note("next")
         return found
 
-    def give(self, frame: int, boxes: Sequence[tuple[float, float, float, float]]) -> None:
-        """Marks what the user accepts in a frame; no boxes: seen and rejected."""
+    def give(self, frame: int, boxes: Sequence[tuple[float, float, float, float]], confused: Sequence[tuple[float, float, float, float]] = ()) -> None:
+        """Marks what the user accepts in a frame, and what could be taken for it; no boxes: seen and rejected."""
         self.accepted[frame] = [tuple(map(float, b)) for b in boxes]
+        self.confused[frame] = [tuple(map(float, b)) for b in confused]
         self._note("update")
 
-    def _marked(self) -> list:
-        """The vectors of frames with feedback, each with y: 1 if an accepted box overlaps it."""
+    def _marked(self, boxes: dict[int, list[tuple[float, float, float, float]]] | None = None) -> list:
+        """The vectors of frames with feedback, each with y: 1 if a box overlaps it, an accepted one unless ``boxes`` are given."""
+        boxes = self.accepted if boxes is None else boxes
         rows = self.tiles.join(self._ids(list(self.accepted)), "dbidx", "left_semi").select("vec_id", "dbidx", "x1", "y1", "x2", "y2", "embedding").orderBy("vec_id").collect()
-        hit = lambda r: any(r.x1 < b[2] and b[0] < r.x2 and r.y1 < b[3] and b[1] < r.y2 for b in self.accepted[r.dbidx])
+        hit = lambda r: any(r.x1 < b[2] and b[0] < r.x2 and r.y1 < b[3] and b[1] < r.y2 for b in boxes.get(r.dbidx, ()))
         return [(r, int(hit(r))) for r in rows]
 
     def labelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,42 +107,27 @@ class Session:
         labels = self.tiles.sparkSession.createDataFrame([(r.vec_id, y) for r, y in self._marked()], "vertex long, y int")
         prior = scored(self.tiles, self._current).select(F.col("vec_id").alias("vertex"), sigmoid("score", self.options.get("slope", 10.0), self.options.get("shift", -0.3)).alias("f"))
         if self.method in ("knn_prop", "pseudo"):
+            if all(y for _, y in self._marked()):
+                return prior.withColumnRenamed("f", "score")  # labels spread once there is a negative one
             w = weights(self.graph, lambda d: rbf_kernel(d, self.options.get("width", 0.5)))
             return propagated(cut(w), prior, labels, self.options.get("prior_weight", 1.0), self.options.get("steps", 5)).withColumnRenamed("f", "score")
         return neighbour_scores(self.graph, prior.withColumn("f", F.lit(float(self.options["gamma"]))) if "gamma" in self.options else prior, labels)
 
     def _by_graph(self, seen: DataFrame) -> DataFrame:
-        scores = self.tiles.select("vec_id", "dbidx").join(self._vertex_scores().withColumnRenamed("vertex", "vec_id"), "vec_id")
-        if self.method != "active":
+        scores = self.tiles.join(self._vertex_scores().withColumnRenamed("vertex", "vec_id"), "vec_id")
+        if self.method == "active":
+            return self._promising(without(scores.select("vec_id", "dbidx", "score"), seen, "dbidx"))
+        if self.method == "lknn":
             return top_frames(scores, self.batch, exclude=seen).select("dbidx")
-        return self._promising(without(scores, seen, "dbidx"))
+        scores = cut(scores.drop("embedding"))
+        chosen = top_frames(without(scores, seen, "dbidx"), self.options.get("shortlist", 5 * self.batch))
+        return reranked(scores.join(chosen.select("dbidx"), "dbidx", "left_semi"), self.batch, self.scoring).select("dbidx")
 
     def _promising(self, scores: DataFrame) -> DataFrame:
-        """The frames of the vertices with the largest p (1 + best after a positive) + (1 - p) best after a negative, of the most probable.
-
-        A label moves only vertices that have the labelled one among their neighbours, so the best sums come from the candidates'
-        reverse neighbours and as many of the others as can take part; only those reach the driver.
-        """
-        horizon, most = self.options.get("horizon", 5), self.options.get("candidates", 20)
-        scores = cut(scores)
-        chosen = [r.vec_id for r in top_k(scores, most, "vec_id").select("vec_id").collect()]
-        near = self.graph.where(F.col("dst_vertex").isin(chosen) & (F.col("src_vertex") != F.col("dst_vertex")))
-        moved = near.join(scores.select(F.col("vec_id").alias("src_vertex"), "score"), "src_vertex").select("dst_vertex", "src_vertex", "score").collect()
-        known = [r.vec_id for r in self.tiles.join(self._ids(list(self.accepted)), "dbidx", "left_semi").select("vec_id").collect()]
-        told = self.graph.where(F.col("dst_vertex").isin(known)).groupBy("src_vertex").agg(F.count(F.lit(1)).alias("n"))
-        n = {r.src_vertex: r.n for r in told.where(F.col("src_vertex").isin([m.src_vertex for m in moved])).collect()}
-        by = {v: [m for m in moved if m.dst_vertex == v] for v in chosen}
-        reach = horizon + max([1, *map(len, by.values())])
-        base = {r.vec_id: (r.score, r.dbidx) for r in top_k(scores, reach, "vec_id").collect()}
-
-        def best(v: int, y: int) -> float:
-            new = {m.src_vertex: (m.score * (1 + n.get(m.src_vertex, 0)) + y) / (2 + n.get(m.src_vertex, 0)) for m in by[v]}
-            rest = [s for u, (s, _) in base.items() if u != v and u not in new] + [s for u, s in new.items() if u != v]
-            return sum(sorted(rest, reverse=True)[: horizon - 1])
-
-        value = {v: base[v][0] * (1 + best(v, 1)) + (1 - base[v][0]) * best(v, 0) for v in chosen if v in base}
-        frames = list(dict.fromkeys(base[v][1] for v in sorted(value, key=lambda v: (-value[v], v))))
-        return self._ids(frames[: self.batch])
+        """The frames of the vertices with the largest p (1 + best after a positive) + (1 - p) best after a negative, of all."""
+        known = self.tiles.join(self._ids(list(self.accepted)), "dbidx", "left_semi").select("vec_id")
+        value = promises(self.graph, cut(scores), known, self.options.get("horizon", 5))
+        return top_frames(value.join(scores.select("vec_id", "dbidx"), "vec_id").withColumnRenamed("promise", "score"), self.batch).select("dbidx")
 
     def refine(self) -> None:
         """Uses the feedback so far, once the start policy allows it."""
@@ -159,14 +149,20 @@ class Session:
             rows = sample.join(scores, "vec_id").select("embedding", "score").collect()
             soft, told = np.array([r.embedding for r in rows], float), self.options.get("label_weight", 10.0)
             new = feedback.soft_refine(np.concatenate([soft, x]), np.concatenate([[r.score for r in rows], y]), np.concatenate([np.ones(len(rows)), np.full(len(y), told)]), q, self.options.get("penalty", 1.0))
+        elif self.method == "multi_neg":
+            other = np.array([y for _, y in self._marked(self.confused)])
+            new, against = feedback.two_way_refine(x, y, other, per, q, **{k: v for k, v in self.options.items() if k in ("norm_weight", "query_weight")})
+            self._contrast = against.tolist() if self.options.get("discount") else None
         else:
-            new = feedback.multi_refine(x, y, per, q, self.options.get("spread"))
+            known = ("label_weight", "data_weight", "norm_weight", "query_weight", "loss", "positive_weight", "margin")
+            new = feedback.multi_refine(x, y, per, q, self.options.get("spread"), **{k: v for k, v in self.options.items() if k in known})
         self._current = new.tolist()
         self._note("refine")
 
 
-def simulated(session: Session, truth: DataFrame, category: Any, max_results: int = 10, n_batches: int = 60, drop: float = 0.0, seed: int = 0) -> dict[str, Any]:
-    """A user who accepts all boxes (dbidx, category, x1..y2) of a category, some dropped at random: the run's summary row.
+def simulated(session: Session, truth: DataFrame, category: Any, max_results: int = 10, n_batches: int = 60, drop: float = 0.0, seed: int = 0, confused: Any = None) -> dict[str, Any]:
+    """A user who accepts all boxes (dbidx, category, x1..y2) of a category, some dropped at random, and says where boxes of the category
+    ``confused`` are: the run's summary row.
 
     Stops at ``max_results`` found, ``n_batches`` shown or nothing left. A frame never comes twice.
     """
@@ -184,8 +180,11 @@ def simulated(session: Session, truth: DataFrame, category: Any, max_results: in
         boxes: dict[int, list] = {f: [] for f in frames}
         for r in mine.where(F.col("dbidx").isin(frames)).collect():
             boxes[r.dbidx].append((r.x1, r.y1, r.x2, r.y2))
+        near: dict[int, list] = {}
+        for r in truth.where((F.col("category") == confused) & F.col("dbidx").isin(frames)).collect() if confused is not None else ():
+            near.setdefault(r.dbidx, []).append((r.x1, r.y1, r.x2, r.y2))
         for f in frames:
-            session.give(f, boxes[f])
+            session.give(f, boxes[f], near.get(f, ()))
             if boxes[f]:
                 hits.append(seen)
             seen += 1

@@ -73,9 +73,9 @@ def amended(base: DataFrame, amendment: DataFrame, reviewed: DataFrame, category
     return kept.unionByName(amendment, allowMissingColumns=True)
 
 
-def read_sessions(spark: SparkSession, path: str, schema: str = SESSION) -> DataFrame:
-    """Saved sessions below ``path`` (``**/summary.json``), with session_path; malformed documents become rows of nulls."""
-    raw = spark.read.schema(schema + ", _corrupt string").option("recursiveFileLookup", "true").option("pathGlobFilter", "summary.json").option("multiLine", "true")
+def read_sessions(spark: SparkSession, path: str, schema: str = SESSION, name: str = "summary.json") -> DataFrame:
+    """Saved sessions in files called ``name`` anywhere below ``path``, with session_path; malformed documents become rows of nulls."""
+    raw = spark.read.schema(schema + ", _corrupt string").option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("multiLine", "true")
     rows = raw.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return rows.withColumn("session_path", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).drop("_corrupt")
 

@@ -35,19 +35,38 @@ def without_duplicates(log: DataFrame, key: str = "event_id", late: str = "10 mi
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def record_events(log: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """(user_id, ts, value): events whose value exceeds all of the user's before; the state is one number a user."""
+def record_events(log: DataFrame, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """(user_id, ts, value): events whose value exceeds all of the user's before.
+
+    Events wait until the watermark has passed them and are then compared in order of their time, so events that come late, but within
+    ``late``, count where they belong. The state of a user is one number and the events that wait; a user whom the watermark has
+    left ``idle`` behind is forgotten.
+    """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def records(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        most = state.get[0] if state.exists else float("-inf")
+        most, times, values = state.get if state.exists else (float("-inf"), [], [])
+        times, values = list(times), list(values)
         for p in batches:
-            p = p.sort_values("ts")
-            before = p["value"].cummax().shift(fill_value=float("-inf")).clip(lower=most)
-            new = p[p["value"] > before]
-            most = max(most, float(p["value"].max()))
-            yield pd.DataFrame({"user_id": key[0], "ts": new["ts"], "value": new["value"]})
-        state.update((most,))
+            times += (p["ts"].astype("int64") // 1000 if p["ts"].dtype == "datetime64[ns]" else p["ts"].astype("datetime64[us]").astype("int64")).tolist()
+            values += p["value"].tolist()
+        mark = state.getCurrentWatermarkMs() * 1000
+        order = sorted(range(len(times)), key=lambda i: times[i])
+        due = [i for i in order if times[i] <= mark]
+        new = []
+        for i in due:
+            if values[i] > most:
+                new.append(i)
+                most = values[i]
+        if due or not state.hasTimedOut:
+            yield pd.DataFrame({"user_id": [key[0]] * len(new), "ts": pd.to_datetime([times[i] for i in new], unit="us"), "value": [values[i] for i in new]})
+        wait = [i for i in order if times[i] > mark]
+        if state.hasTimedOut and not wait and not due:
+            state.remove()
+            return
+        state.update((most, [times[i] for i in wait], [values[i] for i in wait]))
+        state.setTimeoutTimestamp(max(min((times[i] for i in wait), default=mark + pause * 1000) // 1000, state.getCurrentWatermarkMs() + 1))
 
     return log.withWatermark("ts", late).select("user_id", "ts", "value").groupBy("user_id").applyInPandasWithState(
-        records, "user_id long, ts timestamp, value double", "most double", "append", GroupStateTimeout.NoTimeout
+        records, "user_id long, ts timestamp, value double", "most double, times array<long>, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import boxes, grid, metrics, text, vectors
+from .functions import batches, boxes, grid, metrics, text, vectors
 from .operators import graph, labels, logs, ranks, search, sets, spatial, tracking
 from .plans import feedback, models, reports, session
 from .sources import tables
@@ -148,11 +148,11 @@ def distinct_positions(spark, sf):
     return search.distinct_positions(ranked, 7)
 
 
-@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < 8 AND a.vec_id <> b.vec_id),
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def multi_query_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    found = search.many_queries(e, e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
+    found = search.many_queries(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
@@ -579,10 +579,12 @@ def bsw_rel(spark, sf):
 
 
 @query(f"""WITH {STATS}, p AS (SELECT a.dataset, a.category, a.rank_first AS x, b.rank_first AS y FROM stats a JOIN stats b ON a.dataset = b.dataset AND a.category = b.category AND a.variant = 1 AND b.variant = 0)
-SELECT dataset, category, CASE WHEN x IS NULL OR y IS NULL OR isnan(x) OR isnan(y) THEN 'undefined' WHEN isinf(x) AND isinf(y) THEN 'both_infinite' WHEN isinf(x) THEN 'first_infinite' WHEN isinf(y) THEN 'second_infinite' WHEN x - y > 1 THEN 'first_larger' WHEN y - x > 1 THEN 'second_larger' ELSE 'equal' END AS class FROM p""")
+SELECT dataset, category, CASE WHEN u AND v THEN 'both_undefined' WHEN u THEN 'first_undefined' WHEN v THEN 'second_undefined' WHEN isinf(x) AND isinf(y) THEN 'both_infinite' WHEN isinf(x) THEN 'first_larger' WHEN isinf(y) THEN 'first_smaller'
+  WHEN abs(x - y) <= 1 THEN 'close' WHEN x > y THEN 'first_larger' ELSE 'first_smaller' END AS class, coalesce(isinf(x) AND (v OR NOT isinf(y)), false) AS first_only_infinite, coalesce(isinf(y) AND (u OR NOT isinf(x)), false) AS second_only_infinite
+FROM (SELECT *, x IS NULL OR isnan(x) AS u, y IS NULL OR isnan(y) AS v FROM p)""")
 def method_pair_classes(spark, sf):
     pairs = reports.compared(stats(spark, sf), 1, 0, ["rank_first"])
-    return reports.pair_classes(pairs, "rank_first", "rank_first_baseline", 1.0).select("dataset", "category", "class")
+    return reports.pair_classes(pairs, "rank_first", "rank_first_baseline", 1.0).select("dataset", "category", "class", "first_only_infinite", "second_only_infinite")
 
 
 @query(_SBS + ", b AS (SELECT variant, CASE WHEN base > 0.3 THEN 'easy' WHEN base > 0.1 THEN 'medium' ELSE 'hard' END AS bucket, dataset, avg(metric) AS m, count(*) AS k FROM sbs WHERE base IS NOT NULL GROUP BY ALL) SELECT variant, bucket, round(avg(m), 6) AS mean_metric, sum(k)::BIGINT AS n FROM b GROUP BY ALL")
@@ -721,10 +723,9 @@ def knn_ranker_scores(spark, sf):
 
 
 @query(f"""WITH {_W}, x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT w.w AS w, list_transform(list_zip(a.v, b.v), lambda p: p[1] - p[2]) AS d FROM w JOIN x a ON w.i = a.vec_id JOIN x b ON w.j = b.vec_id WHERE w.i < w.j),
-k AS (SELECT unnest(range(4)) AS r), c AS (SELECT unnest(range(4)) AS c), t AS (SELECT sum(w) AS t FROM w) SELECT k.r, c.c, round(sum(e.w * e.d[k.r + 1] * e.d[c.c + 1]) / max(t.t), 6) AS v FROM e, k, c, t GROUP BY ALL""")
+k AS (SELECT unnest(range(64)) AS r), c AS (SELECT unnest(range(64)) AS c), t AS (SELECT sum(w) AS t FROM w) SELECT k.r, c.c, round(sum(e.w * e.d[k.r + 1] * e.d[c.c + 1]) / max(t.t), 6) AS v FROM e, k, c, t GROUP BY ALL""")
 def spread_matrix(spark, sf):
-    e = table(spark, sf, "embeddings")
-    m = graph.spread_matrix(_weights(spark, sf), e.select("vec_id", F.slice("embedding", 1, 4).alias("embedding")))
+    m = graph.spread_matrix(_weights(spark, sf), table(spark, sf, "embeddings"))
     return m.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "v")
 
 
@@ -750,24 +751,127 @@ def rocchio_topk(spark, sf):
     return search.coarse_query(table(spark, sf, "embeddings"), q, 10)
 
 
-def _fitted(spark, sf, fit) -> DataFrame:
-    rows = _marked(spark, sf).where("vec_id < 400").orderBy("vec_id").select("embedding", "y").collect()  # what one user marks
+def _feedback(spark, sf):
+    """(vectors, labels, confused, vectors of the image) of all that is marked, which is what one user marks."""
+    import numpy as np
+
+    rows = _marked(spark, sf).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.expr("vec_id div 5")))).orderBy("vec_id")
+    rows = rows.select("embedding", "y", (F.col("label") == 2).cast("int").alias("confused"), "n").collect()
+    return np.array([r.embedding for r in rows], float), *(np.array([r[c] for r in rows]) for c in ("y", "confused", "n"))
+
+
+def _spread(spark, sf):
+    import numpy as np
+
+    cells = graph.spread_matrix(_weights(spark, sf), table(spark, sf, "embeddings")).collect()  # a side for each component
+    out = np.zeros((1 + max(c.r for c in cells),) * 2)
+    for c in cells:
+        out[c.r, c.c] = c.v
+    return out
+
+
+def _refined(spark, sf, new, contrast=None) -> DataFrame:
+    e = search.scored(table(spark, sf, "embeddings"), new.tolist())
+    if contrast is not None:
+        e = e.withColumn("score", F.col("score") - vectors.dot("embedding", vectors.vector(contrast.tolist())))
+    return search.top_k(e, 10, "vec_id").select("vec_id", "score")
+
+
+def _query(spark, sf, vec_id=0):
     import numpy as np
 
-    x, y = np.array([r.embedding for r in rows], float), np.array([r.y for r in rows])
-    return search.coarse_query(table(spark, sf, "embeddings"), fit(x, y, np.array(embedding_of(spark, sf, 0))).tolist(), 10)
+    return np.array(embedding_of(spark, sf, vec_id), float)
 
 
 @query()
 def logistic_refine(spark, sf):
     """An iterative fit."""
-    return _fitted(spark, sf, feedback.logistic_refine)
+    x, y, _, _ = _feedback(spark, sf)
+    return _refined(spark, sf, feedback.logistic_refine(x, y, _query(spark, sf)))
 
 
 @query()
-def multi_refine(spark, sf):
+def rank_refine(spark, sf):
     """An iterative fit."""
-    return _fitted(spark, sf, lambda x, y, q: feedback.multi_refine(x, y, [1] * len(y), q))
+    x, y, _, _ = _feedback(spark, sf)
+    return _refined(spark, sf, feedback.rank_refine(x, y, _query(spark, sf)))
+
+
+@query()
+def multi_refine(spark, sf):
+    """An iterative fit; ``multi_loss_slopes`` holds its loss against SQL."""
+    x, y, _, n = _feedback(spark, sf)
+    return _refined(spark, sf, feedback.multi_refine(x, y, n, _query(spark, sf), _spread(spark, sf)))
+
+
+@query()
+def two_way_refine(spark, sf):
+    """An iterative fit; ``two_way_slopes`` holds its loss against SQL."""
+    x, y, other, n = _feedback(spark, sf)
+    return _refined(spark, sf, *feedback.two_way_refine(x, y, other, n, _query(spark, sf)))
+
+
+_MARKED = """mk AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label = 1)::INT AS y, (label = 2)::INT AS z, 1.0 / count(*) OVER (PARTITION BY vec_id // 5)::DOUBLE AS share FROM embeddings WHERE vec_id % 4 = 0),
+mp AS (SELECT vec_id, y, z, share, unnest(v) AS x, unnest(range(64)) AS c FROM mk), mu AS (SELECT c, avg(x) AS mu FROM mp GROUP BY c), mx AS (SELECT vec_id, y, z, share, c, x - mu AS x FROM mp JOIN mu USING (c)),
+q0 AS (SELECT unnest(v) AS q, unnest(range(64)) AS c FROM (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)), q1 AS (SELECT unnest(v) AS q, unnest(range(64)) AS c FROM (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1)),
+pt AS (SELECT c, q0.q / (SELECT sqrt(sum(q * q)) FROM q0) AS q, 2 * q0.q + q1.q AS w FROM q0 JOIN q1 USING (c))"""
+
+
+def _slopes(loss, at) -> list[tuple[int, float]]:
+    value, slope = loss(at)
+    return [(-1, float(value)), *((i, float(g)) for i, g in enumerate(slope))]
+
+
+@query(f"""WITH {_W}, x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT w.w AS w, list_transform(list_zip(a.v, b.v), lambda p: p[1] - p[2]) AS d FROM w JOIN x a ON w.i = a.vec_id JOIN x b ON w.j = b.vec_id WHERE w.i < w.j),
+{_MARKED}, wl AS (SELECT list(w ORDER BY c) AS wl FROM pt), t AS (SELECT sum(w) AS t FROM w),
+ed AS (SELECT e.w / t.t AS w, list_dot_product(e.d, wl) AS a, e.d AS d FROM e, wl, t), sp AS (SELECT c, 2 * sum(g) AS g FROM (SELECT unnest(list_transform(d, lambda v: v * a * w)) AS g, unnest(range(64)) AS c FROM ed) GROUP BY c),
+n AS (SELECT sqrt(sum(w * w)) AS s, sum(w * q) / sqrt(sum(w * w)) AS cos FROM pt), zs AS (SELECT vec_id, y, share, sum(x * w) AS z FROM mx JOIN pt USING (c) GROUP BY ALL),
+lab AS (SELECT c, sum(m.share * (1 / (1 + exp(-zs.z)) - m.y) * m.x) AS g FROM mx m JOIN zs USING (vec_id) GROUP BY c)
+SELECT -1 AS component, round((SELECT sum(share * (ln(1 + exp(z)) - y * z)) FROM zs) + (SELECT sum(w * a * a) FROM ed) + (s * s + 1 / (s * s)) / 2 - 1 + (1 - cos) / 2, 6) AS slope FROM n
+UNION ALL SELECT pt.c, round(lab.g + sp.g + (1 - 1 / pow(s, 4)) * w - (q - cos * w / s) / s / 2, 6) FROM pt JOIN lab USING (c) JOIN sp USING (c), n""")
+def multi_loss_slopes(spark, sf):
+    x, y, _, n = _feedback(spark, sf)
+    q = _query(spark, sf)
+    rows = _slopes(feedback.multi_loss(x, y, n, q, _spread(spark, sf)), 2 * q + _query(spark, sf, 1))
+    return spark.createDataFrame(rows, "component long, slope double")
+
+
+@query(f"""WITH {_MARKED}, w2 AS (SELECT pt.c, pt.q AS q, 2 * q0.q + q1.q AS a, q0.q - q1.q AS b FROM pt JOIN q0 USING (c) JOIN q1 USING (c)),
+n AS (SELECT sqrt(sum(a * a)) AS sa, sqrt(sum(b * b)) AS sb, sum(a * q) / sqrt(sum(a * a)) AS ca, sum(b * q) / sqrt(sum(b * b)) AS cb FROM w2),
+zs AS (SELECT vec_id, y, z AS o, share, sum(x * a) / max(sa) AS za, sum(x * b) / max(sb) AS zb FROM mx JOIN w2 USING (c), n GROUP BY ALL),
+l AS (SELECT *, ln(exp(za) + exp(zb)) AS m, y + o AS k FROM zs),
+d AS (SELECT vec_id, share * (1 / (1 + exp(-za)) - y + CASE WHEN k > 0 THEN k * exp(za - m) - y ELSE 0 END) AS da, share * (1 / (1 + exp(-zb)) - o + CASE WHEN k > 0 THEN k * exp(zb - m) - o ELSE 0 END) AS db,
+  share * (ln(1 + exp(za)) - y * za + ln(1 + exp(zb)) - o * zb + CASE WHEN k > 0 THEN k * m - y * za - o * zb ELSE 0 END) AS loss FROM l),
+g AS (SELECT c, sum(da * x) AS ga, sum(db * x) AS gb FROM mx JOIN d USING (vec_id) GROUP BY c),
+h AS (SELECT c, ga - q / 2 AS ga, gb - q / 2 AS gb, a / sa AS ua, b / sb AS ub FROM g JOIN w2 USING (c), n), r AS (SELECT sum(ga * ua) AS ra, sum(gb * ub) AS rb FROM h)
+SELECT -1 AS component, round((SELECT sum(loss) FROM d) + (sa + 1 / sa) / 2 - 1 + (sb + 1 / sb) / 2 - 1 + (1 - ca) / 2 + (1 - cb) / 2, 6) AS slope FROM n
+UNION ALL SELECT c, round((ga - ra * ua) / sa + (1 - 1 / (sa * sa)) / 2 * ua, 6) FROM h, r, n UNION ALL SELECT 64 + c, round((gb - rb * ub) / sb + (1 - 1 / (sb * sb)) / 2 * ub, 6) FROM h, r, n""")
+def two_way_slopes(spark, sf):
+    import numpy as np
+
+    x, y, other, n = _feedback(spark, sf)
+    q, q1 = _query(spark, sf), _query(spark, sf, 1)
+    rows = _slopes(feedback.two_way_loss(x, y, other, n, q), np.concatenate([2 * q + q1, q - q1]))
+    return spark.createDataFrame(rows, "component long, slope double")
+
+
+@query("""WITH t AS (SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS t, value AS s FROM events)
+SELECT a.event_id, a.user_id, 2.0 * (count(*) FILTER (b.t > a.t AND b.s <= a.s) - count(*) FILTER (b.t < a.t AND b.s >= a.s)) AS slope, count(*) FILTER (b.t <> a.t)::DOUBLE AS most FROM t a JOIN t b USING (user_id) GROUP BY ALL""")
+def rank_slopes(spark, sf):
+    e = table(spark, sf, "events").selectExpr("event_id", "user_id", "case event_type when 'purchase' then 2.0D when 'click' then 1.0D else 0.0D end as target", "value")
+    return batches.aggregated(e, ["user_id"], lambda p: p[["event_id", "user_id"]].assign(slope=feedback.fast_rank_gradient(p["target"], p["value"]), most=feedback.most_inversions(p["target"])), "event_id long, user_id long, slope double, most double")
+
+
+@query(f"""WITH {_KNN}, l AS (SELECT vec_id, (label = 1)::INT AS y FROM embeddings WHERE vec_id % 6 = 0), t AS (SELECT src_vertex, sum(y) AS s, count(*) AS n FROM knn JOIN l ON dst_vertex = vec_id WHERE src_vertex <> dst_vertex GROUP BY ALL),
+o AS (SELECT e.vec_id, (0.1 + coalesce(s, 0)) / (1 + coalesce(n, 0)) AS p, coalesce(n, 0) AS n FROM embeddings e LEFT JOIN t ON src_vertex = e.vec_id WHERE e.vec_id % 6 <> 0),
+m AS (SELECT a.vec_id, a.p, CASE WHEN k.src_vertex IS NULL THEN b.p ELSE (b.p * (1 + b.n) + 1) / (2 + b.n) END AS up, CASE WHEN k.src_vertex IS NULL THEN b.p ELSE b.p * (1 + b.n) / (2 + b.n) END AS down
+  FROM o a JOIN o b ON a.vec_id <> b.vec_id LEFT JOIN knn k ON k.src_vertex = b.vec_id AND k.dst_vertex = a.vec_id),
+u AS (SELECT vec_id, max(p) AS p, list_sum(list_reverse_sort(list(up))[1:4]) AS up, list_sum(list_reverse_sort(list(down))[1:4]) AS down FROM m GROUP BY vec_id)
+SELECT vec_id, round(p * (1 + up) + (1 - p) * down, 6) AS promise FROM u""")
+def vertex_promises(spark, sf):
+    edges, (prior, marks) = cut(_knn(spark, sf)), _prior(spark, sf)
+    scores = graph.neighbour_scores(edges, prior, marks).withColumnRenamed("vertex", "vec_id").where("vec_id % 6 <> 0")
+    return graph.promises(edges, cut(scores), marks.select(F.col("vertex").alias("vec_id")), 5)
 
 
 @query()
@@ -842,7 +946,7 @@ def target_boxes(spark, sf):
 @query()
 def box_tracks(spark, sf):
     """Matching from frame to frame is sequential."""
-    b = tiles(spark, sf).where("zoom_level < 2").selectExpr("dbidx div 10 as video_id", "int(dbidx % 10) as frame", "vec_id", "x1", "y1", "x2", "y2")
+    b = tiles(spark, sf).selectExpr("dbidx div 10 as video_id", "int(dbidx % 10) as frame", "vec_id", "x1", "y1", "x2", "y2")
     return tracking.tracks(b).select("video_id", "frame", "vec_id", "track_id", "confirmed")
 
 
@@ -873,11 +977,11 @@ def frame_softmax(spark, sf):
     return s.select("vec_id", (F.col("e") / F.sum("e").over(w)).alias("share"))
 
 
-@query("""WITH p AS (SELECT a.vec_id AS positive, b.vec_id AS negative, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = 1 AND b.label <> 1 AND a.vec_id < 200)
+@query("""WITH p AS (SELECT a.vec_id AS positive, b.vec_id AS negative, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = 1 AND b.label <> 1)
 SELECT positive, rank, negative FROM p WHERE rank <= 3""")
 def hard_negative_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
-    positive = e.where("label = 1 and vec_id < 200").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    positive = e.where("label = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = search.many_queries(e.where("label <> 1"), positive, 3)
     return found.select(F.col("query_id").alias("positive"), F.col("rank").cast("long").alias("rank"), F.col("vec_id").alias("negative"))
 
@@ -885,8 +989,7 @@ def hard_negative_pairs(spark, sf):
 @query()
 def mixture_components(spark, sf):
     """An iterative fit."""
-    e = table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4))
-    return models.mixture(e, 3, steps=5).select("vec_id", F.col("component").cast("int").alias("component"))
+    return models.mixture(table(spark, sf, "embeddings"), 3, steps=5).select("vec_id", F.col("component").cast("int").alias("component"))
 
 
 @query()
@@ -901,14 +1004,22 @@ def calibrated_scores(spark, sf):
 
 
 def _streamed(spark, sf, make) -> DataFrame:
-    """What a stream over the events has said once it has read them all; its result, not its input, is held in memory."""
+    """What a stream over the events has written to files; the watermark decides when a window is whole. Once all are read, an event
+    of no user, long after the others, makes the last windows whole."""
     import uuid
 
-    log = stream.read_log(spark, sf, stream.EVENTS.replace("ts timestamp", "ts timestamp_ntz"), only="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"stream_{uuid.uuid4().hex}"
-    q = make(log).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    place, schema = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", stream.EVENTS.replace("ts timestamp", "ts timestamp_ntz")
+    last = table(spark, sf, "events").agg(F.max("ts").alias("ts")).where("ts is not null")
+    last = last.selectExpr("-1L as event_id", "ts + interval 30 days as ts", "-1L as user_id", "'end' as event_type", "0D as value", "'{}' as props")
+    last.where("false").write.parquet(f"{place}/end")
+    for step in (1, 2):
+        if step == 2:
+            last.write.mode("append").parquet(f"{place}/end")
+        log = stream.read_log(spark, sf, schema, only="events.parquet").union(stream.read_log(spark, f"{place}/end", schema)).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = make(log)
+        q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
 @query("SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
@@ -987,3 +1098,6 @@ def anchored_scores(spark, sf):
 SELECT dbidx, vec_id, round(list_dot_product(v, {Q0}) / sqrt(list_dot_product(v, v)), 6) AS score FROM l""")
 def anchored_vectors(spark, sf):
     return search.anchored(tiles(spark, sf), embedding_of(spark, sf, 0), "avg_vector")
+
+
+from . import catalog_api  # noqa: E402, F401  registers more queries

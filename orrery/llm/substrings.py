@@ -91,7 +91,7 @@ def chunk_table(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
                 spelled = words.cast(pa.binary())
                 ends = np.cumsum(pc.binary_length(spelled).to_numpy(zero_copy_only=False).astype(np.int64))
                 known = keys.is_valid().to_numpy(zero_copy_only=False)
-                cols = [[number], [b - a], [len(index)], [pc.fill_null(keys.cast(pa.int64()), 0).to_numpy().tobytes()], [known.tobytes()], [bounds.tobytes()], [same], [_zip(index.astype(np.uint32))], [_zip(b"".join(spelled.to_pylist()))], [_zip(ends)]]
+                cols = [[number], [b - a], [len(index)], [pc.fill_null(keys.cast(pa.int64()), 0).to_numpy().tobytes()], [known.tobytes()], [bounds.tobytes()], [same], [_planes(index.astype(np.uint32))], [_zip(b"".join(spelled.to_pylist()))], [_planes(ends)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()] * 7, strict=True)], names=["chunk", "n_docs", "n_words", "keys", "known", "bounds", "same", "words", "spelled", "ends"])
                 number += 1
 
@@ -114,8 +114,8 @@ class Chunk:
     def __init__(self, row):
         self.chunk, self.keys, self.known = row.chunk, np.frombuffer(row.keys, np.int64), np.frombuffer(row.known, bool)
         self.bounds, self.same = np.frombuffer(row.bounds, np.int64), row.same
-        self.index = _unzip(row.words, "<u4")
-        self.spelled, self.ends = zstandard.decompress(row.spelled), _unzip(row.ends, "<i8")
+        self.index = _unplaned(row.words, "<u4")
+        self.spelled, self.ends = zstandard.decompress(row.spelled), _unplaned(row.ends, "<i8")
 
     def words(self) -> list[bytes]:
         ends = self.ends.tolist()
@@ -221,15 +221,15 @@ def _runs(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[begin], n)
     used, words = np.unique(c.index[at], return_inverse=True)
     runs = np.stack([doc[begin], first[begin] - c.bounds[:-1][doc[begin]], size, c.keys[doc[begin]]])
-    return pd.DataFrame({"chunk": [c.chunk], "n": [len(first)], "words": [_zip(words.astype(np.uint32))], "digests": [digests[:, used].tobytes()], "runs": [_zip(runs.astype(np.int64))]})
+    return pd.DataFrame({"chunk": [c.chunk], "n": [len(first)], "words": [_planes(words.astype(np.uint32))], "digests": [digests[:, used].tobytes()], "runs": [_zip(runs.astype(np.int64))]})
 
 
 def _suffixes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows of a chunk's runs: (codes of each different window, its check, its smallest key, window of each place, run table).
 
-    A word's code are 32 bits of its digest; a window's check are 48 bits made of the digests' other halves, so windows that differ
+    A word's code are 16 bits of its digest; a window's check are 64 bits made of the digests' other halves, so windows that differ
     agree in both with probability 2 ** -80 at most."""
-    words, runs = _unzip(row.words, "<u4"), _unzip(row.runs, "<i8").reshape(4, -1)
+    words, runs = _unplaned(row.words, "<u4"), _unzip(row.runs, "<i8").reshape(4, -1)
     digests = np.frombuffer(row.digests, np.uint64).reshape(2, -1)
     n = runs[2]
     run = np.repeat(np.arange(len(n)), n)
@@ -238,25 +238,25 @@ def _suffixes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.n
     check = np.zeros(len(start), np.uint64)
     for k in range(WINDOW):
         check = check * _MUL + other[start + k]
-    check = _mixed(check) >> np.uint64(16)
-    all_ = np.lib.stride_tricks.sliding_window_view((digests[0] >> np.uint64(32)).astype(np.uint32)[words], WINDOW)[start]
+    check = _mixed(check)
+    codes = (digests[0] >> np.uint64(48)).astype(np.uint16)[words]
     _, first, which = np.unique(check, return_index=True, return_inverse=True)
-    if (all_[first][which] != all_).any():  # two windows share a check: go by all there is
-        _, first, which = np.unique(np.column_stack([all_, check]), axis=0, return_index=True, return_inverse=True)
+    if any((codes[start + k] != codes[(start + k)[first]][which]).any() for k in range(WINDOW)):  # two windows share a check: go by all there is
+        _, first, which = np.unique(np.column_stack([check, *(codes[start + k] for k in range(WINDOW))]), axis=0, return_index=True, return_inverse=True)
     order = np.argsort(first)  # numbered as they come, so that neighbours, much alike, are packed together
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
     first, which = first[order], rank[which]
     low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, which, runs[3][run])
-    return all_[first], check[first], low, which, runs
+    return np.stack([codes[start[first] + k] for k in range(WINDOW)], axis=1), check[first], low, which, runs
 
 
 def _slots(suffixes: np.ndarray, slots: int) -> np.ndarray:
     """The slot of each suffix's prefix at each of DEPTHS, numbered across depths."""
     h, out = np.zeros(len(suffixes), np.uint64), []
     for d in range(1, WINDOW + 1):
-        h = h * _MUL + suffixes[:, d - 1] + np.uint64(d)
+        h = h * _MUL + suffixes[:, d - 1].astype(np.uint64) + np.uint64(d)
         if d in DEPTHS:
             out.append((_mixed(h) % np.uint64(slots)).astype(np.int64) + len(out) * slots)
     return np.stack(out)
@@ -287,7 +287,7 @@ def _to_groups(slots: int, heavy):
                 parts = [by[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pd.DataFrame({
                     "group": group[by][cuts[:-1]], "chunk": row.chunk,
-                    "suffixes": [_zip(suffixes[i], 3) for i in parts], "check": [_planes(check[i]) for i in parts], "low": [_planes(low[i]) for i in parts], "number": [_planes(i.astype(np.int32)) for i in parts],
+                    "suffixes": [_zip(suffixes[i], 3) for i in parts], "check": [check[i].tobytes() for i in parts], "low": [_planes(low[i]) for i in parts], "number": [_planes(i.astype(np.int32)) for i in parts],
                 })
 
     return out
@@ -300,12 +300,15 @@ def common_prefixes(s: np.ndarray) -> np.ndarray:
 
 def _deep_nodes(p: pd.DataFrame) -> pd.DataFrame:
     """The subtree of one prefix group; for each chunk, the windows below a deep node and the node's smallest key, if that is another's."""
-    parts = [_unzip(b, "<u4").reshape(-1, WINDOW) for b in p["suffixes"]]
+    parts = [_unzip(b, "<u2").reshape(-1, WINDOW) for b in p["suffixes"]]
     s = np.concatenate(parts)
     row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    check, low, number = (np.concatenate([_unplaned(b, t) for b in p[c]]) for c, t in (("check", "<u8"), ("low", "<i8"), ("number", "<i4")))
-    pairs = [s[:, k].astype(np.uint64) << np.uint64(32) | (s[:, k + 1] if k + 1 < WINDOW else np.uint64(0)) for k in range(0, WINDOW, 2)]
-    by = np.lexsort([check, *pairs[::-1]])
+    low, number = (np.concatenate([_unplaned(b, t) for b in p[c]]) for c, t in (("low", "<i8"), ("number", "<i4")))
+    check = np.frombuffer(b"".join(p["check"]), np.uint64)
+    wide = np.zeros((len(s), 4 * (-(-WINDOW // 4))), np.uint64)  # four codes a sort key
+    wide[:, :WINDOW] = s
+    keys = [wide[:, k] << np.uint64(48) | wide[:, k + 1] << np.uint64(32) | wide[:, k + 2] << np.uint64(16) | wide[:, k + 3] for k in range(0, wide.shape[1], 4)]
+    by = np.lexsort([check, *keys[::-1]])
     node = np.cumsum((common_prefixes(s[by]) < WINDOW) | (np.diff(check[by], prepend=check[by[:1]]) != 0)) - 1
     least = np.full(node[-1] + 1 if len(node) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, node, low[by])
@@ -372,7 +375,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     a window that covers it has a word sequence that also starts in a document with a smaller key, in the input as it is. ``kept``
     is what is left, joined by single spaces; ``removed`` are the word ranges that went. Whole documents with the words of a smaller
     one go by a comparison of 128-bit digests, without entering the trees. Words are told apart by 128-bit digests: 64 bits in the
-    filter, which only lets windows through, 32 in the trees, and the other 64 where a deep node is told from one that looks alike.
+    filter, which only lets windows through, 16 in the trees, and the other 64 where a deep node is told from one that looks alike.
     Two windows are taken for equal by mistake with probability 2 ** -80 a pair at most.
 
     Null and empty texts have no words. Rows with a null key neither lose words nor make others lose any. Rows with the same key

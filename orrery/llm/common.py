@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["WORD", "batches_of", "before", "components", "cut", "forest", "per_process", "shared_dir", "slices", "split_words", "with_columns"]
+__all__ = ["WORD", "batches_of", "before", "components", "copies", "cut", "forest", "per_process", "shared_dir", "slices", "split_words", "with_columns"]
 
 #: A word is a longest run of characters other than these; ``bytes.split()`` and Java's ``[\x20\x09-\x0D]`` agree on them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,6 +109,12 @@ def before(df: DataFrame, group: Sequence[str], chunk: str, order: Sequence[str
     return inner.join(starts, keys).withColumn(name, F.col("_start") + F.col("_within")).drop("_start", "_within")
 
 
+def copies(df: DataFrame, count: str, name: str, step: int = 100_000) -> DataFrame:
+    """``df`` with each row as often as ``count`` says, numbered from 0 in ``name``; no row holds more than ``step`` numbers at once."""
+    runs = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(step).cast("long"))))
+    return runs.withColumn(name, F.explode(F.sequence("_from", F.least(F.col("_from") + step, F.col(count)) - 1))).drop("_from")
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links (a, b), each node linked to the smallest of its part: at most one link a node."""
     if not len(a):

@@ -71,10 +71,16 @@ class KernelModel:
         return kernel @ self.weights + self.bias
 
 
-def fit(texts: list[str], languages: list[str]) -> KernelModel:
-    """Kernel ridge regression of each language against the rest, in the span of landmarks taken evenly from the languages."""
+def fit(texts: list[str | None], languages: list[str]) -> KernelModel:
+    """``fitted`` to texts."""
     letters = _letter_table()
-    rows = [(f, lang) for t, lang in zip(texts, languages, strict=True) if (f := presence(t, letters)) is not None]
+    return fitted([presence(t, letters) for t in texts], languages)
+
+
+def fitted(flags: list[np.ndarray | None], languages: list[str]) -> KernelModel:
+    """Kernel ridge regression of each language against the rest, in the span of landmarks taken evenly from the languages. Texts
+    without letters (None) teach nothing; without any others the model knows no language."""
+    rows = [(f, lang) for f, lang in zip(flags, languages, strict=True) if f is not None]
     known = sorted({lang for _, lang in rows})
     if not known:
         return KernelModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
@@ -95,8 +101,9 @@ def fit(texts: list[str], languages: list[str]) -> KernelModel:
     return KernelModel(known, np.ascontiguousarray(marks.T), root @ a, ym - zm @ a)
 
 
-def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """A sample of labelled texts on the driver, at most SAMPLE_ROWS: as many of each language, those with the smallest key hashes."""
+def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[np.ndarray | None], list[str]]:
+    """A sample of labelled texts, at most SAMPLE_ROWS: as many of each language, those with the smallest key hashes. Their whole texts
+    are turned into presence flags where they are; two kilobytes a text reach the driver, whatever its length."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.md5(F.concat_ws(":", F.lit("fit"), F.col(key).cast("string")).cast("binary")).alias("h")).where("t is not null and l is not null")
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(SAMPLE_ROWS).collect()}
     if not counts:
@@ -104,16 +111,24 @@ def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     each = SAMPLE_ROWS // len(counts)
     # A hash threshold a language keeps somewhat more than wanted, so that no task sorts a language.
     limit = F.create_map(*[F.lit(v) for l, n in counts.items() for v in (l, f"{min(0xFFFFFFFF, int(0x100000000 * (1.5 * each + 50) / n)):08x}g")])
-    near = rows.where(F.col("h") < limit[F.col("l")]).orderBy("h").limit(SAMPLE_ROWS * 3 + 60 * len(counts)).collect()
+
+    def make():
+        letters = _letter_table()
+        return lambda texts: [pa.array([None if f is None else np.packbits(f).tobytes() for f in (presence(t, letters) for t in texts.to_pylist())], pa.binary())]
+
+    near = with_columns(rows.where(F.col("h") < limit[F.col("l")]), ["t"], "f binary", make).select("l", "h", "f")
+    near = near.orderBy("h").limit(SAMPLE_ROWS * 3 + 60 * len(counts)).collect()
     taken = [r for lang in counts for r in [r for r in near if r.l == lang][:each]]
-    return [r.t for r in taken], [r.l for r in taken]
+    return [None if r.f is None else np.unpackbits(np.frombuffer(r.f, np.uint8)).astype(bool) for r in taken], [r.l for r in taken]
 
 
 def identify(docs: DataFrame, model: KernelModel, text: str = "text", name: str = "language") -> DataFrame:
     """Adds ``name``: struct(lang_pred, score) of each whole text. A scan without a shuffle.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is everything under a model of no language. The score is
-    the regressed membership, cut to 0..1. Equal scores go to the first language by code point.
+    Null and empty texts and texts without a letter are ``und`` with score 0, as is everything under a model of no language. Very
+    long texts are read whole. The score is the regressed membership, cut to 0..1. Equal scores go to the first language by code
+    point. Repeated rows are judged alike; an empty table gives an empty result. Other columns pass through untouched; one called
+    ``name`` is replaced.
     """
     batches_of(docs.sparkSession, 1000)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # a fixed size: 2 ** BITS x LANDMARKS floats
@@ -144,6 +159,6 @@ def held_out(key: str = "doc_id"):
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(*training_rows(docs.where(~held_out())))
+    model = fitted(*training_rows(docs.where(~held_out())))
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")

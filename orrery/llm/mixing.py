@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, before, cut
+from .common import WORD, before, copies, cut
 
 #: Most times a document may be taken, words a block, and shards that quotas are given for.
 REPEATS, BLOCK, SHARDS = 3, 16, 8
@@ -60,19 +60,22 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
     document is taken some whole number of times, or parts of it once more: ``taken`` words in all, at most REPEATS sizes.
     These are ``whole`` times the document, its words [part_from, part_to) and, where the row of words wraps, its first ``head``.
 
-    Null sources form one source, last in order. Null keys hash alike. Repeated rows are documents of their own; if they are equal
-    in key and size either may get the part. An empty table gives an empty result. Other columns are not looked at.
+    Null sources form one source, last in order. The seeded hash is that of key and text, so null or repeated keys are spread like
+    any others. Rows that agree in key, source and text are one row with a count until each gets its place, and documents of their
+    own then: either may get the part. Very long texts are read whole. An empty table gives an empty result. Other columns are
+    not looked at.
     """
     n = F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))) if size is None else size
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
+    said = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), said).cast("binary"))
     rows = docs.select(
         F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("src_null"),
         F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("size"), mark.alias("mark"),
         F.xxhash64(text).alias("text_hash"),
     ).withColumn("chunk", F.substring("mark", 1, CHUNK_DIGITS))
-    rows = cut(rows)  # narrow, and read twice
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))  # narrow, and read twice
     by = ["src_null", "src"]
-    chunks = rows.groupBy(*by, "chunk").agg(F.sum("size").alias("chunk_size"))
+    chunks = rows.groupBy(*by, "chunk").agg(F.sum(F.col("size") * F.col("n")).alias("chunk_size"))
     shard = (F.conv("chunk", 16, 10).cast("long") % SHARDS).alias("shard")
     shards = chunks.groupBy(*by, shard).agg(F.sum("chunk_size").alias("shard_size"))
     sources = targets(shards.groupBy(*by).agg(F.sum("shard_size").alias("source_size")))
@@ -88,8 +91,8 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
     starts = starts.withColumn("part", amount % ring).withColumn("begin", turn % F.expr(f"greatest((shard_size + {BLOCK - 1}) div {BLOCK}, 1)") * BLOCK)
     starts = starts.select(*by, "chunk", "chunk_start", "shard_size", "whole", "part", "begin", "source_size", "target")
     within = Window.partitionBy(*by, "chunk").orderBy("mark", "_key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, [*by, "chunk"])
-    placed = placed.withColumn("at", F.col("chunk_start") + F.col("_in"))
+    placed = rows.withColumn("_in", F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0))).join(starts, [*by, "chunk"])
+    placed = copies(placed, "n", "_i").withColumn("at", F.col("chunk_start") + F.col("_in") + F.col("_i") * F.col("size"))
     # The part covers [begin, begin + part) on a ring of shard_size words: from there to the ring's end, and on from its start.
     placed = placed.withColumn("part_from", F.greatest(F.col("begin") - F.col("at"), F.lit(0))).withColumn("part_to", F.expr("least(begin + part - at, size)"))
     placed = placed.withColumn("head", F.expr("greatest(0, least(begin + part - shard_size - at, size))"))
@@ -102,17 +105,36 @@ def mix(docs: DataFrame, size: Column | None = None, key: str = "doc_id", text:
     )
 
 
+def _numbered(rows: DataFrame, same: list[str], chunk: str, order: list[str]) -> DataFrame:
+    """Adds ``_n``, a row's number from 0 among those that agree in ``same``, which may be null."""
+    keys = {f"_g{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(same)} | {f"_h{i}": F.col(c).isNull() for i, c in enumerate(same)}
+    found = before(rows.withColumns(keys).withColumn("_one", F.lit(1)), list(keys), chunk, order, "_one", "_n")
+    return found.drop(*keys, "_one", chunk, *order)
+
+
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a row for each time a document is taken whole, and one for each part,
-    its words joined by single spaces. Documents of which the mix takes nothing are left out."""
+    its words joined by single spaces. Documents of which the mix takes nothing are left out.
+
+    Null texts have no words and are never taken. Rows that agree in key, source and text are told apart by the hash of all their
+    columns, the first of them getting the most; an empty table gives an empty result; other columns stay with their row.
+    """
     names = docs.columns
-    taken = cut(mix(docs, key=key, text=text, source=source, seed=seed).select(F.col(key).alias("_key"), F.col("source").alias("_source"), "text_hash", "whole", "part_from", "part_to", "head", "taken"))
+    taken = mix(docs, key=key, text=text, source=source, seed=seed)
+    taken = cut(taken.select(F.col(key).alias("_key"), F.col("source").alias("_source"), "text_hash", "whole", "part_from", "part_to", "head", "taken"))
+    rows = docs.select(F.struct(*names).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("text_hash"))
     same = ["_key", "_source", "text_hash"]
     alike = taken.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    one_of = F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("taken"))) if alike else F.lit(1)  # equal rows are told apart by number
-    rows = docs.select(F.struct(*names).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("text_hash"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) if alike else F.lit(1))
-    taken = taken.withColumn("_n", one_of).where("taken > 0")
+    if alike:
+        rows = cut(rows.withColumn("_chunk", F.concat_ws("-", F.lpad(F.hex(F.xxhash64("_row")), 16, "0"), F.lpad(F.spark_partition_id().cast("string"), 8, "0"))).withColumn("_order", F.monotonically_increasing_id()))
+        rows = _numbered(rows, same, "_chunk", ["_order"])
+        # What equal rows get differs only around the ends of a part: few kinds a group, each with a count.
+        kinds = taken.groupBy(*taken.columns).agg(F.count("*").alias("n"))
+        order = Window.partitionBy(*same).orderBy(F.desc("taken"), "whole", "part_from", "part_to", "head").rowsBetween(Window.unboundedPreceding, -1)
+        taken = copies(kinds.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0))), "n", "_i").withColumn("_n", F.col("_before") + F.col("_i"))
+    else:
+        rows, taken = rows.withColumn("_n", F.lit(0)), taken.withColumn("_n", F.lit(0))
+    taken = taken.where("taken > 0")
     on = [rows[c].eqNullSafe(taken[c]) for c in [*same, "_n"]]
     met = rows.join(taken, on).select("_row", "whole", "part_from", "part_to", "head")
     words = F.regexp_extract_all(F.col(f"_row.{text}"), F.lit(WORD), F.lit(0))
@@ -128,7 +150,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(source, '') AS src, source IS NULL AS src_null, md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS mark,
+  SELECT doc_id, source, coalesce(source, '') AS src, source IS NULL AS src_null, md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), '')) AS mark,
     (CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END)::BIGINT AS size FROM documents),
 p AS (SELECT *, ('0x' || substr(mark, 1, {CHUNK_DIGITS}))::BIGINT % {SHARDS} AS shard FROM d),
 s AS (SELECT src_null, src, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import before
+from .common import before, copies, cut
 
 _U = np.uint64
+#: Ranges of crc within a range of keys.
+CRCS = 16
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
@@ -39,10 +41,13 @@ def shard_rows(df: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
     """Deals every row to a shard by its key alone: (key, size, text_crc32, law, shard, slot, grown_shard).
 
     The law is ``key``: key and shard count decide, and with one more shard rows move only into it (``grown_shard``). ``size`` is
-    the text's UTF-8 bytes plus 8 (null text: 8, with a null crc). ``slot`` is the rank within the shard by mixed key, then crc
-    and size, gapless from 0: ranks are taken within ``chunks`` key ranges a shard and shifted by the ranges' counts, so no task
-    sorts a shard. Null keys count as key -1. Keys of another type than an integer are hashed to 64 bits first. Repeated rows
-    share a shard and have slots of their own. An empty table gives an empty result. Other columns are not looked at.
+    the text's UTF-8 bytes plus 8. A null text has size 8 and a null crc, so that it isn't taken for an empty one, whose crc is 0.
+    ``slot`` is the rank within the shard by range of mixed keys, crc, mixed key and size, gapless from 0: ranks are taken within
+    ``chunks`` key ranges a shard, each of CRCS ranges of crc, and shifted by the ranges' counts, so no task sorts a shard. Rows
+    that agree in key, crc and size are one row with a count until they get their slots. So neither a key nor a text with a third
+    of all rows makes a task larger. Null keys count as key -1. Keys of another type than an integer are hashed to 64 bits first.
+    Repeated rows share a shard and have slots of their own; very long texts are read whole. An empty table gives an empty result.
+    Other columns are not looked at.
     """
     kind = df.schema[key].dataType
     number = F.col(key).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(key))
@@ -60,9 +65,12 @@ def shard_rows(df: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
         F.col(key).alias("_key"), F.coalesce(number, F.lit(-1)).alias("_number"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
     )
-    rows = rows.withColumn("_to", dealt("_number")).select("_key", "size", "text_crc32", "_to.*").withColumn("_one", F.lit(1))
-    rows = before(rows, ["shard"], "chunk", ["place", "text_crc32", "size"], "_one", "slot")
-    return rows.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    alike = rows.groupBy("_key", "_number", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    alike = cut(alike.withColumn("_to", dealt("_number")).select("_key", "size", "text_crc32", "_n", "_to.*"))  # the texts are read once
+    alike = alike.withColumn("chunk", F.col("chunk") * CRCS + F.expr(f"cast(coalesce(text_crc32, 0) * {CRCS} div {1 << 32} as int)"))
+    ranked = before(alike, ["shard"], "chunk", ["text_crc32", "place", "size", "_key"], "_n", "slot")
+    ranked = copies(ranked, "_n", "_i")
+    return ranked.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("_i")).cast("long").alias("slot"), "grown_shard")
 
 
 SHARDS = 24
@@ -97,6 +105,6 @@ crc AS (
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc
   FROM m, bits)
 SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY z, crc, size) - 1 AS slot, grown::INT AS grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY z >> 54, crc NULLS FIRST, z, size, doc_id NULLS FIRST) - 1 AS slot, grown::INT AS grown_shard
 FROM m JOIN a USING (r) JOIN crc USING (r)
 """

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from orrery.llm import mixing, registry, sharding, urls
 from tests.conftest import DATA, duck, rows_of
@@ -44,6 +45,23 @@ def test_slots_are_gapless_and_edges(spark):
     assert sharding.shard_rows(docs.selectExpr("cast(doc_id as string) as doc_id", "text"), 5).count() == len(rows)
 
 
+def test_slots_where_keys_and_texts_repeat(spark):
+    """A third null keys, a third one key, a third one text; some of each wholly alike."""
+    rows = [(None, f"t{i % 50}") for i in range(300)] + [(5, f"u{i % 70}") for i in range(300)] + [(1000 + i, "same") for i in range(300)] + [(None, None)] * 40 + [(5, "x" * 3_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = sharding.shard_rows(docs, 4, chunks=4).toPandas()
+    assert len(p) == len(rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in p.groupby("shard"))
+    assert p[p.doc_id == 5].shard.nunique() == 1 == p[p.doc_id.isna()].shard.nunique() and p["size"].max() == 3_000_008
+    assert sharding.shard_rows(docs.repartition(9), 4, chunks=4).toPandas().sort_values(["shard", "slot"]).reset_index(drop=True).equals(p.sort_values(["shard", "slot"]).reset_index(drop=True))
+
+
+def test_copies(spark):
+    from orrery.llm.common import copies
+
+    got = copies(spark.createDataFrame([("a", 1), ("b", 7), ("c", 4)], "k string, n long"), "n", "i", 3).collect()
+    assert sorted((r.k, r.i) for r in got) == [("a", 0)] + [("b", i) for i in range(7)] + [("c", i) for i in range(4)]
+
+
 # --- mixing ---
 
 
@@ -113,6 +131,21 @@ def test_mixed_documents_have_the_words_taken(spark):
         assert set(got) <= own and max(got.count(w) for w in own) <= 6
 
 
+def test_mix_where_keys_and_rows_repeat(spark):
+    rows = [(None, f"null key {i % 40}", "a", 1, 2, "x") for i in range(200)] + [(7, "one and the same row", "b", 1, 2, f"c{i % 3}") for i in range(200)] + [(i, "w " * 30, "c", 1, 2, "x") for i in range(100)] + [(9, "long " * 400_000, "d", 1, 2, "x")]
+    docs = mixed(spark, rows)
+    p = mixing.mix(docs).toPandas()
+    assert len(p) == len(rows) and (p.taken <= 3 * p["size"]).all() and p["size"].max() == 400_000
+    for _, g in p.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= mixing.BLOCK * (mixing.SHARDS + 1)
+    out = mixing.mixed_documents(docs).toPandas()
+    words = out.text.str.split().str.len().groupby(out.source).sum()
+    assert words.to_dict() == {k: v for k, v in p.groupby("source").taken.sum().to_dict().items() if v}
+    again = mixing.mixed_documents(docs.repartition(5)).toPandas()
+    by = ["doc_id", "text", "source", "carried"]
+    assert out[by].sort_values(by).reset_index(drop=True).equals(again[by].sort_values(by).reset_index(drop=True))
+
+
 # --- URL filters ---
 
 
@@ -143,9 +176,32 @@ def test_verdicts_equal_brute_force(spark, monkeypatch, limit):
     assert {(r.rule, r.verdict) for r in none.collect()} == {(None, "allow")}
 
 
+def test_half_of_all_pages_without_a_url_may_be_split(spark):
+    pages = spark.range(4000).selectExpr("id as page_id", "if(id % 2 = 0, null, concat('http://h', id, '.net/x')) as url")
+    judged = urls.url_verdicts(pages, urls.rules_frame(spark, urls.RULES))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan.split("LeftOuter", 1)[1] and {(r.rule, r.verdict, r.n) for r in judged.groupBy("rule", "verdict").agg(F.count("*").alias("n")).collect()} == {(None, "allow", 2000), ("net/", "block", 2000)}
+
+
 # --- pipeline ---
 
 
+def test_pipeline_of_an_empty_table_and_of_edges(spark, tmp_path):
+    import corpus_pipeline as p
+
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, 0), (None, "the of and to " * 40_000, None, None, 5), (7, "Das ist der Text und die Sache", "de", None, None), (7, "Das ist der Text und die Sache", "de", None, None)], schema)
+    rows = docs.unionByName(odd)
+    for _, stage in p.STAGES[:-1]:
+        names = rows.columns
+        rows = spark.createDataFrame(stage(spark, rows, DATA).collect(), schema)
+        assert rows.columns == names and rows.count() > 0
+    assert p.STAGES[-1][1](spark, rows, DATA).count() >= rows.count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

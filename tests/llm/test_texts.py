@@ -159,7 +159,7 @@ def test_representatives_keep_one_of_each(spark):
 
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language.fit(*language.training_rows(docs.where(~language.held_out())))
+    model = language.fitted(*language.training_rows(docs.where(~language.held_out())))
     p = language.identify(docs.where(language.held_out()), model).select("lang", "language.lang_pred", "language.score").where("lang is not null").toPandas()
     assert (p.lang == p.lang_pred).mean() > 0.98 and p.score.between(0, 1).all()
 
@@ -169,11 +169,57 @@ def test_undetermined_and_clashing_names(spark):
     model = language.fit(["the of and to in"] * 3 + ["der die das und ist"] * 3, ["en"] * 3 + ["de"] * 3)
     got = {r.doc_id: (r.language.lang_pred, r.language.score) for r in language.identify(docs, model).collect()}
     assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "en" and got[5][0] == "de" and got[6][0] in ("en", "de")
-    empty = language.fit(*language.training_rows(docs.where("lang is null")))
+    empty = language.fitted(*language.training_rows(docs.where("lang is null")))
     assert {r.language.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
     assert language.fit(["only", "one"], ["x", "x"]).languages == ["x"]
 
 
+def grams(text):
+    """The n-grams of one to three characters of a text, unhashed: lower case, anything but letters as one gap."""
+    t = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_hashed_kernel_is_near_the_kernel_of_n_gram_sets(spark, sf):
+    letters = language._letter_table()
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").orderBy("doc_id").limit(40).collect() if any(c.isalpha() for c in r.text)]
+    for a in texts[:12]:
+        for b in texts:
+            x, y, g, h = language.presence(a, letters), language.presence(b, letters), grams(a), grams(b)
+            assert (x & y).sum() / np.sqrt(float(x.sum()) * y.sum()) == pytest.approx(len(g & h) / np.sqrt(len(g) * len(h)), abs=0.1)
+
+
+def test_with_all_rows_as_landmarks_it_is_plain_kernel_ridge_regression(monkeypatch):
+    monkeypatch.setattr(language, "LANDMARKS", 60)
+    rng, letters = random.Random(4), language._letter_table()
+    words = {"en": "the of and to in that with from".split(), "de": "der die das und ist nicht auf mit".split(), "fr": "le la les est une dans pour avec".split()}
+    rows = [(" ".join(rng.choice(words[k]) for _ in range(rng.randrange(2, 9))), k) for k in words for _ in range(8 if k == "de" else 12)]
+    model = language.fit(*zip(*rows, strict=True))
+    x = np.array([language.presence(t, letters) for t, _ in rows], float)
+    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+    y = np.array([[lang == k for k in model.languages] for _, lang in rows], float)
+    weight = np.array([1 / sum(l == lang for _, l in rows) for _, lang in rows])
+    xm, ym, root = np.average(x, axis=0, weights=weight), np.average(y, axis=0, weights=weight), np.sqrt(weight)[:, None]
+    c, ridge = (x - xm) * root, language.RIDGE * len(words) / 100
+    a = c.T @ np.linalg.solve(c @ c.T + ridge * np.eye(len(rows)), (y - ym) * root)
+    for text in ("the house is in the garden", "das ist nicht mit der und", "dans une avec", "zzz"):
+        f = language.presence(text, letters)
+        assert np.allclose(model.scores(f[None, :])[0], (f / np.sqrt(f.sum()) - xm) @ a + ym, atol=5e-3)
+
+
+def test_language_of_a_very_long_text_and_of_no_rows(spark):
+    model = language.fit(["the of and to in"] * 3 + ["der die das und ist"] * 3, ["en"] * 3 + ["de"] * 3)
+    docs = docs_of(spark, [(1, "12 " * 500_000 + "der die das und ist " * 200_000), (1, "the of and"), (1, "the of and")])
+    assert [r.language.lang_pred for r in language.identify(docs, model).collect()] == ["de", "en", "en"]
+    assert language.identify(docs.where("false"), model).count() == 0 == len(language.training_rows(docs.where("false"))[0])
+
+
+def test_what_is_learnt_from_is_bounded_whatever_the_length(spark):
+    docs = docs_of(spark, [(i, "the of and " * 20_000) for i in range(30)])
+    flags, langs = language.training_rows(docs)
+    assert len(flags) == 30 and langs == ["en"] * 30 and (flags[0] == language.presence("the of and the", language._letter_table())).all()
+
+
 def test_kernel_is_the_presence_kernel():
     letters = language._letter_table()
     a, b = (language.presence(t, letters) for t in ("Hello, World", "world hello"))

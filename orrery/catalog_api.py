@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _PATHS, ANN, RUNS, STATS, _paths, annotations, query, runs, stats, table
-from .functions import batches, text
-from .operators import logs, search
+from .catalog import _CONT, _OVERLAP, _PATHS, ANN, Q1, RUNS, SCORED, STATS, TILES, _multiscale_sql, _paths, annotations, embedding_of, query, runs, stats, table, tiles
+from .functions import batches, boxes, text, vectors
+from .operators import logs, search, spatial
 from .plans import feedback, reports, session
 from .sources import tables
 from .sources.shared import shared_dir
@@ -183,6 +183,70 @@ def dataset_queries(spark, sf):
     return names.withColumn("dataset", F.explode(F.lit([r.dataset for r in sets.collect()]))).select("dataset", "name", text.dataset_query("dataset", "name").alias("said"))
 
 
+@query(f"WITH {STATS}, m AS (SELECT category % 3 AS horizon, variant, dataset, avg(average_precision) AS m FROM stats GROUP BY ALL) SELECT horizon, variant, round(avg(m), 6) AS mean FROM m GROUP BY ALL")
+def horizon_means(spark, sf):
+    """Means of datasets' means, by variant and a second setting."""
+    s = stats(spark, sf).withColumn("horizon", F.col("category") % 3)
+    return reports.two_level_means(s, "average_precision", ["horizon", "variant"])
+
+
+@query(_multiscale_sql(f"SELECT dbidx, vec_id, 2 * score - list_dot_product(v, {Q1}) AS score FROM near"))
+def callback_rescored(spark, sf):
+    """A shortlist scored anew by a function of the vectors."""
+    q, other = (vectors.vector(embedding_of(spark, sf, i)) for i in (0, 1))
+    t = tiles(spark, sf)
+    rescore = lambda c: 2 * vectors.dot(c, q) - vectors.dot(c, other)
+    return search.multiscale_query(t, embedding_of(spark, sf, 0), 5, exclude=t.where("dbidx % 3 = 0"), rescore=rescore)
+
+
+@query(f"""WITH {TILES}, {ANN}, t AS (SELECT *, row_number() OVER (PARTITION BY dbidx ORDER BY md5('5:' || vec_id), vec_id) AS r FROM tiles)
+SELECT b.dbidx, b.vec_id, a.box_id, category, round({_CONT}, 6) AS cont FROM ann a JOIN t b ON b.r <= 2 AND {_OVERLAP} WHERE {_CONT} > 0.5""")
+def contained_labels(spark, sf):
+    """Labels that lie for the most part in one of two sampled boxes of their frame."""
+    return spatial.contained_labels(tiles(spark, sf), annotations(spark, sf), 0.5, "vec_id", "box_id", 2, 5)
+
+
+@query(f"""WITH {ANN}, im AS (SELECT *, 120 + dbidx % 7 AS w, 90 + dbidx % 5 AS h FROM ann), s AS (SELECT *, greatest(least(greatest(x2 - x1, y2 - y1), least(w, h)), least(40, least(w, h)))::DOUBLE AS side FROM im),
+p AS (SELECT box_id, side, greatest(0, least((x1 + x2) / 2 - side / 2, w - side)) AS sx1, greatest(0, least((y1 + y2) / 2 - side / 2, h - side)) AS sy1 FROM s) SELECT box_id, sx1, sy1, sx1 + side AS sx2, sy1 + side AS sy2 FROM p""")
+def ground_truth_patches(spark, sf):
+    """The best square around each box inside its image, whose size comes by a join."""
+    images = tiles(spark, sf).select("dbidx").distinct().selectExpr("dbidx", "120 + dbidx % 7 as im_width", "90 + dbidx % 5 as im_height")
+    return annotations(spark, sf).join(images, "dbidx").select("box_id", *boxes.square_box(40))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE p_type NOT IN ('ECONOMY') AND NOT ends_with(p_type, 'D') AND NOT ends_with(p_type, 'O')")
+def kept_categories(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_type")
+    return tables.without_categories(p, ("ECONOMY",), ("D", "O"), "p_type")
+
+
+@query(f"WITH {TILES}, {SCORED} SELECT vec_id, dbidx FROM scored WHERE score >= 0.05")
+def confident_boxes(spark, sf):
+    return search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).where("score >= 0.05").select("vec_id", "dbidx")
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE event_id % 3 <> 0")
+def decoded_rows(spark, sf):
+    """Values that can't be decoded are dropped with their rows."""
+    import json
+
+    e = table(spark, sf, "events").selectExpr("event_id", "if(event_id % 3 = 0, substr(props, 1, 4), props) as raw")
+    return batches.decoded(e, "raw", lambda s: json.loads(s)["k"], "long", "k").select("event_id", "k")
+
+
+@query(f"""WITH {RUNS} SELECT 'd' || dataset AS dataset, 'multiscale' AS index_name, 'c' || category AS category, 'v' || variant AS variant, 60 AS n_batches, 1 AS batch_size, 10 AS max_results,
+len(hits) > 0 AS has_result, CASE WHEN len(hits) > 0 THEN len(hits) END AS nfound FROM runs""")
+def flattened_runs(spark, sf):
+    """Run documents as flat rows; those without a result are unfinished."""
+    n = F.size("hit_indices")
+    spec = F.struct(F.concat(F.lit("d"), "dataset").alias("d_name"), F.lit("multiscale").alias("i_name"))
+    document = F.struct(
+        F.struct(F.concat(F.lit("v"), "variant").alias("name"), F.concat(F.lit("c"), "category").alias("ground_truth_category"), F.lit(60).alias("n_batches"), F.lit(10).alias("max_results")).alias("bench_params"),
+        F.struct(spec.alias("index_spec"), F.lit(1).alias("batch_size")).alias("session_params"), F.when(n > 0, F.struct(n.alias("nfound"))).alias("result"),
+    )
+    return tables.flattened_runs(runs(spark, sf).select(F.to_json(document).alias("summary"))).drop("session_params")
+
+
 # --- sessions and settings --------------------------------------------------------------------------------------------------------
 
 

@@ -57,3 +57,15 @@ def embedded(df: DataFrame, text: str, embed: Callable[[str], list[float]], name
             yield s.map(known.get)
 
     return df.withColumn(name, run(text))
+
+
+def decoded(df: DataFrame, column: str, decode: Callable[[Any], Any], kind: str, name: str = "decoded") -> DataFrame:
+    """Adds what ``decode`` makes of a column's values; rows whose value is null or can't be decoded are dropped."""
+
+    def attempt(value: Any) -> Any:
+        try:
+            return decode(value)
+        except (ValueError, OSError):
+            return None
+
+    return df.withColumn(name, by_row(attempt, kind)(column)).where(F.col(name).isNotNull())

@@ -98,12 +98,12 @@ def inversions(rows: DataFrame, score: str, label: str, key: str) -> DataFrame:
 def timeline(sessions: DataFrame) -> DataFrame:
     """Rows (session columns, i, j, dbidx, start_s, end_s, accepted, total_accepted, total_seen) of nested session documents, by start.
 
-    ``gdata`` is an array of batches of images {dbidx, boxes, timing}; an image has a row for each time it was shown. Image j of batch i
-    is accepted if any of its boxes is. Every session begins with a row (-1, -1, 0, 0, false).
+    ``gdata`` is an array of batches of images {dbidx, boxes, timing}; an image has a row for the first time it was shown, if
+    it was. Image j of batch i is accepted if any of its boxes is. Every session begins with a row (-1, -1, 0, 0, false).
     """
     kept = [c for c in sessions.columns if c != "gdata"]
     batches = sessions.select(*kept, F.posexplode("gdata").alias("i", "_b"))
-    images = batches.select(*kept, "i", F.posexplode("_b").alias("j", "_m")).withColumn("_t", F.explode("_m.timing"))
+    images = batches.select(*kept, "i", F.posexplode("_b").alias("j", "_m")).where("size(_m.timing) > 0").withColumn("_t", F.col("_m.timing")[0])
     rows = images.select(
         *kept, "i", "j", F.col("_m.dbidx").alias("dbidx"), (F.col("_t.start_ms") / 1000.0).alias("start_s"), (F.col("_t.end_ms") / 1000.0).alias("end_s"),
         F.coalesce(F.exists("_m.boxes", lambda b: F.coalesce(b["marked_accepted"], F.lit(False))), F.lit(False)).alias("accepted"),

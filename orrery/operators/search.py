@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import SIDES
@@ -96,16 +96,19 @@ def rescored(tiles: DataFrame, method: str = "plain_score", larger: str = "all",
 
 def multiscale_query(
     tiles: DataFrame, query: Sequence[float], k: int, shortlist: int | None = None, exclude: DataFrame | None = None, contrast: Sequence[float] | None = None,
-    method: str = "plain_score", larger: str = "all", key: str = "vec_id", frame: str = "dbidx", column: str = "embedding",
+    method: str = "plain_score", larger: str = "all", key: str = "vec_id", frame: str = "dbidx", column: str = "embedding", rescore: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """(frame, key, score): the k best frames, each with its best tile.
 
-    Frames are shortlisted by their best plain score (5 k of them by default); all tiles of those are scored again, with the score
-    for ``contrast`` taken off, and rescored by ``method``. Nothing is left: an empty result.
+    Frames are shortlisted by their best plain score (5 k of them by default); all tiles of those are scored again, by ``rescore`` (a
+    function of the vectors' column) if given, with the score for ``contrast`` taken off, and rescored by ``method``. Nothing is
+    left: an empty result.
     """
     plain = scored(tiles, query, column)
     chosen = top_frames(plain, shortlist or 5 * k, frame, exclude)
     near = plain.join(chosen.select(frame), frame, "left_semi")
+    if rescore is not None:
+        near = near.withColumn("score", rescore(column))
     if contrast is not None:
         near = near.withColumn("score", F.col("score") - dot(column, vector(contrast)))
     return reranked(near, k, method, larger, key, frame)

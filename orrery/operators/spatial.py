@@ -51,6 +51,15 @@ def positives_and_negatives(vectors: DataFrame, boxes: DataFrame, box_key: str,
     return positive.unionByName(negative)
 
 
+def contained_labels(boxes: DataFrame, labels: DataFrame, least: float, box_key: str, label_key: str, samples: int = 1, seed: int = 0, on: str = "dbidx") -> DataFrame:
+    """(on, box_key, label_key, category, cont): labels that lie in a box of their frame by more than ``least`` of their own area; of each
+    frame ``samples`` boxes, by a seeded hash, take part."""
+    order = Window.partitionBy(on).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(box_key)).cast("binary")), box_key)
+    some = boxes.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= samples).select(on, box_key, *SIDES)
+    pairs = box_join(labels.select(on, label_key, "category", *SIDES), some, on).where(F.col("cont") > least)
+    return pairs.select(on, F.col(f"{box_key}_right").alias(box_key), F.col(f"{label_key}_left").alias(label_key), F.col("category_left").alias("category"), "cont")
+
+
 def kept_boxes(boxes: DataFrame, keys: list[str], score: str, threshold: float, on: str = "dbidx") -> DataFrame:
     """Greedy non-maximum suppression per frame: boxes by falling score; one that an earlier kept box overlaps by more than
     ``threshold`` of its own area is dropped. Within a frame the choice is sequential, so frames are the unit of work."""

@@ -97,6 +97,11 @@ def means_with_average(stats: DataFrame, metric: str, by: str = "dataset", varia
     return means.unionByName(means.groupBy(variant).agg(F.avg("mean").alias("mean")).withColumn(by, F.lit("Avg.")))
 
 
+def two_level_means(stats: DataFrame, metric: str, columns: list[str], by: str = "dataset") -> DataFrame:
+    """(columns, mean): the mean of the datasets' means, so that each dataset counts alike."""
+    return stats.groupBy(*columns, by).agg(F.avg(finite(metric)).alias("_m")).groupBy(*columns).agg(F.avg("_m").alias("mean"))
+
+
 def with_difficulty(stats: DataFrame, metric: str, baseline: str, hard_below: float = 0.5, variant: str = "variant", query: tuple[str, ...] = QUERY) -> DataFrame:
     """Adds ``hard``: whether the baseline stays below a bound on this query; false where it did not run."""
     hard = stats.where((F.col(variant) == baseline) & (F.col(metric) < hard_below)).select(*query).distinct().withColumn("hard", F.lit(True))

@@ -217,3 +217,15 @@ def sampled_configs(config: Any, most: int, seed: int = 0) -> list[Any]:
     """Up to ``most`` different settings of a space in which ``{"choose": [...]}`` stands for any of a list, nested as you like."""
     every = _choices(config)
     return every if len(every) <= most else random.Random(seed).sample(every, most)
+
+
+def named_setting(text: str, name: str) -> dict[str, Any]:
+    """One setting of a YAML (or JSON) document {shared_session_params, variants}: the shared values and those of the one variant, once all
+    choices are expanded, that has the name."""
+    import yaml
+
+    document = yaml.safe_load(text)
+    found = [v for variant in document.get("variants", []) for v in _choices(variant) if v.get("name") == name]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} variants are called {name!r}")
+    return document.get("shared_session_params", {}) | found[0]

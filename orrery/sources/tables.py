@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +154,63 @@ class Catalogue:
         return self._names("data", name, kind)
 
 
+def without_categories(rows: DataFrame, ignored: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), category: str = "category") -> DataFrame:
+    """Rows of categories that are neither ignored nor end in one of ``suffixes``."""
+    name = F.col(category)
+    for s in suffixes:
+        rows = rows.where(~name.endswith(s))
+    return rows.where(~name.isin(*ignored)) if ignored else rows
+
+
+def flattened_runs(documents: DataFrame, column: str = "summary") -> DataFrame:
+    """One flat row a run document {bench_params, session_params, result}: (dataset, index_name, category, variant, n_batches, batch_size,
+    max_results, session_params, has_result, nfound). Unfinished runs have no result."""
+    at = lambda path, kind: F.get_json_object(column, path).cast(kind)
+    return documents.select(
+        at("$.session_params.index_spec.d_name", "string").alias("dataset"), at("$.session_params.index_spec.i_name", "string").alias("index_name"),
+        at("$.bench_params.ground_truth_category", "string").alias("category"), at("$.bench_params.name", "string").alias("variant"), at("$.bench_params.n_batches", "int").alias("n_batches"),
+        at("$.session_params.batch_size", "int").alias("batch_size"), at("$.bench_params.max_results", "int").alias("max_results"), at("$.session_params", "string").alias("session_params"),
+        at("$.result", "string").isNotNull().alias("has_result"), at("$.result.nfound", "long").alias("nfound"),
+    )
+
+
+def _status(spark: SparkSession, path: str) -> list:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [(s.getModificationTime(), s.getPath().toString(), s.isDirectory()) for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def folders_by_time(spark: SparkSession, path: str) -> list[str]:
+    """The folders in ``path``, the one changed longest ago first."""
+    return [name for _, name, folder in sorted(_status(spark, path)) if folder]
+
+
+def consolidated(spark: SparkSession, base: str, folder: str, cache: str, read: Callable[[str], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Ground truth with all amendments: the table ``base``, changed by each folder in ``folder`` in order of time, so that the last one to
+    review a category of an image has its say; ``origin`` says who had. ``read`` gives (amendment, reviewed) of a folder.
+
+    The result is kept in ``cache`` and made anew once a folder is younger than it."""
+    folders = folders_by_time(spark, folder)
+    if not folders:
+        return spark.read.parquet(base).withColumn("origin", F.lit("base"))
+    made = [t for t, name, _ in _status(spark, cache) if name.endswith("/_SUCCESS")]
+    if not made or max(t for t, _, d in _status(spark, folder) if d) >= max(made):
+        boxes = spark.read.parquet(base).withColumn("origin", F.lit("base"))
+        for f in folders:
+            new, reviewed = read(f)
+            boxes = amended(boxes, new, reviewed, origin=f.rstrip("/").rsplit("/", 1)[1])
+        boxes.write.mode("overwrite").parquet(cache)
+    return spark.read.parquet(cache)
+
+
+def load_index(spark: SparkSession, path: str, constructors: dict[str, Callable[..., Any]], **options: Any) -> Any:
+    """What the constructor named in ``info.json`` below ``path`` makes of the index there."""
+    info = spark.read.option("multiLine", "true").json(f"{path.rstrip('/')}/info.json").first()
+    if info["constructor"] not in constructors:
+        raise ValueError(f"unknown constructor {info['constructor']!r}")
+    return constructors[info["constructor"]](spark, path, **options)
+
+
 def relabelled(rows: DataFrame, condition: Column, column: str, value) -> DataFrame:
     """A one-off correction: ``column`` set where a condition holds."""
     return rows.withColumn(column, F.when(condition, F.lit(value)).otherwise(F.col(column)))

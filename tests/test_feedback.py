@@ -254,3 +254,42 @@ def test_entry_reports_missing_dependencies(monkeypatch):
     with pytest.raises(ModuleNotFoundError, match="xxhash"):
         e._llm()
     assert json.dumps(sorted(e.catalog.SQL))
+
+
+def test_amendments_in_order_of_time_and_a_stale_cache(spark, tmp_path):
+    import time
+
+    from orrery.sources import tables
+
+    base, folder, cache = (str(tmp_path / n) for n in ("base", "reviews", "cache"))
+    schema = "dbidx long, category string, x1 double"
+    spark.createDataFrame([(1, "a", 0.0), (2, "a", 0.0), (2, "b", 0.0)], schema).write.parquet(base)
+
+    def read(f):
+        new = spark.read.schema(schema).parquet(f + "/boxes")
+        return new, spark.read.schema("category string, dbidx long").parquet(f + "/seen")
+
+    got = lambda: sorted((r.dbidx, r.category, r.x1, r.origin) for r in tables.consolidated(spark, base, folder, cache, read).collect())
+    assert [r[3] for r in got()] == ["base"] * 3
+    for name, value in (("z_first", 1.0), ("a_second", 2.0)):
+        spark.createDataFrame([(2, "a", value)], schema).write.parquet(f"{folder}/{name}/boxes")
+        spark.createDataFrame([("a", 2), ("b", 2)] if value == 1 else [("a", 2)], "category string, dbidx long").write.parquet(f"{folder}/{name}/seen")
+        time.sleep(1.1)
+        assert tables.folders_by_time(spark, folder)[-1].endswith(name)
+        assert got() == [(1, "a", 0.0, "base"), (2, "a", value, name)]
+    before = (tmp_path / "cache" / "_SUCCESS").stat().st_mtime_ns
+    assert len(got()) == 2 and (tmp_path / "cache" / "_SUCCESS").stat().st_mtime_ns == before  # not made again
+
+
+def test_index_by_its_constructor_and_named_settings(spark, tmp_path):
+    from orrery.sources import tables
+
+    (tmp_path / "info.json").write_text('{"constructor": "coarse"}')
+    assert tables.load_index(spark, str(tmp_path), {"coarse": lambda s, path, k: (path, k)}, k=3) == (str(tmp_path), 3)
+    with pytest.raises(ValueError):
+        tables.load_index(spark, str(tmp_path), {})
+    text_ = "shared_session_params: {batch_size: 1, k: 5}\nvariants:\n- {name: a, method: plain}\n- {name: b, method: multi, k: {choose: [10]}}\n- {name: {choose: [c, d]}}\n"
+    assert session.named_setting(text_, "b") == {"batch_size": 1, "k": 10, "name": "b", "method": "multi"} and session.named_setting(text_, "d")["batch_size"] == 1
+    for wrong in ("none", "x"):
+        with pytest.raises(ValueError):
+            session.named_setting(text_, wrong)

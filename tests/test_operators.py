@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import graph, logs, search, sets, spatial
+from orrery.operators import graph, logs, products, search, sets, spatial
 from orrery.plans import feedback, reports, session
 from orrery.sources import tables
 
@@ -35,7 +35,7 @@ def test_overridden_top_k(spark):
 
 
 def test_exact_knn_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(graph, "TILE", 16)
+    monkeypatch.setattr(products, "TILE", 16)
     x = np.random.default_rng(0).standard_normal((70, 8))
     x[5] = x[9]
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,23 +129,19 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     return Forest(blocks, cut(runs), bits, ids)
 
 
-def _pairs(q: np.ndarray, at: np.ndarray) -> bytes:
-    """(query, entry) pairs of two blocks: as numbers, or as a bit each where that takes less."""
-    if len(q) * 4 < QUERIES * BLOCK // 8:
-        return b"\0" + np.stack([q, at]).astype(np.uint16).tobytes()
-    flags = np.zeros((QUERIES, BLOCK), bool)
-    flags[q, at] = True
-    return b"\1" + np.packbits(flags).tobytes()
+def _pairs(sorted_: np.ndarray) -> bytes:
+    """Sorted numbers query * 2 ** 16 + entry of two blocks' pairs: by their differences, byte plane by byte plane."""
+    steps = np.diff(sorted_, prepend=sorted_.dtype.type(0)).astype(np.uint32)
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _flags(blobs: list[bytes]) -> np.ndarray:
+    """Which entries of a block each query of a block meets."""
     flags = np.zeros((QUERIES, BLOCK), bool)
     for b in blobs:
-        if b[0]:
-            flags |= np.unpackbits(np.frombuffer(b, np.uint8, offset=1)).reshape(QUERIES, BLOCK).astype(bool)
-        else:
-            q, at = np.frombuffer(b, np.uint16, offset=1).reshape(2, -1)
-            flags[q, at] = True
+        steps = np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+        pairs = np.cumsum(steps, dtype=np.int64)
+        flags[pairs >> 16, pairs & 0xFFFF] = True
     return flags
 
 
@@ -187,13 +184,12 @@ def candidates(forest: Forest, queries: DataFrame, level: int) -> DataFrame:
                     if not size.any():
                         continue
                     place = np.arange(size.sum()) + np.repeat(a[at : at + step] - (np.cumsum(size) - size), size)
-                    q, owner = np.repeat(who[at : at + step], size), owners[place]
-                    by = np.argsort(owner // BLOCK, kind="stable")
-                    q, owner = q[by], owner[by]
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner // BLOCK)) + 1, [len(owner)]])
+                    owner = owners[place]
+                    pairs = np.sort((owner // BLOCK << 32) + (np.repeat(who[at : at + step], size) << 16) + owner % BLOCK)
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(pairs >> 32)) + 1, [len(pairs)]])
                     yield pd.DataFrame({
-                        "_dim": dim, "_block": (owner[cuts[:-1]] // BLOCK).astype(np.int32), "_qb": qb,
-                        "pairs": [_pairs(q[x:y], owner[x:y] % BLOCK) for x, y in zip(cuts[:-1], cuts[1:], strict=True)],
+                        "_dim": dim, "_block": (pairs[cuts[:-1]] >> 32).astype(np.int32), "_qb": qb,
+                        "pairs": [_pairs(pairs[x:y] & 0xFFFFFFFF) for x, y in zip(cuts[:-1], cuts[1:], strict=True)],
                     })
 
     return met.mapInPandas(found, "_dim int, _block int, _qb int, pairs binary")

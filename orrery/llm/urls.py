@@ -72,7 +72,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
         met = exploded.join(listed, on & (F.col("salt") == F.col("r_salt")))
     met = met.where("digest = r_digest")
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "r_host", "verdict", "rule")).alias("best"))
-    judged = rows.join(cut(best), ["host", "path"], "left")  # written, so that Spark may split a place with a third of all pages
+    # Written and not broadcast, as it grows with the pages; so Spark may split a place with a third of all pages.
+    judged = rows.join(cut(best).hint("merge"), ["host", "path"], "left")
     return judged.select(
         F.col("_key").alias(key), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),

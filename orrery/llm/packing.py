@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, before, cut, per_process, slices, split_words, with_columns
+from .common import batches_of, before, copies, cut, per_process, slices, split_words, with_columns
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task keeps; it forgets all and starts anew beyond.
@@ -352,8 +352,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         return placed
 
     chunk = F.pmod(F.xxhash64("_key", "piece", "ids_crc32"), F.lit(max(16, max(histogram.values(), default=0) // CHUNK)))
-    ranked = before(pieces.withColumn("_chunk", chunk).withColumn("_one", F.lit(1)), ["length"], "_chunk", ["_key", "piece", "ids_crc32"], "_one", "_rank")
-    ranked = ranked.select("_key", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long").alias("_rank"))
+    alike = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_chunk", chunk)  # repeated rows are one, with a count
+    ranked = copies(before(alike, ["length"], "_chunk", ["_key", "piece", "ids_crc32", "start"], "_n", "_first"), "_n", "_i")
+    ranked = ranked.select("_key", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_i")).cast("long").alias("_rank"))
     out = with_columns(ranked, ["length", "_rank"], "sequence_id long, offset long", make)
     return out.select(F.col("_key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -525,6 +525,13 @@ def test_pack_is_a_round_trip(spark, sf, tokens):
     assert packing.pack(docs.where("false"), packing.tokenizer_path()).count() == 0
 
 
+def test_repeated_documents_get_places_of_their_own(spark):
+    docs = docs_of(spark, [(None, "same text")] * 500 + [(7, "other words here")] * 300 + [(None, None)] * 20)
+    p = packing.pack(docs, packing.tokenizer_path()).toPandas().sort_values(["sequence_id", "offset"])
+    ends = p.groupby("sequence_id")["length"].cumsum()
+    assert len(p) == 820 and (ends - p["length"] == p["offset"]).all() and ends.max() <= 2048 and p.sequence_id.nunique() == -(-int(p["length"].sum()) // 2048)
+
+
 @settings(deadline=None, max_examples=25)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 3000), max_size=20))
 def test_configurations_hold_just_the_pieces(histogram):

@@ -230,9 +230,9 @@ def vector_mean_coarse(spark, sf):
     return pooled.select("dbidx", F.posexplode("vectors").alias("component", "x")).select("dbidx", F.col("component").cast("long").alias("component"), "x")
 
 
-@query()
+@query("SELECT dbidx FROM (SELECT DISTINCT vec_id // 5 AS dbidx FROM embeddings) WHERE dbidx % 3 <> 0 ORDER BY md5('7:' || dbidx), dbidx LIMIT 10")
 def random_batch(spark, sf):
-    """Ten remaining frames by a seeded hash; SQL has no such hash."""
+    """Ten remaining frames by a seeded hash."""
     t = tiles(spark, sf)
     return search.random_batch(t, 10, "dbidx", 7, t.where("dbidx % 3 = 0"))
 
@@ -296,7 +296,10 @@ def segment_ops(spark, sf):
     return annotations(spark, sf).select("box_id", s1.alias("s1"), s2.alias("s2"), n.alias("length"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TILES}, {SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY dbidx ORDER BY score DESC, vec_id) AS r FROM scored),
+b AS (SELECT a.dbidx, a.r, list(b.r) AS covers FROM o a JOIN o b ON b.r < a.r AND {_OVERLAP} AND {_CONT} > 0.5 GROUP BY ALL), n AS (SELECT o.dbidx, o.vec_id, o.score, o.r, coalesce(covers, []) AS covers FROM o LEFT JOIN b ON o.dbidx = b.dbidx AND o.r = b.r),
+k(dbidx, r, kept) AS (SELECT DISTINCT dbidx, 0::BIGINT, []::BIGINT[] FROM n UNION ALL SELECT k.dbidx, n.r, CASE WHEN list_has_any(n.covers, k.kept) THEN k.kept ELSE list_append(k.kept, n.r) END FROM k JOIN n ON n.dbidx = k.dbidx AND n.r = k.r + 1),
+l AS (SELECT dbidx, unnest(kept) AS r FROM (SELECT dbidx, kept FROM k QUALIFY row_number() OVER (PARTITION BY dbidx ORDER BY r DESC) = 1)) SELECT n.dbidx, vec_id, round(score, 6) AS score FROM n JOIN l ON n.dbidx = l.dbidx AND n.r = l.r""")
 def kept_boxes(spark, sf):
     """Greedy suppression is sequential within a frame."""
     t = search.scored(tiles(spark, sf), embedding_of(spark, sf, 0)).drop("embedding")
@@ -878,7 +881,7 @@ def vertex_promises(spark, sf):
 def benchmark_sim(spark, sf):
     """A loop of queries and feedback: one summary row a method."""
     t, truth = tiles(spark, sf), annotations(spark, sf)
-    found = [session.simulated(session.Session(t, embedding_of(spark, sf, 0), m, batch=3), truth, 1, 3, 4) for m in ("plain", "rocchio")]
+    found = [session.simulated(session.Session(t, embedding_of(spark, sf, 0), m, batch=3, options={"discount": True} if m == "multi_neg" else {}), truth, 1, 3, 4, confused=2) for m in ("plain", "rocchio", "rank", "multi_neg")]
     rows = [(r["method"], r["hit_indices"], r["nseen"], r["nfound"], r["ntotal"], r["dbidxs"]) for r in found]
     return spark.createDataFrame(rows, "method string, hit_indices array<int>, nseen int, nfound int, ntotal int, dbidxs array<long>")
 
@@ -917,7 +920,8 @@ def shifted_intervals(spark, sf):
     return annotations(spark, sf).select("box_id", s1.alias("s1"), s2.alias("s2"))
 
 
-@query()
+@query(f"""WITH {ANN}, l AS (SELECT box_id, greatest(0, x2 - 30) AS low, least(x1, 70) AS high, ('0x' || substr(md5('3:' || box_id), 1, 5))::INT / 1048576.0::DOUBLE AS u FROM ann),
+c AS (SELECT box_id, low + (greatest(low, high) - low) * u AS cx1 FROM l) SELECT box_id, round(cx1, 6) AS cx1, round(cx1 + 30, 6) AS cx2 FROM c""")
 def random_crops(spark, sf):
     """Places come from a seeded hash."""
     a = annotations(spark, sf)
@@ -1033,6 +1037,18 @@ def stream_user_sessions(spark, sf):
     return _streamed(spark, sf, lambda log: stream.user_sessions(log, "6 hours")).select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
+@query("SELECT event_id, user_id FROM events")
+def stream_distinct_events(spark, sf):
+    """The log read twice over, as two sources, without its repeats."""
+    return _streamed(spark, sf, lambda log: stream.without_duplicates(log.union(log)).select("event_id", "user_id")).where("event_id >= 0")
+
+
+@query("WITH m AS (SELECT user_id, ts, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM events) SELECT user_id, epoch_us(ts) AS ts_us, value FROM m WHERE most IS NULL OR value > most")
+def stream_records(spark, sf):
+    """Events above all of the user's before, by state."""
+    return _streamed(spark, sf, stream.record_events).where("user_id >= 0").select("user_id", F.unix_micros("ts").alias("ts_us"), "value")
+
+
 @query(f"WITH {STATS}, m AS (SELECT dataset, category, " + ", ".join(f"max(ndcg_score) FILTER (variant = {v}) AS v_{v}" for v in range(3)) + " FROM stats GROUP BY ALL) SELECT dataset, category, " + ", ".join(f"round(v_{v}, 6) AS v_{v}" for v in range(3)) + ", round(v_2 - v_0, 6) AS delta FROM m")
 def method_matrix(spark, sf):
     return reports.method_matrix(stats(spark, sf), "ndcg_score", [0, 1, 2])
@@ -1069,6 +1085,7 @@ def graph_search(spark, sf):
     """A loop of queries and feedback along a graph: one summary row a method."""
     t, truth, edges = cut(tiles(spark, sf)), annotations(spark, sf), cut(_knn(spark, sf))
     found = [session.simulated(session.Session(t, embedding_of(spark, sf, 0), m, batch=3, graph=edges), truth, 1, 3, 3) for m in ("lknn", "active")]
+    found += [session.simulated(session.Session(t, embedding_of(spark, sf, 0), m, batch=3, graph=edges, options={"steps": 2}), truth, 1, 3, 2) for m in ("knn_prop", "pseudo")]
     rows = [(r["method"], r["hit_indices"], r["nseen"], r["nfound"], r["ntotal"], r["dbidxs"]) for r in found]
     return spark.createDataFrame(rows, "method string, hit_indices array<int>, nseen int, nfound int, ntotal int, dbidxs array<long>")
 

@@ -53,6 +53,6 @@ def shifted_interval(start: Column, end: Column, limit: Column) -> tuple[Column,
 def random_crop(x1: Column, x2: Column, side: Column, limit: Column, seed: int, *keys: Column) -> tuple[Column, Column]:
     """A segment of length ``side`` inside [0, limit] that holds [x1, x2], at a place that a seed and the row's keys decide."""
     low, high = F.greatest(F.lit(0.0), x2 - side), F.least(x1, limit - side)
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 20)) / float(1 << 20)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *keys).cast("binary")), 1, 5), 16, 10).cast("double") / float(1 << 20)
     start = low + (F.greatest(low, high) - low) * u
     return start, start + side

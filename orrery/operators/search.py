@@ -35,7 +35,7 @@ def coarse_query(vectors: DataFrame, query: Sequence[float], k: int, key: str =
 
 def random_batch(rows: DataFrame, k: int, key: str, seed: int, exclude: DataFrame | None = None) -> DataFrame:
     """k of the remaining ids by a seeded hash: the same on every run and partitioning."""
-    return without(rows, exclude, key).select(key).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    return without(rows, exclude, key).select(key).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key).limit(k)
 
 
 def frame_scores(rows: DataFrame, frame: str = "dbidx", score: str = "score") -> DataFrame:

@@ -119,7 +119,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
     ``tokenizer`` is the path of a ``tokenizers`` file on the driver; its content travels to the executors.
     """
-    batches_of(docs.sparkSession, 4000)  # the more words at once, the fewer to encode
+    batches_of(docs.sparkSession, 4000, 8)  # the more words at once, the fewer to encode
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -224,7 +224,7 @@ def fractional(histogram: dict[int, int], capacity: int) -> Program:
     A round moves the weights over the columns so far, a sparse matrix. Then a knapsack over the mean prices finds the best
     configuration through each length. Those worth more than a sequence become columns. A price divided by the worth of the best
     configuration through its length makes prices that no configuration beats, so they bound the program from below; lengths whose
-    configurations leave room are raised, to bound it better. The rounds end as that bound is met but for GAP, or after PRICINGS. The first columns come from best fit, of the scaled histogram.
+    configurations leave room are raised, to bound it better. The rounds end as that bound is met but for GAP, or rounded up, or after PRICINGS. The first columns come from best fit, of the scaled histogram.
     """
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], float)
@@ -233,6 +233,7 @@ def fractional(histogram: dict[int, int], capacity: int) -> Program:
     for config, k in _scaled_best_fit(histogram, capacity):
         column = tuple(sorted(Counter(at[n] for n in config).items()))
         found[column] = found.get(column, 0.0) + k
+    enough = lambda bound: max(bound * (1 + GAP), np.ceil(bound - 1e-9))  # noqa: E731  no filling has fewer sequences than the bound, rounded up
     y, dearest = lengths / capacity, 1 / (capacity // lengths)  # no length is worth more than its share of a sequence for itself
     bound, best = float(lengths @ demand) / capacity, None
     for pricing in range(1, PRICINGS + 1):
@@ -263,12 +264,12 @@ def fractional(histogram: dict[int, int], capacity: int) -> Program:
             else:
                 fair = mean_y / np.maximum(1, mean_y + value[capacity - lengths])
             bound = max(bound, float(fair @ demand))
-            if cost <= bound * (1 + GAP):
+            if cost <= enough(bound):
                 break
         if best is None or cost < best.cost:
             best = Program(lengths.tolist(), columns, mean_x, cost, bound, pricing)
         best = best._replace(bound=bound, pricings=pricing)
-        if best.cost <= bound * (1 + GAP):
+        if best.cost <= enough(bound):
             break
         keep = np.ones(len(columns), bool)
         if len(columns) > 6 * len(lengths):  # forget what is neither used nor near the prices; the program only needs a column for each length
